@@ -1,8 +1,10 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
 from heliograph.llm.bpe import op10_bpe
+from heliograph.llm.token_store import op9_token_store
 
 QUERIES = {
+    "op9_token_store": op9_token_store,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
