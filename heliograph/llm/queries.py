@@ -1,6 +1,7 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
 from heliograph.llm.bpe import op10_bpe
+from heliograph.llm import decontam
 from heliograph.llm.language import op5_language
 from heliograph.llm.quality import op7_quality
 from heliograph.llm.token_store import op9_token_store
@@ -8,7 +9,10 @@ from heliograph.llm.token_store import op9_token_store
 QUERIES = {
     "op5_language": op5_language,
     "op7_quality": op7_quality,
+    "op8_decontam": decontam.op8_decontam,
     "op9_token_store": op9_token_store,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontam": decontam.ORACLE_SQL,
+}
