@@ -3,10 +3,12 @@
 from heliograph.llm.bpe import op10_bpe
 from heliograph.llm import decontam
 from heliograph.llm.language import op5_language
+from heliograph.llm.pii import op3_pii
 from heliograph.llm.quality import op7_quality
 from heliograph.llm.token_store import op9_token_store
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op5_language": op5_language,
     "op7_quality": op7_quality,
     "op8_decontam": decontam.op8_decontam,
