@@ -5,10 +5,12 @@ from heliograph.llm import decontam
 from heliograph.llm.language import op5_language
 from heliograph.llm.pii import op3_pii
 from heliograph.llm.quality import op7_quality
+from heliograph.llm.simhash import op4_simhash
 from heliograph.llm.token_store import op9_token_store
 
 QUERIES = {
     "op3_pii": op3_pii,
+    "op4_simhash": op4_simhash,
     "op5_language": op5_language,
     "op7_quality": op7_quality,
     "op8_decontam": decontam.op8_decontam,
