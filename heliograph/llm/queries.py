@@ -6,9 +6,11 @@ from heliograph.llm.language import op5_language
 from heliograph.llm.pii import op3_pii
 from heliograph.llm.quality import op7_quality
 from heliograph.llm.simhash import op4_simhash
+from heliograph.llm.suffix_dedup import op1_suffix_dedup
 from heliograph.llm.token_store import op9_token_store
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
