@@ -55,8 +55,9 @@ def prefixes(docs: DataFrame, benchmark: DataFrame, ws: Workspace, size: int = W
     return chosen, chosen.count()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, hits_only: bool = False) -> DataFrame:
+    """n_words, n_hit, n_items, items_sha256 and contaminated of each document. With ``hits_only`` doc_id, text_key (a hash
+    of the text) and n_hit of contaminated documents only."""
     src = only(docs, "doc_id", "text")
     src = src.select(src["doc_id"].cast("bigint").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
     chosen, n = prefixes(src, benchmark, Workspace(docs.sparkSession, "decontam"), size)
@@ -71,6 +72,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
         F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))).cast("bigint").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"),
     )
+    if hits_only:
+        return by_doc.select("doc_id", "text_key", "n_hit")
     base = words.select("doc_id", "text_key", F.size("words").cast("bigint").alias("n_words")).alias("d")
     h = by_doc.alias("h")
     both = base.join(h, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left")

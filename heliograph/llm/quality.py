@@ -238,6 +238,14 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineF
     return LineField.fit(np.concatenate(each) if each else np.zeros((0, width), np.int32), doc, content)
 
 
+def verdict(texts: list[bytes], crf: LineField) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The base counts of each text, whether they fail, and the share of words in content lines."""
+    base = base_counts(texts)
+    feats, words, doc = line_features(texts)
+    content = np.bincount(doc, weights=words * crf.decode(feats, doc), minlength=len(texts))
+    return base, (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > 30 * base[:, 0]), content / np.maximum(1, base[:, 0])
+
+
 def judge(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> DataFrame:
     """The base counts, base_failed, kept and content_share of each document."""
     field = (field.weights, field.pairs)
@@ -248,12 +256,7 @@ def judge(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> Da
             data, offs = byte_view(strings(batch, "text"))
             raw = data.tobytes()
             for i, j in blocks(offs):
-                texts = [raw[offs[x] : offs[x + 1]] for x in range(i, j)]
-                base = base_counts(texts)
-                feats, words, doc = line_features(texts)
-                content = np.bincount(doc, weights=words * crf.decode(feats, doc), minlength=j - i)
-                share = content / np.maximum(1, base[:, 0])
-                failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > 30 * base[:, 0])
+                base, failed, share = verdict([raw[offs[x] : offs[x + 1]] for x in range(i, j)], crf)
                 cols = [batch.column("doc_id").slice(i, j - i), *[pa.array(base[:, k]) for k in range(5)], pa.array(failed), pa.array(~failed & (share >= min_share)), pa.array(share)]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in OUT])
 
@@ -261,6 +264,24 @@ def judge(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> Da
     return src.select(src["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, ", ".join(OUT))
 
 
+def keep(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows, with all their columns, of documents that are kept."""
+    field = (field.weights, field.pairs)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = LineField(*field)
+        for batch in it:
+            data, offs = byte_view(strings(batch, "text"))
+            raw = data.tobytes()
+            good = np.zeros(batch.num_rows, bool)
+            for i, j in blocks(offs):
+                _, failed, share = verdict([raw[offs[x] : offs[x + 1]] for x in range(i, j)], crf)
+                good[i:j] = ~failed & (share >= min_share)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 OUT = ["doc_id bigint", "n_words bigint", "word_chars bigint", "n_symbols bigint", "n_dup_lines bigint", "n_repeat_words bigint", "base_failed boolean", "kept boolean", "content_share double"]
 
 
