@@ -20,6 +20,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.llm.bpe import byte_alphabet
 from heliograph.llm.common import BLOCK_BYTES, Workspace, blocks, byte_view, documents, only, ranges, shuffle_partitions, strings
 
 BITS = 8
@@ -84,12 +86,13 @@ class Codes:
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space and joins nothing across it: the ids of a text are those
-    of its words in turn. The library encodes each distinct word once; a worker remembers the latest of them."""
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and joins nothing across the pieces of its split
+    pattern: the ids of a text are those of its pieces in turn. The library's model encodes each distinct piece once; a
+    worker remembers the latest of them. Texts with characters other than ``EASY`` go word by word through the whole library."""
 
     #: Letters that are letters to the tokenizer too, have no decompositions in the text and lower-case one to one.
-    EASY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    EASY = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -98,70 +101,56 @@ class WordIds:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        high = "".join(chr(c) for c in range(0xC0, 0x100))
-        # the byte-level alphabet keeps C3 and maps the second byte 80..BF
-        self.spread = {c: "".join(byte_char(b) for b in c.encode()) for c in high}
-        self.table = str.maketrans(self.spread)
-        self.pieces: dict[str, list[int]] = {}
+        alphabet = byte_alphabet()
+        self.spread = str.maketrans({c: "".join(alphabet[b] for b in c.encode()) for c in map(chr, range(0xC0, 0x100))})
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.pool, self.starts, self.lens, self.n = [], [], [], 0
-        self.pieces.clear()
-        self.arrays = None
-
-    def piece(self, p: str) -> list[int]:
-        if (ids := self.pieces.get(p)) is None:
-            ids = self.pieces[p] = [t.id for t in self.lib.model.tokenize(p.translate(self.table))]
-        return ids
-
-    def learn(self, words: list[bytes]) -> None:
-        hard = []
-        for w in words:
-            s = w.decode()
-            if self.EASY.fullmatch(s) and not any(x in s for x in self.special):
-                self._put(w, [i for p in self.PIECES.findall(s.lower()) for i in self.piece(p)])
-            else:
-                hard.append(w)
-        for w, e in zip(hard, self.lib.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)):
-            self._put(w, e.ids)
-        self.arrays = None
-
-    def _put(self, w: bytes, ids: list[int]) -> None:
-        self.at[w] = len(self.starts)
-        self.starts.append(self.n)
-        self.lens.append(len(ids))
-        self.pool.extend(ids)
-        self.n += len(ids)
+        self.at: dict[str, int] = {}
+        self.starts, self.lens, self.pool = (np.zeros(1 << 10, np.int64) for _ in range(3))
+        self.n = 0
+
+    def pieces(self, text: str) -> list[str]:
+        """Pieces of an easy text; of others the words, marked by a character that no piece has."""
+        if self.EASY.fullmatch(text) and not any(x in text for x in self.special):
+            return self.PIECES.findall(text.lower())
+        return ["\0" + w.decode() for w in text.encode().split()]  # at ASCII white space, all of which is dropped
+
+    def learn(self, pieces: list[str]) -> None:
+        tokenize, spread = self.lib.model.tokenize, self.spread
+        hard = [p[1:] for p in pieces if p[0] == "\0"]
+        easy = [p for p in pieces if p[0] != "\0"]
+        ids = [[t.id for t in tokenize(p if p.isascii() else p.translate(spread))] for p in easy]
+        ids += [e.ids for e in self.lib.encode_batch_fast(hard, add_special_tokens=False)]
+        known, lens = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids))
+        self.at.update(zip([*easy, *("\0" + w for w in hard)], range(known, known + len(ids))))
+        total = int(lens.sum())
+        for name, n in (("starts", known + len(ids)), ("lens", known + len(ids)), ("pool", self.n + total)):
+            if n > len(getattr(self, name)):
+                setattr(self, name, np.resize(getattr(self, name), 2 * n))
+        self.lens[known : known + len(ids)] = lens
+        self.starts[known : known + len(ids)] = self.n + np.cumsum(lens) - lens
+        self.pool[self.n : self.n + total] = np.fromiter(chain.from_iterable(ids), np.int64, total)
+        self.n += total
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, each with the end id, and the texts' lengths in ids."""
         if len(self.at) > CACHE_WORDS:
             self.reset()
-        split = [t.split() for t in texts]  # at ASCII white space, all of which the tokenizer drops
-        new = set().union(*split).difference(self.at) if split else set()
-        if new or self.arrays is None:
+        split = [self.pieces(t.decode()) for t in texts]
+        if new := set().union(*split).difference(self.at):
             self.learn(list(new))
-            self.arrays = [np.array(x, np.int64) for x in (self.starts, self.lens)] + [np.array([*self.pool, end], np.uint32)]
-        starts, lens, pool = self.arrays
-        get = self.at.__getitem__
-        n_words = [len(x) for x in split]
-        which = np.fromiter((get(w) for x in split for w in x), np.int64, sum(n_words))
-        # an end id after the words of each text
-        ends = np.cumsum(np.array(n_words, np.int64) + 1) - 1
-        s, k = np.full(len(which) + len(texts), len(pool) - 1, np.int64), np.ones(len(which) + len(texts), np.int64)
-        is_word = np.ones(len(s), bool)
-        is_word[ends] = False
-        s[is_word], k[is_word] = starts[which], lens[which]
-        per_text = np.add.reduceat(k, np.concatenate([[0], ends[:-1] + 1])) if len(texts) else np.zeros(0, np.int64)
-        return pool[ranges(s, k)], per_text
-
-
-def byte_char(b: int) -> str:
-    from heliograph.llm.bpe import byte_alphabet
-
-    return byte_alphabet()[b]
+        n_pieces = np.fromiter(map(len, split), np.int64, len(split))
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(n_pieces.sum()))
+        lens = self.lens[which]
+        ends = np.cumsum(n_pieces)
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        per_text = np.diff(np.concatenate([[0], upto[ends]])) + 1
+        out = np.full(int(per_text.sum()), end, np.uint32)
+        body = np.ones(len(out), bool)
+        body[np.cumsum(per_text) - 1] = False
+        out[body] = self.pool[ranges(self.starts[which], lens)]
+        return out, per_text
 
 
 _made: dict[str, WordIds] = {}
