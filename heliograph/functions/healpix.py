@@ -111,7 +111,8 @@ def pack_stages(order: int, out: str, x: str, y: str, f: str, p: str = "pk") ->
     for k, (s, m) in enumerate(MASKS):
         stages.append({f"{p}_x{k}": f"({a} | ({a} << {s})) & {big(m)}", f"{p}_y{k}": f"({b} | ({b} << {s})) & {big(m)}"})
         a, b = f"{p}_x{k}", f"{p}_y{k}"
-    return [*stages, {out: f"({f} << {2 * order}) | {a} | ({b} << 1)"}]
+    # not nullable, so that no filter on nulls is pushed down and unfolds the stages
+    return [*stages, {out: f"coalesce(({f} << {2 * order}) | {a} | ({b} << 1), {big(-1)})"}]
 
 
 def unpack_stages(order: int, pix: str, p: str = "up") -> list[Stage]:
@@ -142,7 +143,7 @@ def angle_stages(order: int, x: str, y: str, f: str, ra: str, dec: str, p: str =
             f"{p}_z": f"CASE WHEN {p}_jr < {ns}e0 THEN 1e0 - {p}_nr * {p}_nr / {3 * ns * ns}e0 WHEN {p}_jr > {3 * ns}e0 THEN {p}_nr * {p}_nr / {3 * ns * ns}e0 - 1e0 ELSE ({2 * ns}e0 - {p}_jr) * 2e0 / {3 * ns}e0 END",
             f"{p}_w": f"{pick(JP, f)} * {p}_nr + ({x}) - ({y})",
         },
-        {ra: f"CASE WHEN {p}_nr <= 0e0 THEN 0e0 ELSE 45e0 * (({p}_w + 8e0 * {p}_nr) % (8e0 * {p}_nr)) / {p}_nr END", dec: f"degrees(asin(greatest(-1e0, least(1e0, {p}_z))))"},
+        {ra: f"coalesce(CASE WHEN {p}_nr <= 0e0 THEN 0e0 ELSE 45e0 * (({p}_w + 8e0 * {p}_nr) % (8e0 * {p}_nr)) / {p}_nr END, CAST('NaN' AS DOUBLE))", dec: f"coalesce(degrees(asin(greatest(-1e0, least(1e0, {p}_z)))), CAST('NaN' AS DOUBLE))"},
     ]
 
 

@@ -1,7 +1,9 @@
-"""k nearest neighbours within a distance, as an equi-join on cells.
+"""k nearest neighbours within a distance, as an equi-join on cells of declination zones.
 
-The second side is copied to its cell and the eight around it; a cell is at least twice as wide as the distance, so every pair in
-reach meets in exactly one cell. Ranks are by great-circle distance, ties by the second side's id.
+The sky is cut into zones at least as high as the distance, and each zone into bins of right ascension that are at least as wide
+as two points so near can be apart there. Rows of one side have one cell, rows of the other are copied to their cell
+and those around it, so every pair in reach meets in exactly one cell. Ranks are by great-circle distance, ties by the second
+side's id. Works for any distance; a few cells then hold all rows, as nearly all pairs match.
 """
 
 from __future__ import annotations
@@ -11,43 +13,65 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.functions import healpix as hp
 from heliograph.functions.geometry import gc_dist
 from heliograph.functions.stages import apply
-from heliograph.operators.partitioning import with_pixel
+from heliograph.operators.columns import quoted
 
+#: Degrees that a zone is high at least.
+LEAST_HEIGHT = 1e-3
+#: More than the bins of any zone.
+BINS = 1 << 22
 
-def cell_order(distance: float) -> int | None:
-    """The finest order (14 at most) whose cells are wide enough; None if no cell is."""
-    if distance > 0.5 * hp.resolution(0):
-        return None
-    return min(14, max(0, math.floor(math.log2(0.5 * hp.resolution(0) / distance)))) if distance > 0 else 14
 
+def zone_height(distance: float) -> float:
+    return min(180.0, max(LEAST_HEIGHT, distance * 1.000001 + 1e-9))
 
-def with_halo(df: DataFrame, order: int, cell: str = "__cell") -> DataFrame:
-    """Each row once for its cell and for each cell around it."""
-    stages = hp.unpack_stages(order, cell, "__u")
-    rows = apply(df, [*stages, *hp.neighbour_stages(order, "__u_x", "__u_y", "__u_f", "__n")], [f"__n{k}" for k in range(8)])
-    around = F.array(F.col(cell), *[F.col(f"__n{k}") for k in range(8)])
-    if order == 0:  # there a cell can be a neighbour twice
-        around = F.array_distinct(around)
-    return rows.withColumn("__cells", around).drop(cell, *[f"__n{k}" for k in range(8)]).withColumn(cell, F.explode("__cells")).drop("__cells").where(F.col(cell) >= 0)
 
+def n_zones(height: float) -> int:
+    return math.ceil(180.0 / height)
 
-def cross_match(one: DataFrame, two: DataFrame, n: int, distance: float, key: str, other_key: str, pair_condition=None, coords=(("ra1", "dec1"), ("ra2", "dec2")), cells: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+
+def bin_stages(height: float, zone: str, ra: str, p: str) -> list[dict[str, str]]:
+    """``{p}n`` and ``{p}b``: a zone's number of bins, and the bin of a right ascension."""
+    h = f"CAST('{height!r}' AS DOUBLE)"
+    edge = f"least(90e0, greatest(abs({zone} * {h} - 90e0), abs(({zone} + 1) * {h} - 90e0)))"
+    return [
+        {f"{p}e": edge},
+        {f"{p}w": f"CASE WHEN {p}e + {h} >= 89.999e0 THEN 360e0 ELSE degrees(asin(sin(radians({h})) / cos(radians({p}e)))) * 1.000001e0 END"},
+        {f"{p}n": f"CASE WHEN {p}w > 120e0 THEN CAST(1 AS BIGINT) ELSE CAST(floor(360e0 / {p}w) AS BIGINT) END"},
+        {f"{p}b": f"least({p}n - 1, CAST(floor(((({ra} % 360e0) + 360e0) % 360e0) / 360e0 * {p}n) AS BIGINT))"},
+    ]
+
+
+def zone_sql(height: float, dec: str) -> str:
+    return f"least(CAST({n_zones(height) - 1} AS BIGINT), CAST(floor(({dec} + 90e0) / CAST('{height!r}' AS DOUBLE)) AS BIGINT))"
+
+
+def with_cell(df: DataFrame, height: float, ra: str, dec: str, cell: str = "__cell") -> DataFrame:
+    stages = [{"__z": zone_sql(height, quoted(dec))}, *bin_stages(height, "__z", quoted(ra), "__z"), {cell: f"__z * {BINS} + __zb"}]
+    return apply(df, stages, [cell])
+
+
+def with_cells_around(df: DataFrame, height: float, ra: str, dec: str, cell: str = "__cell") -> DataFrame:
+    """Each row once for each cell that may hold rows in reach."""
+    own = [F.col(quoted(c)) for c in df.columns]
+    zone = F.expr(zone_sql(height, quoted(dec)))
+    last = n_zones(height) - 1
+    rows = df.select(*own, F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), zone - 1), F.least(F.lit(last).cast("bigint"), zone + 1))).alias("__z"))
+    rows = apply(rows, bin_stages(height, "__z", quoted(ra), "__z"), ["__zn", "__zb"])
+    bins = F.when(F.col("__zn") == 1, F.array(F.col("__zb"))).otherwise(F.array(*[F.pmod(F.col("__zb") + k, F.col("__zn")) for k in (-1, 0, 1)]))
+    return rows.select(*own, "__z", F.explode(bins).alias("__k")).select(*own, (F.col("__z") * BINS + F.col("__k")).alias(cell))
+
+
+def cross_match(one: DataFrame, two: DataFrame, n: int, distance: float, key: str, other_key: str, pair_condition=None, coords=(("ra1", "dec1"), ("ra2", "dec2"))) -> DataFrame:
     """For each row of ``one`` its ``n`` nearest of ``two`` nearer than ``distance``, with _DIST. ``key`` is unique in
-    ``one``; ``other_key`` settles ties. Column names of the sides must differ. ``cells`` name columns that hold the
-    rows' order-14 pixels where these are stored."""
+    ``one``; ``other_key`` settles ties. Column names of the sides must differ."""
     if n < 1:
         raise ValueError("n_neighbors must be 1 or more")
     (ra1, dec1), (ra2, dec2) = coords
-    order = cell_order(distance)
-    if order is None:  # farther than a sixth of the sky: every row may match every other
-        pairs = one.join(two, gc_dist(ra1, dec1, ra2, dec2) < distance)
-    else:
-        side = lambda df, ra, dec, cell: df.withColumn("__cell", F.shiftright(F.col(cell), 2 * (14 - order))) if cell else with_pixel(df, order, ra, dec, "__cell")
-        pairs = side(one, ra1, dec1, cells[0]).join(with_halo(side(two, ra2, dec2, cells[1]), order), "__cell").drop("__cell")
-    pairs = pairs.withColumn("_DIST", gc_dist(ra1, dec1, ra2, dec2)).where(F.col("_DIST") < distance)
+    height = zone_height(distance)
+    pairs = with_cell(one, height, ra1, dec1).join(with_cells_around(two, height, ra2, dec2), "__cell").drop("__cell")
+    pairs = pairs.withColumn("_DIST", gc_dist(quoted(ra1), quoted(dec1), quoted(ra2), quoted(dec2))).where(F.col("_DIST") < distance)
     if pair_condition is not None:
         pairs = pairs.where(pair_condition)
     by = Window.partitionBy(key).orderBy("_DIST", other_key)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from heliograph.functions import healpix as hp
 from heliograph.functions.geometry import gc_dist
 from heliograph.functions.stages import apply
-from heliograph.operators.crossmatch import cell_order, with_halo
-from heliograph.operators.partitioning import with_pixel
+from heliograph.operators.columns import quoted
+from heliograph.operators.crossmatch import with_cell, with_cells_around, zone_height
 
 
 def border_points(parts: DataFrame, margin: float, orders: list[int]) -> DataFrame:
@@ -33,20 +33,18 @@ def border_points(parts: DataFrame, margin: float, orders: list[int]) -> DataFra
     return out
 
 
-def margin_rows(rows: DataFrame, parts: DataFrame, orders: list[int], margin: float, ra: str, dec: str, key: str) -> DataFrame:
-    """Rows (with Norder and Npix of their own partition, and a unique ``key``) as many times as there are other partitions within
+def margin_rows(rows: DataFrame, parts: DataFrame, orders: list[int], margin: float, ra: str, dec: str, stage, key: str = "_ID") -> DataFrame:
+    """Rows (with Norder and Npix of their own partition, and their spatial id) as many times as there are other partitions within
     the margin; Norder, Npix and Dir then name that partition. Points of the border are sampled, so a row up to a
     twentieth of the margin beyond it can be included; none within it is missed."""
     if margin <= 0:
         raise ValueError("the margin must be positive")
     reach = margin * 1.05
-    order = cell_order(reach)
-    if order is None:
-        raise ValueError("the margin is too wide")
+    height = zone_height(reach)
     points = border_points(parts, margin, orders).withColumnsRenamed({"Norder": "__mo", "Npix": "__mp"})
-    points = with_halo(with_pixel(points, order, "bra", "bdec", "__cell"), order)
-    slim = with_pixel(rows.select(key, ra, dec, "Norder", "Npix"), order, ra, dec, "__cell")
+    points = with_cells_around(stage(points), height, "bra", "bdec")  # these grow with the partitions' borders
+    slim = with_cell(rows.select(key, quoted(ra), quoted(dec), "Norder", "Npix"), height, ra, dec)
     near = slim.join(points, "__cell").where((F.col("__mo") != F.col("Norder")) | (F.col("__mp") != F.col("Npix")))
-    near = near.where(gc_dist(ra, dec, "bra", "bdec") <= reach).select(key, "__mo", "__mp").distinct()
+    near = near.where(gc_dist(quoted(ra), quoted(dec), "bra", "bdec") <= reach).select(key, "__mo", "__mp").distinct()
     out = rows.drop("Norder", "Npix", "Dir").join(near, key).withColumnsRenamed({"__mo": "Norder", "__mp": "Npix"})
     return out.withColumn("Npix", F.col("Npix").cast("int")).withColumn("Dir", (F.floor(F.col("Npix") / 10000) * 10000).cast("int"))

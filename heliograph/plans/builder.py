@@ -54,6 +54,11 @@ class CatalogBuilder:
             storage.write_text(self.spark, stamp, "")
         return self.spark.read.parquet(path)
 
+    def _staged(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/borders"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def build(self) -> Catalog:
         spark = self.spark
         dens = self.density()
@@ -72,8 +77,9 @@ class CatalogBuilder:
         storage.write_text(spark, f"{self.root}/{self.name}_meta.json", json.dumps(meta, indent=4))
         cat = Catalog(spark, self.name, self.root.rpartition("/")[0] or ".")
         if self.margin:
-            near = mg.margin_rows(cat.load(), parts, [int(o) for o in meta["hips"]], self.margin, self.ra, self.dec, "_ID") if listed else cat.load().limit(0)
+            near = mg.margin_rows(cat.load(), parts, [int(o) for o in meta["hips"]], self.margin, self.ra, self.dec, self._staged) if listed else cat.load().limit(0)
             write_tree(near.select(*rows.columns), f"{self.root}/neighbor")
+            storage.delete(spark, f"{self.root}/borders")
             if not storage.exists(spark, f"{self.root}/neighbor/Norder=0") and not any(s.isDirectory() for s in storage.file_system(spark, self.root)[0].listStatus(storage.file_system(spark, f"{self.root}/neighbor")[1])):
                 spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{self.root}/neighbor")  # a table without rows still has a schema
         return cat

@@ -92,7 +92,7 @@ class Catalog:
         def side(cat: Catalog, cols: list[str] | None, k: int) -> tuple[DataFrame, list[str]]:
             names = cat._columns(cols)
             own = [F.col(quoted(c)).alias(f"{cat.name}{delim}{c}") for c in names]
-            extra = [F.col(quoted(cat.ra)).cast("double").alias(f"__ra{k}"), F.col(quoted(cat.dec)).cast("double").alias(f"__dec{k}"), F.col(quoted(cat.id)).alias(f"__id{k}"), F.col("_ID").alias(f"__key{k}"), F.shiftright("_ID", pt.RANK_BITS).alias(f"__p{k}"), F.col("Norder").alias(f"__o{k}"), F.col("Npix").cast("bigint").alias(f"__x{k}")]
+            extra = [F.col(quoted(cat.ra)).cast("double").alias(f"__ra{k}"), F.col(quoted(cat.dec)).cast("double").alias(f"__dec{k}"), F.col(quoted(cat.id)).alias(f"__id{k}"), F.col("_ID").alias(f"__key{k}"), F.col("Norder").alias(f"__o{k}"), F.col("Npix").cast("bigint").alias(f"__x{k}")]
             return cat.tree().select(*own, *extra), [f"{cat.name}{delim}{c}" for c in names]
 
         one, names1 = side(self, c1_cols, 1)
@@ -100,7 +100,7 @@ class Catalog:
         if len(names1) + len(names2) > MANY:
             warnings.warn(f"the result has {len(names1) + len(names2)} columns; name those you need", stacklevel=2)
         inside = F.expr("shiftright(__x1, 2 * greatest(0, __o1 - __o2)) = shiftright(__x2, 2 * greatest(0, __o2 - __o1))")
-        found = xm.cross_match(one, two, n_neighbors, dthresh, "__key1", "__id2", None if evaluate_margins else inside, (("__ra1", "__dec1"), ("__ra2", "__dec2")), ("__p1", "__p2"))
+        found = xm.cross_match(one, two, n_neighbors, dthresh, "__key1", "__id2", None if evaluate_margins else inside, (("__ra1", "__dec1"), ("__ra2", "__dec2")))
         finer = F.col("__o2") > F.col("__o1")
         return found.select(*[quoted(c) for c in [*names1, *names2]], F.when(finer, F.col("__o2")).otherwise(F.col("__o1")).alias("hips_k"), F.when(finer, F.col("__x2")).otherwise(F.col("__x1")).alias("hips_pix"), "_DIST")
 
