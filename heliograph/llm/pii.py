@@ -35,14 +35,21 @@ KINDS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 PATTERN = "|".join(KINDS.values())
+#: What every find has in it.
+GATE = "[@0-9]|[a-f]{32}"
 
 
 def char(s: Column, i: Column) -> Column:
     return F.substring(s, i, F.lit(1))
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def each_char(s: Column, f) -> Column:
-    """``f(character, its place from 1)`` for all characters, joined."""
+    """``f(character, its place from 1)`` for all characters of ``s`` (a column or lambda variable), joined."""
     return F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: f(char(s, i), i)), "")).otherwise("")
 
 
@@ -52,13 +59,18 @@ def round_key(key: str, tweak: str, r: Column, size: Column, half: Column) -> Co
 
 def shift(s: Column, by: Column, alphabet: str) -> Column:
     """``s`` with each character moved along the alphabet by two hex digits of ``by``."""
-    step = lambda i: F.conv(F.substring(by, (2 * ((i - 1) % 32) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    step = lambda by, i: F.conv(F.substring(by, (2 * ((i - 1) % 32) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     place = lambda c: F.instr(F.lit(alphabet), c) - 1
-    return each_char(s, lambda c, i: F.substring(F.lit(alphabet), ((place(c) + step(i)) % len(alphabet) + 1).cast("int"), F.lit(1)))
+    moved = lambda by: each_char(s, lambda c, i: F.substring(F.lit(alphabet), ((place(c) + step(by, i)) % len(alphabet) + 1).cast("int"), F.lit(1)))
+    return let(by, moved)
 
 
 def feistel(s: Column, alphabet: str, key: str, tweak: str) -> Column:
     """A keyed permutation of the strings of one length over the alphabet."""
+    return let(s, lambda v: _feistel(v, alphabet, key, tweak))
+
+
+def _feistel(s: Column, alphabet: str, key: str, tweak: str) -> Column:
     n, half = F.length(s), F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, n).alias("b"))
 
@@ -74,7 +86,8 @@ def feistel(s: Column, alphabet: str, key: str, tweak: str) -> Column:
 
 def put_back(form: Column, new: Column, kept: str) -> Column:
     """``form`` with its k-th character of class ``kept`` replaced by the k-th of ``new``."""
-    return each_char(form, lambda c, i: F.when(c.rlike(f"[{kept}]"), char(new, F.length(F.regexp_replace(F.substring(form, F.lit(1), i), f"[^{kept}]", "")))).otherwise(c))
+    place = lambda i: F.length(F.regexp_replace(F.substring(form, F.lit(1), i), f"[^{kept}]", ""))
+    return let(new, lambda v: each_char(form, lambda c, i: F.when(c.rlike(f"[{kept}]"), char(v, place(i))).otherwise(c)))
 
 
 def digits_of(s: Column) -> Column:
@@ -83,23 +96,29 @@ def digits_of(s: Column) -> Column:
 
 def luhn_sum(s: Column, doubled_last: bool) -> Column:
     """The Luhn sum of a digit string whose last digit is doubled or not."""
-    n = F.length(s)
 
-    def add(total: Column, i: Column) -> Column:
-        d = char(s, i).cast("int")
-        twice = (n - i) % 2 == F.lit(0 if doubled_last else 1)
-        return total + F.when(twice, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
+    def total(v: Column) -> Column:
+        def add(t: Column, i: Column) -> Column:
+            d = char(v, i).cast("int")
+            twice = (F.length(v) - i) % 2 == F.lit(0 if doubled_last else 1)
+            return t + F.when(twice, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+    return let(s, total)
 
 
 def mod97(s: Column) -> Column:
     """The value of an IBAN-like string (A is 10) modulo 97."""
-    def add(r: Column, i: Column) -> Column:
-        v = F.instr(F.lit(ALNUM.upper()), char(s, i)) - 1
-        return F.when(v < 10, (r * 10 + v) % 97).otherwise((r * 100 + v) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
+    def total(v: Column) -> Column:
+        def add(r: Column, i: Column) -> Column:
+            d = F.instr(F.lit(ALNUM.upper()), char(v, i)) - 1
+            return F.when(d < 10, (r * 10 + d) % 97).otherwise((r * 100 + d) % 97)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0), add)
+
+    return let(s, total)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -111,20 +130,19 @@ def pseudonym(m: Column, key: str) -> Column:
     # cards
     d = digits_of(m)
     body = feistel(F.substring(d, F.lit(1), F.length(d) - 1), DIGITS, key, "card")
-    card = put_back(m, F.concat(body, ((10 - luhn_sum(body, True) % 10) % 10).cast("string")), "0-9")
+    card = put_back(m, let(body, lambda b: F.concat(b, ((10 - luhn_sum(b, True) % 10) % 10).cast("string"))), "0-9")
     # phones: with a plus sign the first digit stays
     lead = F.when(m.startswith("+"), 1).otherwise(0)
     phone = put_back(m, F.concat(F.substring(d, F.lit(1), lead), feistel(F.substring(d, lead + 1, F.length(d)), DIGITS, key, "phone")), "0-9")
     ssn = put_back(m, feistel(d, DIGITS, key, "ssn"), "0-9")
     # IPv4 as eight hex digits
     octets = F.array_join(F.transform(F.split(m, r"\."), lambda o: F.lpad(F.lower(F.conv(o, 10, 16)), 2, "0")), "")
-    hexed = feistel(octets, HEX, key, "ip")
-    ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda i: F.conv(F.substring(hexed, i, F.lit(2)), 16, 10)), ".")
+    ip = let(feistel(octets, HEX, key, "ip"), lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda i: F.conv(F.substring(x, i, F.lit(2)), 16, 10)), "."))
     # IBAN
     rest = F.substring(m, F.lit(5), F.length(m))
     new_rest = put_back(rest, feistel(digits_of(rest), DIGITS, key, "iban"), "0-9")
     country = F.substring(m, 1, 2)
-    iban = F.concat(country, F.lpad((98 - mod97(F.concat(new_rest, country, F.lit("00")))).cast("string"), 2, "0"), new_rest)
+    iban = let(new_rest, lambda r: F.concat(country, F.lpad((98 - mod97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
     # dates
     forms = [("yyyy-MM-dd", "^[0-9]{4}-"), ("dd/MM/yyyy", "/"), ("MM/dd/yyyy", "/"), ("dd.MM.yyyy", r"\."), ("MM.dd.yyyy", r"\.")]
     date = m
@@ -146,6 +164,7 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def permuted_day(n: Column, key: str) -> Column:
+    """The keyed permutation of the days from FIRST_DAY on."""
     start = F.struct(F.floor(n / DAYS_B).cast("int").alias("a"), (n % DAYS_B).cast("int").alias("b"))
     draw = lambda r, x: F.conv(F.substring(round_key(key, "date", r, F.lit(DAYS_A * DAYS_B), x.cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
 
@@ -161,13 +180,22 @@ def permuted_day(n: Column, key: str) -> Column:
 
 def replaced(text: Column, key: str) -> Column:
     """A struct of the text with pseudonyms and how many values were replaced."""
-    # Only the few texts with a find are split; the finds stand between the pieces.
+    # Only texts that pass the gate are searched; the finds stand between the pieces that the pattern splits off.
     finds = F.regexp_extract_all(text, F.lit(f"({PATTERN})"), 1)
-    pieces = F.split(text, PATTERN, -1)
-    new = F.transform(finds, lambda m: pseudonym(m, key))
-    joined = F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
-    changed = F.size(F.filter(F.zip_with(finds, new, lambda a, b: a != b), lambda x: x)).cast("bigint")
-    return F.when(text.rlike(PATTERN), F.struct(joined.alias("text"), changed.alias("n"))).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n")))
+
+    def rebuilt(old: Column, new: Column) -> Column:
+        joined = F.array_join(F.flatten(F.zip_with(F.split(text, PATTERN, -1), new, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
+        changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("bigint")
+        return F.struct(joined.alias("text"), changed.alias("n"))
+
+    same = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n"))
+    search = let(finds, lambda old: F.when(F.size(old) > 0, let(F.transform(old, lambda m: pseudonym(m, key)), lambda new: rebuilt(old, new))).otherwise(same))
+    return F.when(text.rlike(GATE), search).otherwise(same)
+
+
+def once(df: DataFrame, new: Column, *keep: str) -> DataFrame:
+    """The kept columns and ``new`` as column __new, which later projections use without working it out again."""
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.explode(F.array(new)).alias("__new"))
 
 
 def default_key(spark: SparkSession) -> str:
@@ -178,14 +206,15 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, and the number of values that got one."""
     key = key or default_key(docs.sparkSession)
     src = only(docs, "doc_id", "text")
-    done = src.select(src["doc_id"].cast("bigint").alias("doc_id"), replaced(F.col("text"), key).alias("new"))
-    return done.select("doc_id", F.col("new.text").alias("text"), F.col("new.n").alias("n_replaced"))
+    done = once(src.select(src["doc_id"].cast("bigint").alias("doc_id"), "text"), replaced(F.col("text"), key), "doc_id")
+    return done.select("doc_id", F.col("__new.text").alias("text"), F.col("__new.n").alias("n_replaced"))
 
 
 def replace_text(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The documents, whatever their columns, with pseudonyms in their texts."""
     key = key or default_key(docs.sparkSession)
-    return docs.withColumn("text", replaced(F.col("text"), key)["text"])
+    done = once(docs, replaced(F.col("text"), key), *docs.columns)
+    return done.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
