@@ -18,6 +18,7 @@ import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,7 +33,7 @@ CACHE_WORDS = 300_000
 #: Characters of text that are split into words at once.
 CHARS_AT_ONCE = 1 << 20
 NEVER = 1 << 40
-#: Bytes up to which a plain list of pairs is faster than a heap.
+#: Bytes up to which failing words are merged together in rows of a matrix.
 SHORT = 40
 
 
@@ -74,11 +75,14 @@ class ByteBPE:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_ranks = np.array([r for r, _ in self.merged.values()], np.int64)[order]
+        self.pair_ids = np.array([z for _, z in self.merged.values()], np.int64)[order]
         self.byte_id = [vocab[c] for c in byte_alphabet()]
         self.known = {self.token[i]: i for i in vocab.values() if self._own(i)}
-        self.longest: dict[bytes, int] = {}
-        for t in self.known:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
+        self.matcher = ahocorasick.Automaton()
+        for t, i in self.known.items():
+            self.matcher.add_word(t.decode("latin-1"), i)
+        self.matcher.make_automaton()
+        self.size = np.array([len(t) for t in self.token], np.int64)
         self.words = regex.compile(WORD_PATTERN)
         self.splitter = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -103,9 +107,7 @@ class ByteBPE:
         ok = np.ones(len(a), bool)
         at = np.arange(len(a))
         while len(at):
-            key = (a << 32) | b
-            k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            m = np.where(self.pair_keys[k] == key, self.pair_ranks[k], NEVER) if len(self.pair_keys) else np.full(len(at), NEVER)
+            m = self.lookup(a, b)[0]
             ra, rb = self.rank[a], self.rank[b]
             bad = (m < end_a) & (m <= end_b) & (m > ra) & (m > rb) & (m < NEVER)
             ok[at[bad]] = False
@@ -116,37 +118,64 @@ class ByteBPE:
             end_a, a = np.where(undo_b, end_a, ra), np.where(undo_b, a, self.right[a])
         return ok
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        known, longest, out, p, n = self.known, self.longest, [], 0, len(word)
-        while p < n:
-            for k in range(min(longest.get(word[p : p + 2], 1), n - p), 1, -1):
-                if (t := known.get(word[p : p + k])) is not None:
-                    out.append(t)
-                    p += k
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words at once: tokens, and their words."""
+        # one more character, which is in no token, stands between words
+        found = list(self.matcher.iter_long("\u0100".join([w.decode("latin-1") for w in words])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        return pairs[:, 1], np.searchsorted(np.cumsum(lens + 1) - 1, pairs[:, 0], side="right")
+
+    def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the merge of each pair (NEVER if there is none), and what it makes."""
+        if not len(self.pair_keys):
+            return np.full(a.shape, NEVER), np.zeros(a.shape, np.int64)
+        key = (a << 32) | b
+        k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        hit = self.pair_keys[k] == key
+        return np.where(hit, self.pair_ranks[k], NEVER), self.pair_ids[k]
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of many short words, a merge a word and round."""
+        out: list = [None] * len(words)
+        for longest in (8, 16, SHORT):
+            which = [i for i, w in enumerate(words) if out[i] is None and len(w) <= longest]
+            if not which:
+                continue
+            n = np.array([len(words[i]) for i in which])
+            ids = np.asarray(self.byte_id)[np.frombuffer(b"".join(words[i].ljust(longest, b"\0") for i in which), np.uint8).reshape(-1, longest)]
+            rank, made = self.lookup(ids[:, :-1], ids[:, 1:])
+            rank[np.arange(longest - 1) >= (n - 1)[:, None]] = NEVER
+            live = np.arange(len(which))
+            while True:
+                best = rank[live].argmin(1)
+                go = rank[live, best] < NEVER
+                live, best = live[go], best[go]
+                if not len(live):
                     break
-            else:
-                out.append(self.byte_id[word[p]])
-                p += 1
+                ids[live, best] = made[live, best]
+                place = np.arange(longest - 1)
+                shift = np.minimum(place + (place > best[:, None]), longest - 2)
+                keep = np.arange(longest)
+                ids[live] = np.take_along_axis(ids[live], np.minimum(keep + (keep > best[:, None]), longest - 1), 1)
+                rank[live], made[live] = np.take_along_axis(rank[live], shift, 1), np.take_along_axis(made[live], shift, 1)
+                n[live] -= 1
+                rank[live, n[live] - 1] = NEVER
+                for at in (best - 1, best):
+                    ok = np.flatnonzero((at >= 0) & (at < n[live] - 1))
+                    r, c = live[ok], at[ok]
+                    rank[r, c], made[r, c] = self.lookup(ids[r, c], ids[r, c + 1])
+            for i, row, k in zip(which, ids.tolist(), n.tolist()):
+                out[i] = row[:k]
+        for i, w in enumerate(words):
+            if out[i] is None:
+                out[i] = self.merge(w)
         return out
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, from the left; long words with a heap over a linked list."""
+        """Exact merging of a long word: the lowest rank first, from the left, with a heap over a linked list."""
         ids = [self.byte_id[c] for c in word]
         n = len(ids)
-        if n <= SHORT:
-            none = (NEVER, 0)
-            get = self.merged.get
-            made = [get(p, none) for p in zip(ids, ids[1:])]
-            while made and (best := min(made))[0] < NEVER:
-                i = made.index(best)
-                ids[i : i + 2] = [best[1]]
-                del made[i]
-                if i:
-                    made[i - 1] = get((ids[i - 1], best[1]), none)
-                if i < len(made):
-                    made[i] = get((best[1], ids[i + 1]), none)
-            return ids
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*self.merged[p], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.merged]
         heap = [(r, i, z, p) for r, z, i, p in heap]
@@ -169,15 +198,16 @@ class ByteBPE:
         """Put the encodings of new distinct words into the cache."""
         words = list(words)
         raw = [w.encode() for w in words]
-        guess = [[t] if (t := self.known.get(b)) is not None else self.propose(b) for b in raw]
-        lens = np.fromiter(map(len, guess), np.int64, len(guess))
-        flat = np.fromiter(chain.from_iterable(guess), np.int64, int(lens.sum()))
-        owner = np.repeat(np.arange(len(guess)), lens)
+        flat, owner = self.propose(raw)
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        wrong = np.bincount(owner, weights=self.size[flat], minlength=len(raw)) != lens  # not covered: cannot be, but would show here
         pairs = np.flatnonzero(owner[1:] == owner[:-1])
-        bad = pairs[~self.compatible(flat[pairs], flat[pairs + 1])]
-        for i in np.unique(owner[bad]).tolist():
-            guess[i] = self.merge(raw[i])
-        self.cache.update(zip(words, map(tuple, guess)))
+        wrong[owner[pairs[~self.compatible(flat[pairs], flat[pairs + 1])]]] = True
+        ends = np.cumsum(np.bincount(owner, minlength=len(raw))).tolist()
+        ids = flat.tolist()
+        self.cache.update(zip(words, [tuple(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends)]))
+        failing = np.flatnonzero(wrong).tolist()
+        self.cache.update(zip([words[i] for i in failing], map(tuple, self.merge_many([raw[i] for i in failing]))))
 
     def pieces(self, text: str) -> list[str]:
         return self.words.findall(text)
