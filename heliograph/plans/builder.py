@@ -6,7 +6,6 @@ import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from heliograph.functions import healpix as hp
 from heliograph.operators import margin as mg
@@ -80,11 +79,13 @@ class CatalogBuilder:
             near = mg.margin_rows(cat.load(), parts, [int(o) for o in meta["hips"]], self.margin, self.ra, self.dec, self._staged) if listed else cat.load().limit(0)
             write_tree(near.select(*rows.columns), f"{self.root}/neighbor")
             storage.delete(spark, f"{self.root}/borders")
-            if not storage.exists(spark, f"{self.root}/neighbor/Norder=0") and not any(s.isDirectory() for s in storage.file_system(spark, self.root)[0].listStatus(storage.file_system(spark, f"{self.root}/neighbor")[1])):
-                spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{self.root}/neighbor")  # a table without rows still has a schema
         return cat
 
 
 def write_tree(rows: DataFrame, path: str) -> None:
-    """One shuffle: a partition's rows come together, in NEST order."""
+    """One shuffle: a partition's rows come together, in NEST order. A tree without rows is a table, so that it has a schema."""
+    spark = rows.sparkSession
     rows.repartition("Norder", "Npix").sortWithinPartitions("Norder", "Npix", "_ID").write.mode("overwrite").partitionBy("Norder", "Dir", "Npix").parquet(path)
+    fs, p = storage.file_system(spark, path)
+    if not any(s.isDirectory() for s in fs.listStatus(p)):
+        spark.createDataFrame([], rows.schema).coalesce(1).write.mode("overwrite").parquet(path)

@@ -39,8 +39,8 @@ def dec_of(k: str, power: int = 1) -> str:
 OBJ = f"SELECT c_custkey AS id, {ra_of('c_custkey')} AS ra, {dec_of('c_custkey')} AS dec, c_acctbal AS mag FROM customer"
 DET = f"SELECT o_orderkey AS id, o_custkey AS obj, round(({ra_of('o_custkey')} + 0.2e0 * {frac('o_orderkey', C1)} - 0.1e0 + 360e0) % 360e0, 9) AS ra, round(greatest(-90e0, least(90e0, {dec_of('o_custkey')} + 0.2e0 * {frac('o_orderkey', C2)} - 0.1e0)), 9) AS dec, o_totalprice AS flux FROM orders"
 #: Objects crowded to one side of the sky, for partitions of several orders.
-SKEW = f"SELECT o_orderkey AS id, {ra_of('o_orderkey')} AS ra, {dec_of('o_orderkey', 3)} AS dec FROM orders"
-ORDER_K, THRESHOLD = 6, 300
+SKEW = f"SELECT o_orderkey AS id, {ra_of('o_orderkey')} AS ra, {dec_of("o_orderkey", 2)} AS dec FROM orders"
+ORDER_K, THRESHOLD = 7, 300
 
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
