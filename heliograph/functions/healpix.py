@@ -162,9 +162,9 @@ def neighbour_stages(order: int, x: str, y: str, f: str, p: str = "nb") -> list[
         one[0] |= {f"{q}_u": f"({x}) + ({dx})", f"{q}_v": f"({y}) + ({dy})"}
         one[1] |= {f"{q}_n": f"4 + CASE WHEN {q}_u < 0 THEN -1 WHEN {q}_u >= {ns} THEN 1 ELSE 0 END + CASE WHEN {q}_v < 0 THEN -3 WHEN {q}_v >= {ns} THEN 3 ELSE 0 END"}
         one[2] |= {f"{q}_f": pick(faces, f"12 * {q}_n + {f}"), f"{q}_t": pick(turns, f"3 * {q}_n + ({f} >> 2)"), f"{q}_p": f"({q}_u + {ns}) & {big(ns - 1)}", f"{q}_q": f"({q}_v + {ns}) & {big(ns - 1)}"}
-        one[3] |= {f"{q}_a": f"CASE WHEN ({q}_t & {big(1)}) > 0 THEN {ns - 1} - {q}_p ELSE {q}_p END", f"{q}_b": f"CASE WHEN ({q}_t & {big(2)}) > 0 THEN {ns - 1} - {q}_q ELSE {q}_q END"}
+        one[3] |= {f"{q}_g": f"greatest({q}_f, {big(0)})", f"{q}_a": f"CASE WHEN ({q}_t & {big(1)}) > 0 THEN {ns - 1} - {q}_p ELSE {q}_p END", f"{q}_b": f"CASE WHEN ({q}_t & {big(2)}) > 0 THEN {ns - 1} - {q}_q ELSE {q}_q END"}
         one[4] |= {f"{q}_x": f"CASE WHEN ({q}_t & {big(4)}) > 0 THEN {q}_b ELSE {q}_a END", f"{q}_y": f"CASE WHEN ({q}_t & {big(4)}) > 0 THEN {q}_a ELSE {q}_b END"}
-        parts.append(pack_stages(order, f"{q}_o", f"{q}_x", f"{q}_y", f"{q}_f", f"{q}_k"))
+        parts.append(pack_stages(order, f"{q}_o", f"{q}_x", f"{q}_y", f"{q}_g", f"{q}_k"))
     packed = [{n: e for part in parts for n, e in part[i].items()} for i in range(len(parts[0]))]
     return [*one, *packed, {f"{p}{k}": f"CASE WHEN {p}{k}_f < 0 THEN {big(-1)} ELSE {p}{k}_o END" for k in range(8)}]
 
