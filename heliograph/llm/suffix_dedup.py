@@ -43,8 +43,8 @@ STEP = 5
 #: Runs that a task gathers before it reduces them.
 ROWS_AT_ONCE = 400_000
 #: Symbols of a block and of a shard.
-BLOCK_SYMBOLS = 1 << 20
-SHARD_SYMBOLS = 1 << 18
+BLOCK_SYMBOLS = 1 << 18
+SHARD_SYMBOLS = 1 << 16
 #: Classes of a group beyond which its windows are dealt one by one.
 WIDE = 20_000
 #: Fixed value: an odd multiplier; grams are hashed as polynomials in it, modulo 2 ** 64.
@@ -331,6 +331,7 @@ def repeats(segments: list[bytes], step: int, length: int, shard_symbols: int =
     empty = ranges(ends - step, np.full(len(ends), step))
     word[empty] = 0
     alphabet, names = np.unique(word, return_inverse=True)  # empty suffixes get 0
+    del data, ext, word
     shard_of = (np.cumsum(size) - 1) // shard_symbols
     cuts = np.flatnonzero(np.concatenate([[True], shard_of[1:] != shard_of[:-1]]))
     suffix, transform, label = [], [], []
