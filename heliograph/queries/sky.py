@@ -280,7 +280,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sky-{uuid.uuid4().hex}"
 
 
-def built(spark: SparkSession, df: DataFrame, name: str, where: str, order: int = ORDER_K, threshold: int = 1000, margin: float | None = None) -> Catalog:
+def built(spark: SparkSession, df: DataFrame, name: str, where: str, order: int = ORDER_K, threshold: int = 5000, margin: float | None = None) -> Catalog:
     return CatalogBuilder(spark, name, source=df, id_kw="id", order_k=order, threshold=threshold, margin=margin, location=where, allow_overflow=True).build()
 
 
@@ -291,10 +291,10 @@ def catalog_roundtrip(spark, sf_dir):
 
 @query("catalog_cone", cone_sql(DET, 56.0, 20.0, 10.0, "flux, ra, dec, id"))
 def catalog_cone(spark, sf_dir):
-    return rounded(built(spark, table(spark, sf_dir, DET), "det", shared_dir(spark), 5, 200).cone_search(56.0, 20.0, 10.0, ["flux"]), "_DIST")
+    return rounded(built(spark, table(spark, sf_dir, DET), "det", shared_dir(spark), 5, 2000).cone_search(56.0, 20.0, 10.0, ["flux"]), "_DIST")
 
 
-def catalog_pair(spark, sf_dir, threshold=200):
+def catalog_pair(spark, sf_dir, threshold=2000):
     where = shared_dir(spark)
     return built(spark, table(spark, sf_dir, OBJ), "obj", where, 5, threshold), built(spark, table(spark, sf_dir, DET), "det", where, 5, threshold)
 
@@ -313,7 +313,7 @@ def xmatch_no_margin(spark, sf_dir):
 
 @query("margin_rows")
 def margin_rows(spark, sf_dir):
-    return built(spark, table(spark, sf_dir, DET), "det", shared_dir(spark), 5, 500, 0.5).load(["id", "Norder", "Npix"], "neighbor")
+    return built(spark, table(spark, sf_dir, DET), "det", shared_dir(spark), 5, 2000, 0.5).load(["id", "Norder", "Npix"], "neighbor")
 
 
 @query("catalog_head", "SELECT count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders")
