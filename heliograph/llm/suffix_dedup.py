@@ -405,11 +405,10 @@ def merge_groups(segments: DataFrame, length: int, step: int) -> DataFrame:
                 # up to the end of the group in which the block gets full
                 sizes = np.cumsum(rest[2][i:] + length)
                 j = i + int(np.searchsorted(sizes, BLOCK_SYMBOLS - symbols)) + 1
-                full = j <= len(key)
-                j = min(j, len(key))
-                if full and j < len(key):
+                if j < len(key):
                     j = int(np.searchsorted(key, key[j - 1], side="right"))
-                    full = j < len(key)
+                j = min(j, len(key))
+                full = j < len(key)  # at the batch's end the group may go on
                 for h, x in zip(held, (key, *rest, texts)):
                     h.append(x[i:j])
                 symbols += int((rest[2][i:j] + length).sum())
@@ -417,7 +416,7 @@ def merge_groups(segments: DataFrame, length: int, step: int) -> DataFrame:
                 if full:
                     yield settle(*[np.concatenate(h).astype(np.int64) for h in held[1:4]], [t for x in held[4] for t in x])
                     held, symbols = [[], [], [], [], []], 0
-            if symbols > BLOCK_SYMBOLS:  # full, but its last group may go on: settle all before that group
+            if symbols >= BLOCK_SYMBOLS:  # full, but its last group may go on: settle all before that group
                 k = np.concatenate(held[0])
                 cut = int(np.searchsorted(k, k[-1]))
                 d, s, m = (np.concatenate(h).astype(np.int64) for h in held[1:4])

@@ -65,3 +65,25 @@ def test_blocks_split_between_groups(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(map(tuple, sd.op1_suffix_dedup(spark, "/root/testdata/sf0.001").collect()), key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 4])
+def test_groups_go_on_after_a_full_batch(spark, monkeypatch, batch):
+    """A block gets full with the last row of an Arrow batch and its group goes on in the next one."""
+    random.seed(17)
+    line = bytes(random.choice(b"abcdefgh") for _ in range(100))
+    rows = [(7, i, 0, 2, (line + b"%d" % (i % 10)) if i % 2 else (b"%d" % (i % 10) + line)) for i in range(30)]
+    first, want = set(), {}
+    for _, d, _, m, text in rows:
+        want[d] = {i for i in range(m) if text[i : i + 100] in first}
+        first |= {text[i : i + 100] for i in range(m)}
+    monkeypatch.setattr(sd, "BLOCK_SYMBOLS", batch * 102)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = sd.merge_groups(spark.createDataFrame(rows, sd.SEGMENT), 100, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {d: set() for d in want}
+    for r in found:
+        got[r.doc_id] |= set(range(r.start, r.start + r.size - 99))
+    assert got == want
