@@ -15,7 +15,8 @@ doc_id, or earlier in the document) is removed; windows are judged on the input.
    prefix of neighbours ends. After LENGTH / STEP rounds the intervals hold the equal windows of all shards; no
    suffixes are sorted anew. In each interval every window but the first is removed.
 3. Groups with more than ``WIDE`` classes are first dealt by whole windows instead: each window then is a
-   segment with its own hash as anchor, and goes through the same steps.
+   segment with its own hash as anchor, and goes through the same steps. Each task sends a window's first occurrence
+   only, the others as removed spans; equal segments that meet in a block are reduced once more.
 
 Hashes are 64 bits for anchors and 48 more for segments.
 
@@ -29,9 +30,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ BLOCK_SYMBOLS = 1 << 18
 SHARD_SYMBOLS = 1 << 16
 #: Classes of a group beyond which its windows are dealt one by one.
 WIDE = 20_000
+#: Distinct windows of wide groups, and spans, that a task gathers before it sends them on.
+WINDOWS_AT_ONCE = 200_000
 #: Fixed value: an odd multiplier; grams are hashed as polynomials in it, modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 #: Stands for a null doc_id.
@@ -238,11 +243,29 @@ SEGMENT = "pkey bigint, doc_id bigint, start bigint, size int, bytes binary"
 
 
 def fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted runs with their segments' bytes; those of wide groups as single windows."""
+    """The wanted runs with their segments' bytes; those of wide groups as single windows, and (bytes null) spans that are
+    surely removed."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pkey", "start", "size", "kind")).alias("wanted"))  # of one document's runs
     joined = texts.join(lists.hint("shuffle_hash"), "doc_id", "left")
 
+    def out(key, doc, start, size, text) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.asarray(size).astype(np.int32)), pa.array(text, pa.binary())], names=[x.split()[0] for x in SEGMENT.split(", ")])
+
+    def send_windows(first: dict[bytes, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(first), 20_000):
+            text = list(islice(first, a, a + 20_000))
+            doc, start = zip(*islice(first.values(), a, a + 20_000))
+            key = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in text]
+            yield out(key, doc, start, np.ones(len(text)), text)
+
+    def send_spans(again: list[tuple[int, int]]) -> pa.RecordBatch:
+        doc, start = np.array(again, np.int64).reshape(-1, 2).T
+        d, a, b = merged(doc, start, start + length)
+        return out(mixed(d.view(np.uint64) + a.astype(np.uint64)).view(np.int64), d, a, b - a, [None] * len(d))
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple[int, int]] = {}  # windows of wide groups
+        again: list[tuple[int, int]] = []
         for batch in it:
             col = batch.column("wanted")
             use = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
@@ -256,23 +279,36 @@ def fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             doc = np.repeat(ids, np.diff(lists_.offsets.to_numpy()))
             key, start, size, kind = (flat.field(k).to_numpy() for k in range(4))
             start, size = start.astype(np.int64), size.astype(np.int64)
-            one = np.flatnonzero(kind == 2)
-            each = ranges(start[one], size[one])
-            again = np.repeat(one, size[one])
-            keep = np.flatnonzero(kind != 2)
-            key, doc, row = np.concatenate([key[keep], key[again]]), np.concatenate([doc[keep], doc[again]]), np.concatenate([row[keep], row[again]])
-            start, size = np.concatenate([start[keep], each]), np.concatenate([size[keep], np.ones(len(each), np.int64)])
-            fits = start + size + length - 1 <= (offs[1:] - offs[:-1])[row]  # rows that share a doc_id can differ in length
-            key, doc, row, start, size, single = (x[fits] for x in (key, doc, row, start, size, np.arange(len(key)) >= len(keep)))
-            begin = offs[row] + start
             raw = data.tobytes()
-            for a in range(0, len(key), 20_000):
-                b = slice(a, a + 20_000)
-                text = [raw[x : x + m + length - 1] for x, m in zip(begin[b].tolist(), size[b].tolist())]
-                k = key[b].copy()
-                for i in np.flatnonzero(single[b]).tolist():
-                    k[i] = int.from_bytes(hashlib.blake2b(text[i], digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(doc[b]), pa.array(start[b]), pa.array(size[b].astype(np.int32)), pa.array(text, pa.binary())], names=[x.split()[0] for x in SEGMENT.split(", ")])
+            room = (offs[1:] - offs[:-1])[row]  # rows that share a doc_id can differ in length
+            fits = np.flatnonzero((kind != 2) & (start + size + length - 1 <= room))
+            for a in range(0, len(fits), 20_000):
+                b = fits[a : a + 20_000]
+                text = [raw[x : x + m + length - 1] for x, m in zip((offs[row[b]] + start[b]).tolist(), size[b].tolist())]
+                yield out(key[b], doc[b], start[b], size[b], text)
+            one = np.flatnonzero(kind == 2)
+            for a in range(0, len(one), 1_000):
+                b = one[a : a + 1_000]
+                each, run_of = ranges(start[b], size[b]), np.repeat(b, size[b])
+                inside = each + length <= room[run_of]
+                each, run_of = each[inside], run_of[inside]
+                for x, d, s in zip((offs[row[run_of]] + each).tolist(), doc[run_of].tolist(), each.tolist()):
+                    text = raw[x : x + length]
+                    old = first.setdefault(text, (d, s))
+                    if (d, s) < old:
+                        first[text] = (d, s)
+                        again.append(old)
+                    elif old != (d, s):
+                        again.append((d, s))
+                if len(first) >= WINDOWS_AT_ONCE:
+                    yield from send_windows(first)
+                    first = {}
+                if len(again) >= WINDOWS_AT_ONCE:
+                    yield send_spans(again)
+                    again = []
+        yield from send_windows(first)
+        if again:
+            yield send_spans(again)
 
     return joined.mapInArrow(run, SEGMENT)
 
@@ -387,16 +423,33 @@ def merge_groups(segments: DataFrame, length: int, step: int) -> DataFrame:
     n = shuffle_partitions(segments.sparkSession)
     dealt = segments.repartition(n, "pkey").sortWithinPartitions("pkey")
 
-    def settle(doc, start, size, text) -> pa.RecordBatch:
+    def spans(doc, start, stop) -> pa.RecordBatch:
+        d, a, b = merged(doc, start, stop)
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array((b - a).astype(np.int32))], names=["doc_id", "start", "size"])
+
+    def distinct(doc, start, size, text) -> tuple[np.ndarray, pa.RecordBatch]:
+        """Segments in the order of their occurrences, each text once, and the spans of the others."""
         order = np.lexsort((start, doc))
+        first: dict[bytes, int] = {}
+        head = np.fromiter((first.setdefault(text[i], i) for i in order.tolist()), np.int64, len(order))
+        later = order[(doc[order] != doc[head]) | (start[order] != start[head])]
+        return order[head == order], spans(doc[later], start[later], start[later] + size[later] + length - 1)
+
+    def settle(doc, start, size, text) -> Iterator[pa.RecordBatch]:
+        order, gone = distinct(doc, start, size, text)
+        yield gone
         seg, within = removed_windows([text[i] for i in order], size[order], step, length)
-        d, a, b = merged(doc[order][seg], start[order][seg] + within, start[order][seg] + within + length)
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array((b - a).astype(np.int32))], names=["doc_id", "start", "size"])
+        yield spans(doc[order][seg], start[order][seg] + within, start[order][seg] + within + length)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], []]  # key, doc, start, size, bytes
         symbols = 0
         for batch in it:
+            whole = batch.column("bytes").is_valid()
+            gone = batch.filter(pc.invert(whole))
+            if gone.num_rows:
+                yield gone.select(["doc_id", "start", "size"])
+            batch = batch.filter(whole)
             key = batch.column("pkey").to_numpy()
             texts = batch.column("bytes").to_pylist()
             rest = [batch.column(c).to_numpy() for c in ("doc_id", "start", "size")]
@@ -414,18 +467,21 @@ def merge_groups(segments: DataFrame, length: int, step: int) -> DataFrame:
                 symbols += int((rest[2][i:j] + length).sum())
                 i = j
                 if full:
-                    yield settle(*[np.concatenate(h).astype(np.int64) for h in held[1:4]], [t for x in held[4] for t in x])
+                    yield from settle(*[np.concatenate(h).astype(np.int64) for h in held[1:4]], [t for x in held[4] for t in x])
                     held, symbols = [[], [], [], [], []], 0
-            if symbols >= BLOCK_SYMBOLS:  # full, but its last group may go on: settle all before that group
+            if symbols >= BLOCK_SYMBOLS:  # full, but its last group may go on: settle all before that group, reduce that group
                 k = np.concatenate(held[0])
                 cut = int(np.searchsorted(k, k[-1]))
                 d, s, m = (np.concatenate(h).astype(np.int64) for h in held[1:4])
                 t = [x for y in held[4] for x in y]
                 if cut:
-                    yield settle(d[:cut], s[:cut], m[:cut], t[:cut])
-                held, symbols = [[k[cut:]], [d[cut:]], [s[cut:]], [m[cut:]], [t[cut:]]], int((m[cut:] + length).sum())
+                    yield from settle(d[:cut], s[:cut], m[:cut], t[:cut])
+                k, d, s, m, t = k[cut:], d[cut:], s[cut:], m[cut:], t[cut:]
+                keep, gone = distinct(d, s, m, t)
+                yield gone
+                held, symbols = [[k[keep]], [d[keep]], [s[keep]], [m[keep]], [[t[x] for x in keep]]], int((m[keep] + length).sum())
         if symbols:
-            yield settle(*[np.concatenate(h).astype(np.int64) for h in held[1:4]], [t for x in held[4] for t in x])
+            yield from settle(*[np.concatenate(h).astype(np.int64) for h in held[1:4]], [t for x in held[4] for t in x])
 
     return dealt.mapInArrow(run, "doc_id bigint, start bigint, size int")
 

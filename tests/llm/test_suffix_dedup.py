@@ -87,3 +87,17 @@ def test_groups_go_on_after_a_full_batch(spark, monkeypatch, batch):
     for r in found:
         got[r.doc_id] |= set(range(r.start, r.start + r.size - 99))
     assert got == want
+
+
+def test_windows_of_wide_groups_are_sent_once_a_task(spark):
+    """A passage that many documents share, each with its own words around it, in groups that are dealt by windows."""
+    random.seed(23)
+    word = lambda n: "".join(random.choice("ijklmnop") for _ in range(n))
+    line = "".join(random.choice("abcdefgh ") for _ in range(130))
+    rows = [(i, word(random.randint(50, 90)) + line + word(random.randint(50, 90))) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    judged = sd.judge_groups(sd.find_runs(docs, 100, 45), 100, 5)
+    assert judged.where("kind = 2").count() > 400
+    sent = sd.fetch(docs.repartition(8, "doc_id"), judged.where("kind > 0"), 100).where("bytes IS NOT NULL")
+    assert sent.groupBy("pkey").count().agg({"count": "max"}).first()[0] <= 8
+    assert sorted(map(tuple, sd.dedup(docs, wide=5).collect()), key=repr) == brute(rows)
