@@ -187,7 +187,7 @@ def density_of(spark, sf_dir) -> DataFrame:
 
 
 def map_of(spark, sf_dir) -> DataFrame:
-    return pt.partition_map(density_of(spark, sf_dir), ORDER_K, THRESHOLD)
+    return pt.partition_map(density_of(spark, sf_dir), ORDER_K, THRESHOLD, allow_overflow=True)
 
 
 query("density_map", DENSITY)(density_of)
@@ -201,7 +201,7 @@ query("spatial_sort_key", f"SELECT Norder, Npix, CAST(Npix AS BIGINT) << CAST(2
 @query("partition_assign", f"SELECT p.id, m.Norder, CAST(m.Npix AS INTEGER) AS Npix, CAST(floor(m.Npix / 10000) * 10000 AS INTEGER) AS Dir FROM ({PIXELS}) AS p JOIN ({MAP}) AS m ON p.pix >> CAST(2 * ({ORDER_K} - m.Norder) AS BIGINT) = m.Npix")
 def partition_assign(spark, sf_dir):
     dens = density_of(spark, sf_dir)
-    cells = pt.cell_partitions(dens, pt.partition_map(dens, ORDER_K, THRESHOLD), ORDER_K)
+    cells = pt.cell_partitions(dens, pt.partition_map(dens, ORDER_K, THRESHOLD, allow_overflow=True), ORDER_K)
     return pt.assigned(table(spark, sf_dir, SKEW), cells, dens.count(), ORDER_K, "ra", "dec").select("id", "Norder", "Npix", "Dir")
 
 
@@ -215,7 +215,7 @@ OTHER = MAP.replace(str(THRESHOLD), str(3 * THRESHOLD))
 
 @query("partition_pairs", f"SELECT a.Norder AS o1, a.Npix AS p1, b.Norder AS o2, b.Npix AS p2, greatest(a.Norder, b.Norder) AS hips_k, CASE WHEN b.Norder > a.Norder THEN b.Npix ELSE a.Npix END AS hips_pix FROM ({MAP}) AS a JOIN ({OTHER}) AS b ON a.Npix << CAST(2 * (20 - a.Norder) AS BIGINT) < (b.Npix + 1) << CAST(2 * (20 - b.Norder) AS BIGINT) AND b.Npix << CAST(2 * (20 - b.Norder) AS BIGINT) < (a.Npix + 1) << CAST(2 * (20 - a.Norder) AS BIGINT)")
 def partition_pairs(spark, sf_dir):
-    return pt.partition_pairs(map_of(spark, sf_dir), pt.partition_map(density_of(spark, sf_dir), ORDER_K, 3 * THRESHOLD))
+    return pt.partition_pairs(map_of(spark, sf_dir), pt.partition_map(density_of(spark, sf_dir), ORDER_K, 3 * THRESHOLD, allow_overflow=True))
 
 
 COVER_ORDER = ORDER_K

@@ -31,3 +31,16 @@ def test_query(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_partition_queries_keep_crowded_pixels(spark, tmp_path):
+    """One pixel of the deepest order with more rows than any threshold."""
+    spark.createDataFrame([(5,)] * 1000 + [(k,) for k in range(100, 400)], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    parts = run("partition_map")
+    assert sum(r.n for r in parts) == 1300 and max(r.n for r in parts) >= 1000
+    assert run("partition_total")[0].n_sources == 1300
+    assert len(run("partition_assign")) == 1300
+    assert len(run("spatial_sort_key")) == len(parts)
+    assert {(r.o1, r.p1) for r in run("partition_pairs")} == {(r.Norder, r.Npix) for r in parts}
+    assert len({r.pix for r in run("partition_cover")}) == sum(4 ** (7 - r.Norder) for r in parts)
