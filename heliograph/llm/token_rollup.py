@@ -79,7 +79,9 @@ class Rollup:
 
     def compact(self) -> None:
         """Fold all batches into one table. The fold lists what it replaces and is committed by one rename; what it replaces
-        goes afterwards, each leaving a mark that it was committed, so a fold that breaks off anywhere loses nothing."""
+        goes afterwards, each leaving a mark that it was committed, so a fold that breaks off anywhere loses nothing; the
+        next one first removes what earlier folds left."""
+        self._finish()
         found = self._batches()
         if len(found) < 2:
             return
@@ -89,9 +91,19 @@ class Rollup:
         for n in names:
             self._fs.create(self._path(f"{fold}.new/_folds-{n}"), True).close()
         self._fs.rename(self._path(f"{fold}.new"), self._path(fold))
-        for p in found:
-            self._fs.create(self._path(f"{p}.folded"), True).close()
-            self._fs.delete(self._path(p), True)
+        self._finish()
+
+    def _finish(self) -> None:
+        """Remove the tables that committed folds replace."""
+        if not self._fs.exists(self._path(self.path)):
+            return
+        folds = [str(s.getPath()) for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory()]
+        folds = [p for p in folds if not p.endswith(".new") and self._fs.exists(self._path(f"{p}/_SUCCESS"))]
+        marks = [str(s.getPath().getName()) for p in folds for s in self._fs.listStatus(self._path(p))]
+        for p in [f"{self.path}/{m[len('_folds-'):]}" for m in marks if m.startswith("_folds-")]:
+            if self._fs.exists(self._path(p)):
+                self._fs.create(self._path(f"{p}.folded"), True).close()
+                self._fs.delete(self._path(p), True)
 
 
 def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:

@@ -60,3 +60,20 @@ def test_odd_documents(spark):
     df = spark.createDataFrame([(1, None, None, None, 1), (None, "", "s", "en", 1), (2, "a " * 30000, "s", "en", 1), (2, "a a", "s", "en", 1), (2, "a a", "s", "en", 1)], schema)
     assert sorted(r.v for r in tr.counted(df, {"v": path}).collect()) == [0, 0, 2, 2, 30001]
     assert tr.counted(df.limit(0), {"v": path}).count() == 0
+
+
+def test_fold_after_a_fold_that_broke_off(spark):
+    r = tr.Rollup(spark, Workspace(spark, "t").path + "/r")
+    for k in range(3):
+        r.commit(f"b{k}", spark.createDataFrame([("insert", k, "a", "en", "v1", 10, None, 0)], CHANGE))
+    left = r._place("b1")
+    kept = spark.read.schema(tr.DELTA).parquet(left).collect()
+    r.compact()
+    spark.createDataFrame(kept, tr.DELTA).write.parquet(left)  # as if the fold had not come to its deletion
+    r._fs.delete(r._path(f"{left}.folded"), False)
+    assert totals(r) == {("a", "en", "v1"): (3, 30)}
+    r.commit("b3", spark.createDataFrame([("insert", 3, "a", "en", "v1", 10, None, 0)], CHANGE))
+    for _ in range(2):
+        r.compact()
+        assert totals(r) == {("a", "en", "v1"): (4, 40)}
+    assert all(r.committed(f"b{k}") for k in range(4))
