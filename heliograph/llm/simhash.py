@@ -1,12 +1,14 @@
 """SimHash near-duplicates through an inverted index on the fingerprints' byte positions.
 
-Two 64-bit fingerprints with at most 4 differing bits agree in at least 4 of their 8 bytes. Each fingerprint is indexed under
-``COVER``, triples of positions of which any 4 positions hold one, so such a pair meets in a posting list. There the pair's
-shared positional bytes are tallied, pairs below 4 are dropped, and the rest is verified bit by bit. Equal fingerprints
-are one entry. A long list links its entries by growing trees (each entry taken is compared with those not yet linked),
-so its links number less than its entries; whatever is left out is reachable through those links.
+Two 64-bit fingerprints with at most 4 differing bits agree in at least 4 of their 8 bytes. Each fingerprint is posted under each
+choice of 4 byte positions with the bytes there, so such a pair meets in a posting list, and lists stay short (2 ** 32 byte values a
+choice) until the fingerprints are many billions. In a list the shared positional bytes of a pair are tallied, pairs below 4 are
+dropped, and the rest is verified bit by bit. Equal fingerprints are one entry. Lists link their entries by growing trees, all lists
+of a batch in step: each list's next entry is compared with the entries not yet linked. A list's links thus number less
+than its entries, and whatever is left out is reachable through them.
 
-Links become components by alternating star contraction on tables in the shared folder.
+Links become components by alternating star contraction on tables in the shared folder. Tables that are joined are written
+first, so that the adaptive skew join can split a fingerprint or component that many rows have.
 
 Cases: null or wordless text has fingerprint zero and is linked like any other; texts of any length are read whole; rows that
 share a doc_id are linked by their own texts, and component_id is the smallest doc_id reachable; null doc_ids are ignored when
@@ -24,28 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import Workspace, blocks, byte_view, documents, only, ranges, release_shuffles, shuffle_partitions, strings
+from heliograph.llm.common import Workspace, blocks, byte_view, documents, only, release_shuffles, shuffle_partitions, strings
 
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
 LEAST_BYTES = 8 - MOST_BITS
-#: Entries up to which a posting list's pairs are tallied at once.
-SHORT_LIST = 8
-
-
-def cover() -> list[tuple[int, int, int]]:
-    """Turán's triples for the parts {0,1,2}, {3,4,5}, {6,7}: within a part, or two of one part and one of the next."""
-    part = [0, 0, 0, 1, 1, 1, 2, 2]
-    out = []
-    for t in combinations(range(8), 3):
-        p = sorted(part[i] for i in t)
-        if len(set(p)) == 1 or (len(set(p)) == 2 and any(p.count(k) == 2 and (k + 1) % 3 in p for k in set(p))):
-            out.append(t)
-    return out
-
-
-COVER = cover()
+#: Choices of byte positions; a pair of close fingerprints agrees in one of them at least.
+COVER = list(combinations(range(8), LEAST_BYTES))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -83,14 +71,14 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) ->
     return out
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
+def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offs = byte_view(strings(batch, "text"))
             for i, j in blocks(offs):
-                fp = fingerprints(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                fp = fingerprints(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     src = only(docs, "doc_id", "text")
@@ -105,35 +93,46 @@ def close_pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return near[np.bitwise_count(x[near]) <= MOST_BITS]
 
 
-def first_cover(x: np.ndarray) -> np.ndarray:
-    """The first triple of the cover in which a pair agrees, by the pair's differing bits."""
-    same = x.view(np.uint8).reshape(-1, 8)[:, ::-1] == 0  # most significant byte first
-    out = np.full(len(x), len(COVER))
-    for k in range(len(COVER) - 1, -1, -1):
-        out[same[:, list(COVER[k])].all(1)] = k
-    return out
+#: By the set of byte positions in which a pair agrees (bit p for position p), the first choice that is in it.
+FIRST_CHOICE = np.array([next((k for k, c in enumerate(COVER) if all(m >> p & 1 for p in c)), len(COVER)) for m in range(256)])
 
 
-def list_links(fp: np.ndarray) -> list[tuple[int, int]]:
-    """Links of one long list that join all that is close there, by growing trees."""
-    left, out = np.arange(len(fp)), []
-    while len(left):
-        grow, left = [int(left[0])], left[1:]
-        while grow and len(left):
-            at = grow.pop()
-            near = close_pairs(fp, np.full(len(left), at), left)
-            if len(near):
-                out.extend((at, int(k)) for k in left[near])
-                grow.extend(left[near].tolist())
-                left = np.delete(left, near)
-    return out
+def first_cover(x: np.ndarray) -> np.ndarray:
+    """The first choice of positions in which a pair agrees, by the pair's differing bits."""
+    same = x.view(np.uint8).reshape(-1, 8)[:, ::-1] == 0  # most significant byte first
+    return FIRST_CHOICE[(same * (1 << np.arange(8))).sum(1)]
+
+
+def grown(of: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) that join all that is close in each list; ``of`` names the entries' lists, in order."""
+    at = np.arange(len(of))
+    reached = np.zeros(len(of), bool)  # linked already, not yet compared with the rest
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(at):
+        start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        size = np.diff(np.append(start, len(of)))
+        own = np.repeat(np.arange(len(start)), size)
+        rank = np.where(reached, 0, len(at)) + np.arange(len(at))  # reached entries come first
+        pivot = np.minimum.reduceat(rank, start) % len(at)
+        rest = np.flatnonzero(~reached & (np.arange(len(at)) != pivot[own]))
+        near = rest[close_pairs(fp, pivot[own[rest]], rest)]
+        one.append(at[pivot[own[near]]])
+        two.append(at[near])
+        reached[near] = True
+        keep = np.ones(len(at), bool)
+        keep[pivot] = False
+        open_ = np.bincount(own, weights=~reached & keep, minlength=len(start)) > 0  # lists with entries that nothing reached
+        some = np.bincount(own, weights=keep, minlength=len(start)) > 1
+        keep &= (open_ & some)[own]
+        of, fp, at, reached = of[keep], fp[keep], at[keep], reached[keep]
+    return np.concatenate(one), np.concatenate(two)
 
 
 def links(entries: DataFrame) -> DataFrame:
     """Links (u, v) between the fingerprints of the table fp; u and v are fingerprints."""
     n = shuffle_partitions(entries.sparkSession)
     byte = lambda i: F.shiftrightunsigned("fp", 8 * (7 - i)).bitwiseAND(255)
-    keys = F.array(*[F.lit(k).cast("bigint") * (1 << 24) + byte(a) * (1 << 16) + byte(b) * (1 << 8) + byte(c) for k, (a, b, c) in enumerate(COVER)])
+    keys = F.array(*[F.lit(k).cast("bigint") * (1 << 32) + sum(byte(p) * (1 << 8 * j) for j, p in enumerate(choice)) for k, choice in enumerate(COVER)])
     posted = entries.select(F.explode(keys).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
 
     def lists(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -150,26 +149,13 @@ def links(entries: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, f in lists(it):
-            if not len(k):
-                continue
-            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            fp = f.view(np.uint64)
-            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(k)))
-            short = (size > 1) & (size <= SHORT_LIST)
-            rows = ranges(start[short], size[short])
-            stop = np.repeat(start[short] + size[short], size[short])
-            for lag in range(1, SHORT_LIST):
-                a = rows[rows + lag < stop]
-                near = a[close_pairs(fp, a, a + lag)]
-                near = near[first_cover(fp[near] ^ fp[near + lag]) == k[near] >> 24]  # each pair once
-                u.append(f[near])
-                v.append(f[near + lag])
-            for s, m in zip(start[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist()):
-                found = np.array(list_links(fp[s : s + m]), np.int64).reshape(-1, 2) + s
-                u.append(f[found[:, 0]])
-                v.append(f[found[:, 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+            several = np.repeat(size > 1, size)
+            k, f = k[several], f[several]
+            u, v = grown(k, f.view(np.uint64))
+            mine = first_cover((f[u] ^ f[v]).view(np.uint64)) == k[u] >> 32  # of a pair's lists, the first one sends its link
+            yield pa.RecordBatch.from_arrays([pa.array(f[u][mine]), pa.array(f[v][mine])], names=["u", "v"])
 
     return posted.mapInArrow(run, "u bigint, v bigint")
 
@@ -214,9 +200,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     release_shuffles(docs.sparkSession)
     comp = components(edges, ws)
     # the components' smallest node is a fingerprint; what is wanted is the smallest doc_id
-    joined = entries.join(comp, entries["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "component").select("fp", "component_id")
+    joined = ws.stage(entries.join(comp, entries["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "joined")
+    smallest = ws.stage(joined.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    named = ws.stage(joined.join(smallest, "component").select("fp", "component_id"), "named")
     return table.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 

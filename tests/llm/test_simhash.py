@@ -39,8 +39,26 @@ def brute(rows):
 
 
 def test_cover():
-    assert len(sh.COVER) == 20
     assert all(any(set(t) <= set(q) for t in sh.COVER) for q in combinations(range(8), 4))
+    x = np.array([0, 0xFF, 0xFF00000000000000], np.uint64)
+    assert sh.first_cover(x).tolist() == [0, 0, sh.COVER.index((1, 2, 3, 4))]
+
+
+def test_trees_join_all_that_is_close():
+    random.seed(9)
+    of, fp = [], []
+    for k, m in enumerate([1, 2, 2, 3, 40, 200]):
+        base = [random.getrandbits(64) for _ in range(3)]
+        for _ in range(m):
+            x = random.choice(base)
+            for b in random.sample(range(64), random.choice([0, 1, 4, 8])):
+                x ^= 1 << b
+            of.append(k)
+            fp.append(x)
+    u, v = sh.grown(np.array(of), np.array(fp, np.uint64))
+    assert len(u) < len(of)
+    pairs = [(i, j) for i, j in combinations(range(len(of)), 2) if of[i] == of[j] and (fp[i] ^ fp[j]).bit_count() <= 4]
+    assert groups(list(zip(u.tolist(), v.tolist())), range(len(of))) == groups(pairs, range(len(of)))
 
 
 def groups(pairs, nodes):
