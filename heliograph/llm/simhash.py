@@ -59,11 +59,15 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) ->
         a, b = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
         hashes.extend([digest(view[x:y], SEED) for x, y in zip(a, b)])
         size[r] = len(a)
-    out = np.zeros(n, np.uint64)
+    return majority(np.array(hashes, np.uint64), size)
+
+
+def majority(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bits that over half the hashes of each row have; ``size`` of them belong to it."""
+    out = np.zeros(len(size), np.uint64)
     have = np.flatnonzero(size)
     if not len(have):
         return out
-    h = np.array(hashes, np.uint64)
     first = (np.cumsum(size) - size)[have]
     for bit in range(64):
         ones = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(1), first)
@@ -71,14 +75,19 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) ->
     return out
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprint(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints of sets of shingle hashes."""
+    return majority(np.concatenate([np.zeros(0, np.uint64), *sets]), np.fromiter(map(len, sets), np.int64, len(sets)))
+
+
+def fingerprint_table(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offs = byte_view(strings(batch, "text"))
             for i, j in blocks(offs):
-                fp = fingerprints(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
+                fp = fingerprints(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     src = only(docs, "doc_id", "text")

@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from heliograph.llm import pii, quality
-from tests.llm import test_decontam, test_pii, test_simhash
+from tests.llm import test_decontam, test_pii, test_similar
 
 
 def test_stages_by_brute_force(spark, sf):
@@ -19,7 +19,7 @@ def test_stages_by_brute_force(spark, sf):
     assert sorted((r.doc_id, r.text) for r in good.collect()) == sorted(rows.items())
 
     one = cp.near_duplicates(spark, good, sf)
-    rows = {d: rows[d] for d, _, c in test_simhash.brute(sorted(rows.items())) if d == c}
+    rows = {d: rows[d] for d, c in test_similar.brute(sorted(rows.items())) if d == c}
     assert one.columns == names
     assert sorted((r.doc_id, r.text) for r in one.collect()) == sorted(rows.items())
 
