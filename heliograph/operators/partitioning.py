@@ -78,10 +78,27 @@ def assigned(df: DataFrame, cells: DataFrame, n_cells: int, order: int, ra: str,
     return found.withColumn("Npix", F.col("Npix").cast("int")).withColumn("Dir", (F.floor(F.col("Npix") / 10000) * 10000).cast("int"))
 
 
-def with_spatial_id(df: DataFrame, ra: str, dec: str, tie: str | None = None, out: str = "_ID") -> DataFrame:
-    """A unique id in NEST order: the order-14 pixel, then the rank in it by (ra, dec, tie)."""
-    by = Window.partitionBy("__p").orderBy(F.col(quoted(ra)), F.col(quoted(dec)), *([F.col(quoted(tie))] if tie else []))
-    rows = with_pixel(df, ID_ORDER, ra, dec, "__p").withColumn("__r", F.row_number().over(by).cast("bigint") - 1)
+def in_partitions(df: DataFrame, parts: DataFrame, n_parts: int, orders: list[int], order: int, ra: str, dec: str) -> DataFrame:
+    """Rows with the Norder, Npix and Dir of their partition. Partitions do not overlap, so a row's ancestors are looked up in the
+    map, one order after the other; the rows stay where they are while the map can be broadcast."""
+    rows = with_pixel(df, order, ra, dec, "__pix")
+    found = []
+    for o in orders:
+        own = parts.where(F.col("Norder") == o).select(F.col("Npix").cast("bigint").alias(f"__npix{o}"))
+        rows = rows.join(small(own, n_parts), F.expr(f"shiftright(__pix, {2 * (order - o)})") == F.col(f"__npix{o}"), "left")
+        found.append(f"__npix{o}")
+    where = F.coalesce(*[F.when(F.col(c).isNotNull(), o) for c, o in zip(found, orders)]) if orders else F.lit(None)
+    pix = F.coalesce(*[F.col(c) for c in found]) if orders else F.lit(None)
+    rows = rows.withColumns({"Norder": where.cast("int"), "Npix": pix.cast("int")}).where("Norder IS NOT NULL")
+    return rows.drop("__pix", *found).withColumn("Dir", (F.floor(F.col("Npix") / 10000) * 10000).cast("int"))
+
+
+def with_spatial_id(df: DataFrame, ra: str, dec: str, tie: str | None = None, out: str = "_ID", within: list[str] | None = None) -> DataFrame:
+    """A unique id in NEST order: the order-14 pixel, then the rank in it by (ra, dec, tie). ``within`` names columns that
+    all rows of a pixel share; the rows are then dealt by these, which serves a layout by them too."""
+    by = Window.partitionBy(*(within or []), "__p").orderBy(F.col(quoted(ra)), F.col(quoted(dec)), *([F.col(quoted(tie))] if tie else []))
+    rows = with_pixel(df, ID_ORDER, ra, dec, "__p")
+    rows = (rows.repartition(*within) if within else rows).withColumn("__r", F.row_number().over(by).cast("bigint") - 1)
     return rows.withColumn(out, F.shiftleft("__p", RANK_BITS).bitwiseOR(F.col("__r"))).drop("__p", "__r")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +18,17 @@ from heliograph.sources import storage
 from heliograph.sources.readers import FORMATS, read_source
 
 
+class LostRows(RuntimeError):
+    pass
+
+
 class CatalogBuilder:
     """Sources to partitions with spatial ids, a density map, a margin cache and metadata.
 
-    The density map is kept under a name made of the inputs, so it is used again only for the same inputs."""
+    Sources that are not Parquet are parsed once and kept as Parquet (``cache``). This table and the density map carry a fingerprint
+    of what they were made from in their names, so each is used again only for the same files and options."""
 
-    def __init__(self, spark: SparkSession, name: str, urls: list[str] | str | None = None, fmt: str = "csv", ra_kw: int | str = "ra", dec_kw: int | str = "dec", id_kw: int | str = "source_id", order_k: int = 10, dtypes: dict[str, str] | None = None, threshold: int = 1_000_000, margin: float | None = 0.1, location: str = ".", skiprows: list[int] | None = None, header: bool = True, on_bad_coords: str = "fail", allow_overflow: bool = False, source: DataFrame | None = None, storage_options: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, name: str, urls: list[str] | str | None = None, fmt: str = "csv", ra_kw: int | str = "ra", dec_kw: int | str = "dec", id_kw: int | str = "source_id", order_k: int = 10, dtypes: dict[str, str] | None = None, threshold: int = 1_000_000, margin: float | None = 0.1, location: str = ".", skiprows: list[int] | None = None, header: bool = True, on_bad_coords: str = "fail", allow_overflow: bool = False, source: DataFrame | None = None, storage_options: dict[str, str] | None = None, cache: bool = True, summaries: bool = False):
         if fmt not in FORMATS:
             raise ValueError(f"format {fmt!r} is none of {', '.join(FORMATS)}")
         if threshold < 1:
@@ -31,27 +38,47 @@ class CatalogBuilder:
         self.spark, self.name, self.fmt, self.order_k, self.threshold, self.margin = spark, name, fmt, hp.check_order(order_k), threshold, margin
         self.urls = [urls] if isinstance(urls, str) else list(urls or [])
         self.root = f"{location.rstrip('/')}/{name}"
-        self.options, self.on_bad, self.allow_overflow = {"skiprows": skiprows, "header": header, "dtypes": dtypes}, on_bad_coords, allow_overflow
+        self.options, self.on_bad, self.allow_overflow, self.summaries = {"skiprows": skiprows, "header": header, "dtypes": dtypes}, on_bad_coords, allow_overflow, summaries
         storage.set_storage_options(spark, self.root, storage_options)
-        self.source = source if source is not None else read_source(spark, self.urls, fmt, **self.options)
+        self._source_mark = self._mark(*self._files(), self.fmt, str(self.options)) if source is None else uuid.uuid4().hex[:16]
+        self.source = source if source is not None else self._parsed(cache and fmt != "parquet")
         self.ra, self.dec, self.id = (resolve(self.source, k) for k in (ra_kw, dec_kw, id_kw))
         self.rows = pt.checked(self.source, self.ra, self.dec, on_bad_coords)
+        if margin and hp.resolution(order_k) < margin:
+            warnings.warn(f"pixels of order {order_k} are smaller ({hp.resolution(order_k):.3g} degrees) than the margin ({margin:g})", stacklevel=2)
 
-    def fingerprint(self) -> str:
-        what = [self.urls, self.fmt, self.order_k, str(self.options), self.ra, self.dec, self.on_bad]
+    @staticmethod
+    def _mark(*what) -> str:
+        return hashlib.sha256(json.dumps(what).encode()).hexdigest()[:16]
+
+    def _files(self) -> list:
+        found = []
         for u in self.urls:
             fs, p = storage.file_system(self.spark, u)
-            what += [[str(s.getPath()), s.getLen(), s.getModificationTime()] for s in fs.globStatus(p) or []]
-        return hashlib.sha256(json.dumps(what).encode()).hexdigest()[:16]
+            for s in fs.globStatus(p) or []:
+                inner = fs.listStatus(s.getPath()) if s.isDirectory() else [s]
+                found += [[str(x.getPath()), x.getLen(), x.getModificationTime()] for x in inner]
+        return [self.urls, found]
+
+    def _parsed(self, cache: bool) -> DataFrame:
+        """The sources' rows; with ``cache`` as written to Parquet and read again."""
+        if not cache:
+            return read_source(self.spark, self.urls, self.fmt, **self.options)
+        return self._kept(f"source.{self._source_mark}", lambda: read_source(self.spark, self.urls, self.fmt, **self.options))
+
+    def _kept(self, name: str, make) -> DataFrame:
+        """A table under the catalogue's root, made if no finished one is there."""
+        path = f"{self.root}/{name}"
+        if not storage.exists(self.spark, f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def fingerprint(self) -> str:
+        return self._mark(self._source_mark, self.order_k, self.ra, self.dec, self.on_bad)
 
     def density(self) -> DataFrame:
         """The density map, written once for the same inputs."""
-        path = f"{self.root}/density"
-        stamp = f"{self.root}/density.{self.fingerprint()}"
-        if not (self.urls and storage.exists(self.spark, stamp)):
-            pt.density(self.rows, self.order_k, self.ra, self.dec).write.mode("overwrite").parquet(path)
-            storage.write_text(self.spark, stamp, "")
-        return self.spark.read.parquet(path)
+        return self._kept(f"density.{self.fingerprint()}", lambda: pt.density(self.rows, self.order_k, self.ra, self.dec))
 
     def _staged(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/borders"
@@ -64,28 +91,35 @@ class CatalogBuilder:
         parts_path = f"{self.root}/partitions"
         pt.partition_map(dens, self.order_k, self.threshold, self.allow_overflow).write.mode("overwrite").parquet(parts_path)
         parts = spark.read.parquet(parts_path)
-        cells = pt.cell_partitions(dens, parts, self.order_k)
-        n_cells = dens.count()
-        rows = pt.with_spatial_id(pt.assigned(self.rows, cells, n_cells, self.order_k, self.ra, self.dec), self.ra, self.dec, self.id)
-        write_tree(rows, f"{self.root}/catalog")
         listed = parts.orderBy(pt.sort_key()).collect()  # a row a partition
+        orders = sorted({r.Norder for r in listed})
+        rows = pt.in_partitions(self.rows, parts, len(listed), orders, self.order_k, self.ra, self.dec)
+        rows = pt.with_spatial_id(rows, self.ra, self.dec, self.id, within=["Norder", "Npix"] if max(orders, default=0) <= pt.ID_ORDER else [])
+        write_tree(rows, f"{self.root}/catalog", self.summaries)
+        n_sources = sum(r.n for r in listed)
+        # keys as in the published layout, then our own
         meta = {
-            "cat_name": self.name, "ra_kw": self.ra, "dec_kw": self.dec, "id_kw": self.id, "n_sources": sum(r.n for r in listed), "pix_threshold": self.threshold, "order_k": self.order_k, "margin": self.margin, "urls": self.urls,
-            "hips": {str(o): [r.Npix for r in listed if r.Norder == o] for o in sorted({r.Norder for r in listed})},
+            "cat_name": self.name, "ra_kw": self.ra, "dec_kw": self.dec, "id_kw": self.id, "n_sources": n_sources, "pix_threshold": self.threshold, "urls": self.urls,
+            "hips": {str(o): [r.Npix for r in listed if r.Norder == o] for o in orders}, "order_k": self.order_k, "margin": self.margin, "density": f"density.{self.fingerprint()}",
         }
+        written = spark.read.parquet(f"{self.root}/catalog").count()
+        if written != n_sources:
+            raise LostRows(f"{self.root}/catalog has {written} rows, the density map {n_sources}; did the sources change meanwhile?")
         storage.write_text(spark, f"{self.root}/{self.name}_meta.json", json.dumps(meta, indent=4))
         cat = Catalog(spark, self.name, self.root.rpartition("/")[0] or ".")
         if self.margin:
             near = mg.margin_rows(cat.load(), parts, [int(o) for o in meta["hips"]], self.margin, self.ra, self.dec, self._staged) if listed else cat.load().limit(0)
-            write_tree(near.select(*rows.columns), f"{self.root}/neighbor")
+            write_tree(near.select(*rows.columns), f"{self.root}/neighbor", self.summaries)
             storage.delete(spark, f"{self.root}/borders")
         return cat
 
 
-def write_tree(rows: DataFrame, path: str) -> None:
-    """One shuffle: a partition's rows come together, in NEST order. A tree without rows is a table, so that it has a schema."""
+def write_tree(rows: DataFrame, path: str, summaries: bool = False) -> None:
+    """A partition's rows come together, in NEST order. With ``summaries`` the committer also writes the footers' summary files
+    (_metadata and _common_metadata). A tree without rows is a table, so that it has a schema."""
     spark = rows.sparkSession
-    rows.repartition("Norder", "Npix").sortWithinPartitions("Norder", "Npix", "_ID").write.mode("overwrite").partitionBy("Norder", "Dir", "Npix").parquet(path)
+    w = rows.repartition("Norder", "Npix").sortWithinPartitions("Norder", "Npix", "_ID").write.mode("overwrite").partitionBy("Norder", "Dir", "Npix")
+    (w.option("parquet.summary.metadata.level", "ALL") if summaries else w).parquet(path)
     fs, p = storage.file_system(spark, path)
     if not any(s.isDirectory() for s in fs.listStatus(p)):
         spark.createDataFrame([], rows.schema).coalesce(1).write.mode("overwrite").parquet(path)

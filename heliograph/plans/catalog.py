@@ -26,6 +26,18 @@ def read_metadata(spark: SparkSession, name: str, location: str) -> dict:
     return json.loads(storage.read_text(spark, f"{location.rstrip('/')}/{name}/{name}_meta.json"))
 
 
+def read_paths(spark: SparkSession, paths: list[str] | str, columns: list[str] | None = None) -> DataFrame:
+    """The rows of files or folders of one catalogue's tree, with the columns that the folders' names hold."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if not paths:
+        raise ValueError("there are no paths")
+    base = paths[0].split("/Norder=")[0]
+    if any(p.split("/Norder=")[0] != base for p in paths):
+        raise ValueError("the paths are of several trees")
+    df = spark.read.option("basePath", base).parquet(*paths)
+    return df.select(*[quoted(c) for c in columns]) if columns else df
+
+
 class Catalog:
     """Rows, cone searches and cross-matches of a catalogue as lazy DataFrames."""
 
@@ -56,8 +68,11 @@ class Catalog:
         df = self.spark.read.parquet(path)
         return df.select("*", *[F.lit(None).cast("int").alias(c) for c in OWN[:3] if c not in df.columns])
 
-    def load(self, columns: list[str] | None = None, which: str = "catalog") -> DataFrame:
+    def load(self, columns: list[str] | None = None, which: str = "catalog", partitions: list[tuple[int, int]] | None = None) -> DataFrame:
+        """The tree's rows; with ``partitions``, (order, pixel) pairs, only the files of these are read."""
         df = self.tree(which)
+        if partitions is not None:
+            df = df.where(cn.partition_filter([(int(o), int(p)) for o, p in partitions]))
         return df.select(*[quoted(c) for c in columns]) if isinstance(columns, list) and columns else df
 
     @property
@@ -65,7 +80,7 @@ class Catalog:
         return self.tree().schema
 
     def density(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/density")
+        return self.spark.read.parquet(f"{self.root}/{self.meta['density']}")
 
     def partitions(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/partitions")

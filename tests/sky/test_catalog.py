@@ -11,8 +11,8 @@ from heliograph.functions import healpix as hp
 from heliograph.operators import columns as co
 from heliograph.operators import crossmatch as xm
 from heliograph.operators import partitioning as pt
-from heliograph.plans.builder import CatalogBuilder
-from heliograph.plans.catalog import Catalog
+from heliograph.plans.builder import CatalogBuilder, LostRows
+from heliograph.plans.catalog import Catalog, read_paths
 from heliograph.sources import fits, readers, storage
 from heliograph.streaming.cone import stream_cone, stream_density
 
@@ -246,6 +246,58 @@ def test_density_is_used_again_only_for_the_same_inputs(spark, tmp_path):
     assert len(make().build()) == 8
 
 
+def test_rebuilds_with_other_orders_keep_all_rows(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    spark.createDataFrame(sky(500, 4, True), "source_id bigint, ra double, dec double, mag double").write.parquet(path)
+    for order in (5, 4, 5):
+        cat = CatalogBuilder(spark, "c", [path], "parquet", order_k=order, threshold=60, margin=None, location=str(tmp_path), allow_overflow=True).build()
+        assert cat.load().count() == 500 == len(cat) and cat.density().agg(F.sum("n")).first()[0] == 500
+
+
+def test_lost_rows_are_noticed(spark, tmp_path):
+    df = spark.createDataFrame(sky(50, 4), "source_id bigint, ra double, dec double, mag double")
+    b = CatalogBuilder(spark, "c", source=df, order_k=3, margin=None, location=str(tmp_path))
+    b.density()
+    b.rows = b.rows.where("source_id > 3")
+    with pytest.raises(LostRows):
+        b.build()
+
+
+def test_sources_are_parsed_once(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("source_id,ra,dec\n1,2.5,3\n2,4.5,5\n")
+    make = lambda **k: CatalogBuilder(spark, "c", [str(tmp_path / "s.csv")], order_k=2, margin=None, location=str(tmp_path), **k)
+    b = make()
+    assert "parquet" in b.source._jdf.queryExecution().toString() and len(b.build()) == 2
+    (tmp_path / "s.csv").write_text("source_id,ra,dec\n1,2.5,3\n2,4.5,5\n3,6.5,7\n")
+    assert len(make().build()) == 3 and len(make(cache=False).build()) == 3
+
+
+def test_one_shuffle_for_ids_and_layout(spark, tmp_path):
+    df = spark.createDataFrame(sky(300, 1, True), "source_id bigint, ra double, dec double, mag double")
+    parts = pt.partition_map(pt.density(df, 6, "ra", "dec"), 6, 40, True)
+    parts.write.parquet(f"{tmp_path}/p")
+    parts = spark.read.parquet(f"{tmp_path}/p")
+    rows = pt.with_spatial_id(pt.in_partitions(df, parts, 50, [0, 1, 2, 3, 4, 5, 6], 6, "ra", "dec"), "ra", "dec", "source_id", within=["Norder", "Npix"])
+    rows = rows.repartition("Norder", "Npix").sortWithinPartitions("Norder", "Npix", "_ID")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_summaries_paths_and_partitions(spark, tmp_path):
+    df = spark.createDataFrame(sky(300, 1, True), "source_id bigint, ra double, dec double, mag double")
+    with pytest.warns(UserWarning, match="smaller"):
+        cat = CatalogBuilder(spark, "c", source=df, order_k=8, threshold=40, margin=1.0, location=str(tmp_path), summaries=True).build()
+    assert (tmp_path / "c/catalog/_metadata").exists() and (tmp_path / "c/catalog/_common_metadata").exists()
+    some = [(o, p) for o, pix in cat.hips.items() for p in pix][:3]
+    got = cat.load(["source_id"], partitions=some)
+    want = {r.source_id for r in cat.load().collect() if (r.Norder, r.Npix) in some}
+    assert {r.source_id for r in got.collect()} == want
+    paths = [f"{cat.root}/catalog/{storage.directory_of(*x)}" for x in some]
+    assert {r.source_id for r in read_paths(spark, paths).collect()} == want and read_paths(spark, paths[0], ["Norder", "source_id"]).columns == ["Norder", "source_id"]
+    with pytest.raises(ValueError):
+        read_paths(spark, [paths[0], paths[1].replace("/catalog/", "/neighbor/")])
+
+
 def test_streams(spark, tmp_path):
     schema = "ts timestamp, ra double, dec double"
     spark.createDataFrame([("2024-01-01 00:00:10", 10.0, 10.0), ("2024-01-01 00:00:20", 200.0, 10.0), ("2024-01-01 01:00:00", 10.01, 10.0)], "ts string, ra double, dec double").selectExpr("timestamp(ts) ts", "ra", "dec").write.parquet(f"{tmp_path}/in")
