@@ -17,10 +17,13 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a new folder of this machine if all
+    executors are on it (tests), else an error."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("heliograph.shared.dir", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="heliograph-")
@@ -28,6 +31,29 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _file(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 class Workspace:
     """Tables that a job writes to the shared folder to cut its lineage; each one survives a lost executor."""
 

@@ -2,10 +2,15 @@
 
 A batch is a table of changes (kind, doc_id, source, lang, tokenizer_version, n_tokens, old_tokens): an ``insert`` adds a document and its
 tokens, a ``delete`` takes them away, a ``revise`` adds the new count less the old one. A batch is reduced to one additive row a
-source, language and tokenizer version (partial sums before the shuffle, so no hot source gathers in a task) and committed as
-one table under its name. Writing the same batch again finds the committed table and changes nothing; a write that broke off
-left no commit marker and is replaced. The totals are the sums over committed batches, and :meth:`Rollup.compact` folds
-committed batches into one, keeping their names so that they still count as committed.
+source, language and tokenizer version (partial sums before the shuffle, so no hot source gathers in a task).
+
+Commits are idempotent. A batch is written to a hidden folder and moved, in one step, to a name made of hashes of the batch's name and of
+its rows. Sending it again finds the name; sending other rows under the name raises. Of two writers of one batch, both succeed with equal
+rows (the later move lands hidden inside the first one's folder); with other rows, one set counts and the other writer raises.
+
+:meth:`Rollup.compact` folds committed batches into one table, which lists all batches that were ever folded into it. A batch or
+fold that another fold lists whole does not count, so folding may break off after any step, and what it left is removed by
+the next one. The totals are the sums over what counts.
 
 Cases: null sources, languages and versions are groups of their own; null counts count as zero; unknown kinds raise;
 repeated rows each count; an empty batch commits and adds nothing; totals of no batch are an empty table; other
@@ -15,13 +20,14 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import Workspace, documents, only, strings
+from heliograph.llm.common import Workspace, documents, only, read_text, strings, write_text
 
 KEYS = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens")
@@ -39,71 +45,124 @@ def delta(changes: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS])
 
 
+class OtherContents(ValueError):
+    pass
+
+
 class Rollup:
     """A rollup in a folder that all executors see."""
 
+    NAMES = "_names"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _place(self, batch: str) -> str:
-        return f"{self.path}/batch-{hashlib.sha256(batch.encode()).hexdigest()[:24]}"
+    # one call each, so that tests can break off after any of them
+
+    def _move(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._path(f"{self.path}/{old}"), self._path(f"{self.path}/{new}")):
+            raise OSError(f"{old} can't be moved to {new}")
+
+    def _remove(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{name}"), True)
+
+    def _write(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(DELTA).parquet(f"{self.path}/{name}")
+
+    def _write_names(self, folder: str, names: frozenset[str]) -> None:
+        write_text(self.spark, f"{self.path}/{folder}/{self.NAMES}", "\n".join(sorted(names)))
+
+    def _stored(self) -> dict[str, frozenset[str]]:
+        """All batches and folds that were moved to their names, each with the batches in it."""
+        if not self._fs.exists(self._path(self.path)):
+            return {}
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
+        out = {n: frozenset([n]) for n in found if n.startswith("batch-")}
+        for n in found:
+            if n.startswith("fold-"):
+                out[n] = frozenset(read_text(self.spark, f"{self.path}/{n}/{self.NAMES}").split())
+        return out
+
+    def _counting(self) -> dict[str, frozenset[str]]:
+        """What counts: batches and folds that no other fold lists whole, and of batches with one name the first."""
+        found = self._stored()
+        out: dict[str, frozenset[str]] = {}
+        for name, own in sorted(found.items(), key=lambda x: (-len(x[1]), not x[0].startswith("fold-"), x[0])):
+            if any(own <= other for other in out.values()):
+                continue
+            if any(own & other for other in out.values()):
+                raise RuntimeError(f"{name} overlaps another fold in {self.path}")
+            out[name] = own
+        first: dict[str, str] = {}
+        for b in sorted(x for own in out.values() if len(own) > 1 for x in own) + sorted(x for own in out.values() if len(own) == 1 for x in own):
+            first.setdefault(b[: len("batch-") + 24], b)
+        return {n: own for n, own in out.items() if len(own) > 1 or set(own) <= set(first.values())}
+
+    def _key(self, batch: str) -> str:
+        return f"batch-{hashlib.sha256(batch.encode()).hexdigest()[:24]}"
+
+    def _committed_as(self, batch: str) -> list[str]:
+        key = self._key(batch)
+        return sorted({b for own in self._counting().values() for b in own if b.startswith(key)})
 
     def committed(self, batch: str) -> bool:
-        place = self._place(batch)
-        return self._fs.exists(self._path(f"{place}/_SUCCESS")) or self._fs.exists(self._path(f"{place}.folded"))
+        return bool(self._committed_as(batch))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False if it was applied before."""
-        if self.committed(batch):
+        """Apply a batch once; False if it was applied before. Other changes under a committed name raise."""
+        hidden = f"_{uuid.uuid4().hex}"
+        try:
+            rows = self._write(delta(changes), hidden)
+            name = f"{self._key(batch)}-{digest(rows)}"
+            old = self._committed_as(batch)
+            if not old:
+                self._move(hidden, name)
+                now = self._committed_as(batch)
+                if now == [name]:
+                    return True
+                old = now
+            if old != [name]:
+                raise OtherContents(f"batch {batch!r} was committed with other rows")
             return False
-        delta(changes).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._place(batch))
-        return True
-
-    def _batches(self) -> list[str]:
-        """Committed tables that no committed fold replaces."""
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        found = [str(s.getPath()) for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory()]
-        found = [p for p in found if not p.endswith(".new") and self._fs.exists(self._path(f"{p}/_SUCCESS"))]
-        marks = [str(s.getPath().getName()) for p in found for s in self._fs.listStatus(self._path(p))]
-        return sorted(p for p in found if f"_folds-{p.rsplit('/', 1)[1]}" not in marks)
+        finally:
+            self._remove(hidden)
 
     def totals(self) -> DataFrame:
         """n_docs and n_tokens of each source, language and tokenizer version that was ever counted."""
-        found = self._batches()
+        found = [f"{self.path}/{n}" for n in self._counting()]
         rows = self.spark.read.schema(DELTA).parquet(*found) if found else self.spark.createDataFrame([], DELTA)
         return rows.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS])
 
     def compact(self) -> None:
-        """Fold all batches into one table. The fold lists what it replaces and is committed by one rename; what it replaces
-        goes afterwards, each leaving a mark that it was committed, so a fold that breaks off anywhere loses nothing; the
-        next one first removes what earlier folds left."""
-        self._finish()
-        found = self._batches()
+        """Fold all that counts into one table. Nothing changes until its one move; then what it replaces is removed."""
+        self._clean()
+        found = self._counting()
         if len(found) < 2:
             return
-        names = [p.rsplit("/", 1)[1] for p in found]
-        fold = self._place("fold of " + " ".join(names))
-        self.spark.read.schema(DELTA).parquet(*found).groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS]).write.mode("overwrite").parquet(f"{fold}.new")
-        for n in names:
-            self._fs.create(self._path(f"{fold}.new/_folds-{n}"), True).close()
-        self._fs.rename(self._path(f"{fold}.new"), self._path(fold))
-        self._finish()
-
-    def _finish(self) -> None:
-        """Remove the tables that committed folds replace."""
-        if not self._fs.exists(self._path(self.path)):
-            return
-        folds = [str(s.getPath()) for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory()]
-        folds = [p for p in folds if not p.endswith(".new") and self._fs.exists(self._path(f"{p}/_SUCCESS"))]
-        marks = [str(s.getPath().getName()) for p in folds for s in self._fs.listStatus(self._path(p))]
-        for p in [f"{self.path}/{m[len('_folds-'):]}" for m in marks if m.startswith("_folds-")]:
-            if self._fs.exists(self._path(p)):
-                self._fs.create(self._path(f"{p}.folded"), True).close()
-                self._fs.delete(self._path(p), True)
+        names = frozenset().union(*found.values())
+        hidden = f"_{uuid.uuid4().hex}"
+        self._write(self.totals(), hidden)
+        self._write_names(hidden, names)
+        self._move(hidden, f"fold-{hashlib.sha256(' '.join(sorted(names)).encode()).hexdigest()[:24]}")
+        self._clean()
+
+    def _clean(self) -> None:
+        """Remove what does not count any more."""
+        for n in sorted(set(self._stored()) - set(self._counting())):
+            self._remove(n)
+
+
+def digest(rows: DataFrame) -> str:
+    """A hash of a small additive table's rows, whatever their order. Its rows are those of groups that changed; only one hash a task
+    reaches the driver."""
+    one = F.sha2(F.to_json(F.struct(*KEYS, *SUMS), {"ignoreNullFields": "false"}), 256)
+    part = [F.conv(F.substring(one, 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(4)]
+    sums = rows.agg(F.count("*"), *[F.coalesce(F.sum(p), F.lit(0)) for p in part]).first()
+    return hashlib.sha256(repr(tuple(sums)).encode()).hexdigest()[:24]
 
 
 def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
@@ -167,7 +226,9 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("recount", recount)
     rollup.commit("recount", recount)
     rollup.commit("second vocabulary", changes(counts, "insert", two, two))
-    first = counts.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
+    # a written table, so that the adaptive skew join can split a text that many documents have
+    several = counts.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    first = ws.stage(several.select("text_key", "first_id"), "first")
     copies = counts.join(first, "text_key").where("doc_id > first_id")
     rollup.commit("delete copies", changes(copies, "delete", one, one).unionByName(changes(copies, "delete", two, two)))
     return rollup.totals()

@@ -27,9 +27,12 @@ def test_batches_commit_once(spark):
     r.compact()
     assert totals(r) == want2 and not r.commit("one", one) and not r.commit("two", two) and totals(r) == want2
     assert r.commit("none", one.limit(0)) and totals(r) == want2
-    # a write that broke off has no marker
-    r._fs.delete(r._path(r._place("none") + "/_SUCCESS"), False)
-    assert not r.committed("none") and r.commit("none", two) and totals(r) != want2
+    with pytest.raises(tr.OtherContents):
+        r.commit("one", two)
+    assert totals(r) == want2
+    # a write that broke off stays hidden
+    r._write(tr.delta(two), "_left")
+    assert totals(r) == want2 and r.commit("again", two.limit(0)) and totals(r) == want2
 
 
 def test_unknown_kind(spark):
@@ -62,18 +65,69 @@ def test_odd_documents(spark):
     assert tr.counted(df.limit(0), {"v": path}).count() == 0
 
 
-def test_fold_after_a_fold_that_broke_off(spark):
+def insert(spark, k):
+    return spark.createDataFrame([("insert", k, "a", "en", "v1", 10, None, 0)], CHANGE)
+
+
+@pytest.mark.parametrize("after", range(1, 8))
+def test_folds_that_break_off_after_any_step(spark, after):
+    class Broken(Exception):
+        pass
+
     r = tr.Rollup(spark, Workspace(spark, "t").path + "/r")
     for k in range(3):
-        r.commit(f"b{k}", spark.createDataFrame([("insert", k, "a", "en", "v1", 10, None, 0)], CHANGE))
-    left = r._place("b1")
-    kept = spark.read.schema(tr.DELTA).parquet(left).collect()
-    r.compact()
-    spark.createDataFrame(kept, tr.DELTA).write.parquet(left)  # as if the fold had not come to its deletion
-    r._fs.delete(r._path(f"{left}.folded"), False)
+        r.commit(f"b{k}", insert(spark, k))
+    steps = [0]
+
+    def counted(f):
+        def run(*a):
+            out = f(*a)
+            steps[0] += 1
+            if steps[0] == after:
+                raise Broken
+            return out
+
+        return run
+
+    b = tr.Rollup(spark, r.path)
+    for name in ("_write", "_write_names", "_move", "_remove"):
+        setattr(b, name, counted(getattr(b, name)))
+    try:
+        b.compact()
+    except Broken:
+        pass
     assert totals(r) == {("a", "en", "v1"): (3, 30)}
-    r.commit("b3", spark.createDataFrame([("insert", 3, "a", "en", "v1", 10, None, 0)], CHANGE))
+    assert r.commit("b3", insert(spark, 3)) and not r.commit("b1", insert(spark, 1))
     for _ in range(2):
         r.compact()
         assert totals(r) == {("a", "en", "v1"): (4, 40)}
-    assert all(r.committed(f"b{k}") for k in range(4))
+    assert all(r.committed(f"b{k}") for k in range(4)) and len(r._stored()) == 1
+
+
+def test_two_writers_of_one_batch(spark):
+    r, other = (tr.Rollup(spark, p) for p in [Workspace(spark, "t").path + "/r"] * 2)
+
+    def late(rows):  # the other writer commits between this one's look and its move
+        move = r._move
+
+        def moved(old, new):
+            r._move = move
+            other.commit("b", rows)
+            move(old, new)
+
+        r._move = moved
+
+    late(insert(spark, 1))
+    assert r.commit("b", insert(spark, 1)) and totals(r) == {("a", "en", "v1"): (1, 10)}
+    a, b = insert(spark, 1), insert(spark, 2).unionByName(insert(spark, 3))
+    results = []
+    for mine, theirs in ((a, b), (b, a)):
+        r = tr.Rollup(spark, Workspace(spark, "t").path + "/r")
+        other = tr.Rollup(spark, r.path)
+        late(theirs)
+        try:
+            r.commit("b", mine)
+        except tr.OtherContents:
+            pass
+        results.append(totals(r))
+    assert results[0] == results[1] and list(results[0].values())[0] in [(1, 10), (2, 20)]
