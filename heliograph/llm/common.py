@@ -45,6 +45,21 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def exclusive_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file by one move, unless another writer was first."""
+    hidden = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, hidden, text)
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        fs.rename(_file(spark, hidden)[1], p)
+    fs.delete(_file(spark, hidden)[1], False)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _file(spark, path)
     stream = fs.open(p)
