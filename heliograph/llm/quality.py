@@ -3,8 +3,15 @@
 Viterbi decoding marks each line as content or boilerplate. A document is kept if it passes the base rules and at least
 ``MIN_SHARE`` of its words stand in content lines.
 
-The field is fitted on lines of at most ``SAMPLE`` labelled documents of either quality (those with the smallest hashes of
-doc_id); a line is taken as content if its document has quality 1. All else covers whole texts of all documents.
+Documents are labelled, lines are not: a line's label is latent. Fitting starts with the document's label on each line, but
+lines that come back between different neighbours (``REPEATS`` such places in the sample, so copied documents do not count) are
+boilerplate whatever their document, and are remembered as a feature. Then the field is fitted piece by piece (lines by
+themselves, then pairs of neighbours) and lines that it contradicts by ``SURE`` change their label, except that the least of a bad
+document's lines stays boilerplate; this is done ``TURNS`` times. So a document's lines get mixed labels, and the scores of
+neighbours are learnt from real changes.
+
+The field is fitted on at most ``SAMPLE`` labelled documents of either quality with at most ``MOST_LINES`` lines each (those with
+the smallest hashes of doc_id, and of the text where documents share one). All else covers whole texts of all documents.
 
 Cases: null text has no words and fails; an empty text, too; texts of any length are read whole; equal rows give equal rows;
 a document with several labels counts with each; null labels are left out; without labels of both kinds every line
@@ -18,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +36,18 @@ WINDOW = 8
 MIN_SHARE = 0.5
 #: Labelled documents of each quality that the field is fitted on, at most.
 SAMPLE = 1000
-#: Lines of a training chain; longer documents make several chains.
-CHAIN = 64
+#: Lines of a document that is fitted on, at most.
+MOST_LINES = 500
 ROUNDS = 150
+#: Places of a line, with different neighbours, from which on it is boilerplate; log-odds that change a line's label; how often.
+REPEATS, SURE, TURNS = 3, 2.0, 3
 #: Characters that count as symbols, and cut points of the line features.
 SYMBOLS = b"#*$%&|<>"
 CUTS = {"words": (1, 2, 3, 5, 8, 13, 21, 40), "mean": (2.5, 3.5, 4.5, 5.5, 6.5, 8), "symbols": (0.001, 0.02, 0.08, 0.2), "upper": (0.001, 0.1, 0.3, 0.6), "digits": (0.001, 0.05, 0.2), "marks": (0.001, 0.05, 0.15), "short": (0.001, 0.1, 0.25, 0.4), "same": (0.001, 0.2, 0.5)}
 LICENCE = re.compile(rb"licen[cs]ed? under|licence,|copyright|all rights reserved|cookie|https?://", re.I)
-N_FEATURES = 1 + sum(len(c) + 1 for c in CUTS.values()) + 3
+N_FEATURES = 1 + sum(len(c) + 1 for c in CUTS.values()) + 4
+#: The columns of a line's features; that of known lines comes first after the cut points.
+KNOWN, KNOWN_FEATURE, WIDTH = 1 + len(CUTS), N_FEATURES - 4, len(CUTS) + 5
 _BYTE = {
     "space": np.isin(np.arange(256), [32, *range(9, 14)]),
     "symbol": np.isin(np.arange(256), list(SYMBOLS)),
@@ -84,8 +96,13 @@ def repeated(codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.bincount(doc, weights=np.cumsum(cover)[:n] > 0, minlength=len(lens)).astype(np.int64)
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Active features of each line with a word (a column a group), its words, and the lines' documents."""
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(line.split()))
+
+
+def line_features(texts: list[bytes], known: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Active features of each line with a word (a column a group), its words, the lines' documents and their hashes. ``known``
+    are hashes of lines that are known to come back."""
     lines, doc, again = [], [], []
     for r, t in enumerate(texts):
         seen: set[bytes] = set()
@@ -97,7 +114,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
                 seen.add(x)
     n = len(lines)
     if not n:
-        return np.zeros((0, len(CUTS) + 4), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, WIDTH), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     size = np.fromiter(map(len, lines), np.int64, n) + 1
     first = np.cumsum(size) - size
@@ -120,67 +137,103 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for name, cuts in CUTS.items():
         cols.append(base + np.searchsorted(cuts, values[name], side="right"))
         base += len(cuts) + 1
-    for flags in (np.array(again), np.fromiter((LICENCE.search(x) is not None for x in lines), bool, n), np.fromiter((x.rstrip()[-1:] in b".!?" for x in lines), bool, n)):
+    own = np.fromiter(map(line_hash, lines), np.uint64, n)
+    for flags in (np.fromiter((h in known for h in own.tolist()), bool, n), np.array(again), np.fromiter((LICENCE.search(x) is not None for x in lines), bool, n), np.fromiter((x.rstrip()[-1:] in b".!?" for x in lines), bool, n)):
         cols.append(np.where(flags, base, N_FEATURES))  # the last weight is always zero
         base += 1
-    return np.stack(cols, 1).astype(np.int32), words, np.array(doc, np.int64)
+    return np.stack(cols, 1).astype(np.int32), words, np.array(doc, np.int64), own
+
+
+def neighbours(doc: np.ndarray, values: np.ndarray, none) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the value of the line before and after it in its document."""
+    same = doc[1:] == doc[:-1]
+    before, after = np.full(len(doc), none, values.dtype), np.full(len(doc), none, values.dtype)
+    before[1:][same], after[:-1][same] = values[:-1][same], values[1:][same]
+    return before, after
 
 
-def _grid(doc: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Row and place of each line when chains of at most ``most`` lines become rows of a matrix."""
-    new = np.concatenate([[True], doc[1:] != doc[:-1]])
-    start = np.flatnonzero(new)
-    place = np.arange(len(doc)) - np.repeat(start, np.diff(np.append(start, len(doc))))
-    row = np.cumsum(new | (place % most == 0)) - 1
-    return row, place % most, int(row[-1]) + 1, int((place % most).max()) + 1
+def coming_back(doc: np.ndarray, own: np.ndarray) -> frozenset[int]:
+    """Hashes of lines that stand in ``REPEATS`` places with different neighbours."""
+    if not len(doc):
+        return frozenset()
+    before, after = neighbours(doc, own, 0)
+    places = np.unique(np.stack([own, before, after], 1), axis=0)
+    line, n = np.unique(places[:, 0], return_counts=True)
+    return frozenset(line[n >= REPEATS].tolist())
 
 
 class LineField:
-    """Two states (0 boilerplate, 1 content); ``weights`` score content by feature, ``pairs`` score neighbours."""
+    """Two states (0 boilerplate, 1 content); ``weights`` score content by feature, ``pairs`` score neighbours; ``known`` are hashes of
+    lines that come back."""
 
-    def __init__(self, weights: np.ndarray, pairs: np.ndarray):
-        self.weights, self.pairs = weights, pairs
+    def __init__(self, weights: np.ndarray, pairs: np.ndarray, known: frozenset[int] = frozenset()):
+        self.weights, self.pairs, self.known = weights, pairs, known
 
     @classmethod
-    def fit(cls, feats: np.ndarray, doc: np.ndarray, content: np.ndarray) -> LineField:
-        """Maximum likelihood with a Gaussian prior, by gradient steps on all chains at once."""
-        w, t = np.zeros(N_FEATURES + 1), np.zeros((2, 2))
+    def fit(cls, feats: np.ndarray, doc: np.ndarray, content: np.ndarray, known: frozenset[int] = frozenset(), fixed: np.ndarray | None = None) -> LineField:
+        """The field of documents with lines of latent labels. ``content`` is the documents' label on each line, ``fixed`` marks
+        lines that are boilerplate in any case."""
         if not len(doc) or content.all() or not content.any():
+            w = np.zeros(N_FEATURES + 1)
             w[0] = 1.0
-            return cls(w, t)
-        row, place, n_rows, length = _grid(doc, CHAIN)
-        x = np.full((n_rows, length, feats.shape[1]), N_FEATURES, np.int32)
-        y, m = np.zeros((n_rows, length), np.int64), np.zeros((n_rows, length), bool)
-        x[row, place], y[row, place], m[row, place] = feats, content, True
-        pair = m[:, 1:]
-        seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum() for b in (0, 1)] for a in (0, 1)], float)
-        steps = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
-        for k in range(1, ROUNDS + 1):
-            e = w[x].sum(-1)
-            alpha, beta = np.zeros((n_rows, length, 2)), np.zeros((n_rows, length, 2))
-            alpha[:, 0, 1] = e[:, 0]
-            for i in range(1, length):
-                a = np.logaddexp(alpha[:, i - 1, :1] + t[0], alpha[:, i - 1, 1:] + t[1])
-                a[:, 1] += e[:, i]
-                alpha[:, i] = np.where(m[:, i, None], a, alpha[:, i - 1])
-            for i in range(length - 2, -1, -1):
-                b0, b1 = beta[:, i + 1, 0], beta[:, i + 1, 1] + e[:, i + 1]
-                b = np.stack([np.logaddexp(b0 + t[s, 0], b1 + t[s, 1]) for s in (0, 1)], 1)
-                beta[:, i] = np.where(m[:, i + 1, None], b, 0)
-            z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-            p = np.exp(alpha[..., 1] + beta[..., 1] - z[:, None])
-            gw = np.bincount(x[m].ravel(), weights=np.repeat((y - p)[m], feats.shape[1]), minlength=N_FEATURES + 1) / len(doc) - 1e-4 * w
-            gt = np.zeros((2, 2))
-            for a in (0, 1):
-                for b in (0, 1):
-                    q = np.exp(alpha[:, :-1, a] + t[a, b] + b * e[:, 1:] + beta[:, 1:, b] - z[:, None])
-                    gt[a, b] = (seen[a, b] - q[pair].sum()) / len(doc) - 1e-3 * t[a, b]
-            gw[N_FEATURES] = 0
-            for v, g, s1, s2 in ((w, gw, *steps[:2]), (t, gt, *steps[2:])):
+            return cls(w, np.zeros((2, 2)))
+        fixed = np.zeros(len(doc), bool) if fixed is None else fixed
+        y = content & ~fixed
+        start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        for turn in range(TURNS):
+            out = cls.fit_lines(feats, doc, y, known)
+            score = out.weights[feats].sum(1)
+            label = np.where(score >= SURE, True, np.where(score <= -SURE, False, y)) & ~fixed
+            worst = np.minimum.reduceat(score, start)
+            bad = ~content & (score == np.repeat(worst, np.diff(np.append(start, len(doc)))))
+            label &= ~bad
+            if (label == y).all():
+                break
+            y = label
+        return out
+
+    @classmethod
+    def fit_lines(cls, feats: np.ndarray, doc: np.ndarray, y: np.ndarray, known: frozenset[int]) -> LineField:
+        """Piecewise training on labelled lines, with Gaussian priors, by gradient steps on all lines at once: first the lines' own
+        scores, as neighbours would explain them away in documents that are alike all through; then the neighbours' scores, by the
+        pseudo-likelihood of each line given its own score and its neighbours."""
+        n = len(doc)
+        w, t = np.zeros(N_FEATURES + 1), np.zeros((2, 2))
+
+        def climb(v: np.ndarray, gradient) -> None:
+            s1, s2 = np.zeros_like(v), np.zeros_like(v)
+            for k in range(1, ROUNDS + 1):
+                g = gradient()
                 s1 += 0.1 * (g - s1)
                 s2 += 0.01 * (g * g - s2)
                 v += 0.1 * (s1 / (1 - 0.9**k)) / (np.sqrt(s2 / (1 - 0.99**k)) + 1e-9)
-        return cls(w, t)
+
+        def of_lines() -> np.ndarray:
+            miss = y - 1 / (1 + np.exp(-w[feats].sum(1)))
+            g = np.bincount(feats.ravel(), weights=np.repeat(miss, feats.shape[1]), minlength=N_FEATURES + 1) / n - 1e-4 * w
+            g[N_FEATURES] = 0
+            return g
+
+        climb(w, of_lines)
+        own = w[feats].sum(1)
+        before, after = neighbours(doc, y.astype(np.int64), 2)
+        left, right = ([np.flatnonzero(side == a) for a in (0, 1)] for side in (before, after))
+
+        def of_pairs() -> np.ndarray:
+            odds = own.copy()
+            for a in (0, 1):
+                odds[left[a]] += t[a, 1] - t[a, 0]
+                odds[right[a]] += t[1, a] - t[0, a]
+            miss = y - 1 / (1 + np.exp(-odds))
+            g = -1e-3 * t
+            for a in (0, 1):
+                on_left, on_right = miss[left[a]].sum() / n, miss[right[a]].sum() / n
+                g[a] += [-on_left, on_left]
+                g[:, a] += [-on_right, on_right]
+            return g
+
+        climb(t, of_pairs)
+        return cls(w, t, known)
 
     def decode(self, feats: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Viterbi: is each line content? Chains run over whole documents."""
@@ -213,42 +266,49 @@ class LineField:
         return out
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
-    """The field of a labelled sample; only line features of at most ``2 * sample`` documents reach the driver."""
-    spark = docs.sparkSession
+def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES) -> LineField:
+    """The field of a labelled sample; line features of at most ``2 * sample`` documents of at most ``most_lines`` lines reach the driver."""
     lab = only(labels, "doc_id", "quality").where("doc_id IS NOT NULL")
-    parts = [lab.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
+    order = (F.xxhash64("doc_id"), "doc_id")
+    parts = [lab.where(F.col("quality") == q).distinct().orderBy(*order).limit(sample) for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offs = byte_view(strings(batch, "text"))
             raw, q = data.tobytes(), batch.column("quality").to_numpy(zero_copy_only=False)
-            for i, j in blocks(offs):
-                feats, _, doc = line_features([raw[offs[x] : offs[x + 1]] for x in range(i, j)])
-                for r in np.unique(doc).tolist():
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i + r, 1), pa.array([int(q[i + r])], pa.int32()), pa.array([feats[doc == r].tobytes()], pa.binary())], names=["doc_id", "quality", "feats"])
+            for r in range(batch.num_rows):
+                text = raw[offs[r] : offs[r + 1]]
+                feats, _, _, own = line_features([text])
+                if 0 < len(own) <= most_lines:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(r, 1), pa.array([int(q[r])], pa.int32()), pa.array([line_hash(text) >> 1], pa.int64()), pa.array([feats.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())], names=["doc_id", "quality", "text_hash", "feats", "lines"])
 
-    found = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id bigint, quality int, feats binary")  # chosen: at most 2 * sample rows
-    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.quality, bytes(r.feats)))
-    width = len(CUTS) + 4
-    each = [np.frombuffer(r.feats, np.int32).reshape(-1, width) for r in rows]
-    doc = np.repeat(np.arange(len(each)), [len(f) for f in each])
-    content = np.repeat(np.array([r.quality == 1 for r in rows], bool), [len(f) for f in each])
-    return LineField.fit(np.concatenate(each) if each else np.zeros((0, width), np.int32), doc, content)
+    src = only(docs, "doc_id", "text")
+    src = src.select(src["doc_id"].cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # chosen: at most 2 * sample rows
+    found = src.mapInArrow(run, "doc_id bigint, quality int, text_hash bigint, feats binary, lines binary")
+    rows = [r for q in (0, 1) for r in found.where(F.col("quality") == q).dropDuplicates(["text_hash"]).orderBy(*order, "text_hash").limit(sample).collect()]
+    lines = [np.frombuffer(r.lines, np.uint64) for r in rows]
+    doc = np.repeat(np.arange(len(rows)), list(map(len, lines)))
+    own = np.concatenate([np.zeros(0, np.uint64), *lines])
+    feats = np.concatenate([np.zeros((0, WIDTH), np.int32), *[np.frombuffer(r.feats, np.int32).reshape(-1, WIDTH) for r in rows]])
+    known = coming_back(doc, own)
+    back = np.fromiter((h in known for h in own.tolist()), bool, len(own))
+    feats[:, KNOWN] = np.where(back, KNOWN_FEATURE, N_FEATURES)
+    content = np.array([r.quality == 1 for r in rows], bool)[doc] if rows else np.zeros(0, bool)
+    return LineField.fit(feats, doc, content, known, back)
 
 
 def verdict(texts: list[bytes], crf: LineField) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The base counts of each text, whether they fail, and the share of words in content lines."""
     base = base_counts(texts)
-    feats, words, doc = line_features(texts)
+    feats, words, doc, _ = line_features(texts, crf.known)
     content = np.bincount(doc, weights=words * crf.decode(feats, doc), minlength=len(texts))
     return base, (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > 30 * base[:, 0]), content / np.maximum(1, base[:, 0])
 
 
 def judge(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> DataFrame:
     """The base counts, base_failed, kept and content_share of each document."""
-    field = (field.weights, field.pairs)
+    field = (field.weights, field.pairs, field.known)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = LineField(*field)
@@ -266,7 +326,7 @@ def judge(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> Da
 
 def keep(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows, with all their columns, of documents that are kept."""
-    field = (field.weights, field.pairs)
+    field = (field.weights, field.pairs, field.known)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = LineField(*field)
