@@ -47,6 +47,8 @@ def test_brute_force_and_edge_cases(spark, monkeypatch):
     for bound in (200_000, 0):
         monkeypatch.setattr(dc, "BROADCAST_ROWS", bound)
         got = sorted(map(tuple, dc.contaminated(d, b, 4).collect()), key=repr)
+        plan = dc.contaminated(d, b, 4)._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
         assert [g for g in got if g[1] < 1000] == brute(small, items, 4)
         assert [g[1:4] for g in got if g[1] >= 1000] == [(30000, 30000, 1)]
     none = spark.createDataFrame([], "item_id bigint, text string")
@@ -57,3 +59,22 @@ def test_brute_force_and_edge_cases(spark, monkeypatch):
 def test_native(spark, sf):
     plan = dc.op8_decontam(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_windows_beyond_a_broadcast(spark, monkeypatch):
+    """The benchmark's side is shuffled: equal results, and no words or texts go along with the tokens."""
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, dc.contaminated(docs, bench).collect()), key=repr)
+    assert any(r[-1] for r in want)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 0)
+    staged = {}
+    keep = dc.Workspace.stage
+
+    def stage(self, df, name):
+        staged[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(dc.Workspace, "stage", stage)
+    assert sorted(map(tuple, dc.contaminated(docs, bench).collect()), key=repr) == want
+    assert not any("text#" in x or "words#" in x for x in staged["candidates"].splitlines() if "Exchange" in x)
