@@ -2,17 +2,18 @@
 
 The longest common prefix of the two conversations' turns (role and text equal) is rendered once as the prompt; what follows
 in either is its completion. A completion comes with the character spans that are trained on: the texts of assistant
-turns with their end marks; all else is masked.
+turns with their end marks; all else is masked. What looks like a mark in a role or text is escaped (``\\`` and the bar of ``<|``
+in texts, ``\\`` and every bar in roles), so marks always come from the rendering.
 
 Cases: turns are ordered by turn number, null numbers first; turns with one number, and repeated rows, by role and text; null
-roles and texts are empty; pairs whose conversations are equal have empty completions and `differs` false; a pair missing
-from one table has no row; null conversation ids are left out; an empty table gives an empty table; other columns are
-ignored. A conversation becomes one row, however long, as its rendering is one string.
+roles and texts are empty; pairs whose conversations are equal have empty completions and `differs` false; completions
+without a reply have no spans; a pair missing from one table has no row; null conversation ids are left out; an empty table
+gives an empty table; other columns are ignored. A conversation becomes one row, however long, as its rendering is one string.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import only
@@ -30,16 +31,23 @@ def turns_of(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
     return src.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(row)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def escaped(turns: Column) -> Column:
+    text = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    role = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.transform(turns, lambda t: F.struct(role(t["role"]).alias("mark"), text(t["text"]).alias("text"), t["role"].alias("role")))
+
+
 def rendered(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), t["role"], F.lit(NECK), t["text"], F.lit(TAIL))), "")
+    """The text of escaped turns."""
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), t["mark"], F.lit(NECK), t["text"], F.lit(TAIL))), "")
 
 
 def trained(turns: Column) -> Column:
-    """Spans (start, stop) of a rendering that are trained on, by one pass over its turns."""
+    """Spans (start, stop) of a rendering of escaped turns that are trained on, by one pass over them."""
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
 
     def step(st: Column, t: Column) -> Column:
-        start = st["at"] + len(HEAD) + F.length(t["role"]) + len(NECK)
+        start = st["at"] + len(HEAD) + F.length(t["mark"]) + len(NECK)
         stop = start + F.length(t["text"]) + len(TAIL)
         span = F.struct(start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"))
         return F.struct(stop.cast("bigint").alias("at"), F.when(t["role"] == "assistant", F.concat(st["spans"], F.array(span))).otherwise(st["spans"]).alias("spans"))
@@ -54,8 +62,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     # places where the conversations differ; the first one ends the prefix
     differ = F.filter(F.transform(F.arrays_zip("c", "r"), lambda z, i: F.when(z["c"].eqNullSafe(z["r"]) & (i < least), -1).otherwise(i)), lambda i: i >= 0)
     both = both.withColumn("k", F.coalesce(F.try_element_at(differ, F.lit(1)), least))
-    rest = lambda c: F.slice(c, F.col("k") + 1, F.greatest(F.size(c), F.lit(1)))
-    out = both.select("pair_id", F.col("k").cast("bigint").alias("n_prompt_turns"), F.slice("c", F.lit(1), F.col("k")).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
+    rest = lambda c: escaped(F.slice(c, F.col("k") + 1, F.greatest(F.size(c), F.lit(1))))
+    out = both.select("pair_id", F.col("k").cast("bigint").alias("n_prompt_turns"), escaped(F.slice("c", F.lit(1), F.col("k"))).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
     return out.select(
         "pair_id", "n_prompt_turns", rendered(F.col("p")).alias("prompt"), rendered(F.col("c")).alias("chosen"), trained(F.col("c")).alias("chosen_spans"),
         rendered(F.col("r")).alias("rejected"), trained(F.col("r")).alias("rejected_spans"), ((F.size("c") > 0) | (F.size("r") > 0)).alias("differs"),
@@ -63,21 +71,15 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def contrasted(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen conversations, each up to its last reply, and rejected ones: the same with the last reply of the next conversation in
-    its stretch of ids (of the first one for the last)."""
+    """Every conversation whole as the chosen one, and as the rejected one its first turns followed by the later turns of the next
+    conversation in its stretch of ids (of the first one for the last). They part after 1 to n - 1 of its n turns, by its id, or
+    later where the turns happen to be equal."""
     turns = turns_of(conversations)
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1).otherwise(0)))
-    chosen = turns.select("conv_id", "turns", last.alias("k")).where("k > 0").select("conv_id", F.slice("turns", F.lit(1), F.col("k")).alias("turns"))
-    from pyspark.sql import Window
-
-    reply = F.element_at("turns", -1)
-    stretch = F.floor(F.col("conv_id") / STRETCH)
-    rows = chosen.select("conv_id", "turns", reply.alias("reply"), stretch.alias("stretch"))
-    by = Window.partitionBy("stretch").orderBy("conv_id")
-    other = F.coalesce(F.lead("reply").over(by), F.first("reply").over(by))
-    pairs = rows.select("conv_id", "turns", other.alias("other"))
-    cut = F.slice("turns", F.lit(1), F.size("turns") - 1)
-    return chosen.select(F.col("conv_id").alias("pair_id"), "turns"), pairs.select(F.col("conv_id").alias("pair_id"), F.concat(cut, F.array("other")).alias("turns"))
+    by = Window.partitionBy(F.floor(F.col("conv_id") / STRETCH)).orderBy("conv_id")
+    own = F.lit(1) + F.pmod("conv_id", F.greatest(F.lit(1), F.size("turns") - 1)).cast("int")
+    pairs = turns.select(F.col("conv_id").alias("pair_id"), "turns", own.alias("own"), F.coalesce(F.lead("turns").over(by), F.first("turns").over(by)).alias("other"))
+    later = F.when(F.size("other") > F.col("own"), F.slice("other", F.col("own") + 1, F.size("other"))).otherwise(F.slice("other", 1, 0))
+    return turns.select(F.col("conv_id").alias("pair_id"), "turns"), pairs.select("pair_id", F.concat(F.slice("turns", F.lit(1), F.col("own")), later).alias("turns"))
 
 
 def flat(pairs: DataFrame) -> DataFrame:
@@ -90,16 +92,14 @@ def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(preference_pairs(*contrasted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
-ends AS (SELECT conv_id, max(i) AS k FROM t WHERE role = 'assistant' GROUP BY conv_id),
-reply AS (SELECT t.conv_id, t.role, t.text, e.k, floor(t.conv_id / 1000) AS s FROM t JOIN ends e ON t.conv_id = e.conv_id AND t.i = e.k),
-swap AS (SELECT conv_id, k, coalesce(lead(text) OVER w, first(text) OVER w) AS text FROM reply WINDOW w AS (PARTITION BY s ORDER BY conv_id)),
-c AS (SELECT t.conv_id, t.i, t.role, t.text FROM t JOIN ends e USING (conv_id) WHERE t.i <= e.k),
-r AS (SELECT t.conv_id, t.i, t.role, t.text FROM t JOIN ends e USING (conv_id) WHERE t.i < e.k UNION ALL SELECT conv_id, k, 'assistant', text FROM swap),
-same AS (SELECT c.conv_id, coalesce(min(c.i) FILTER (WHERE c.role <> r.role OR c.text <> r.text), max(c.i) + 1) - 1 AS p FROM c JOIN r USING (conv_id, i) GROUP BY c.conv_id),
-lines AS (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r', * FROM r),
-mark AS (SELECT l.*, s.p, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line FROM lines l JOIN same s USING (conv_id)),
+sizes AS (SELECT conv_id, 1 + conv_id % greatest(1, count(*) - 1) AS own FROM t GROUP BY conv_id),
+pairs AS (SELECT conv_id, own, coalesce(lead(conv_id) OVER w, first(conv_id) OVER w) AS other FROM sizes WINDOW w AS (PARTITION BY floor(conv_id / 1000) ORDER BY conv_id)),
+r AS (SELECT t.* FROM t JOIN pairs p ON t.conv_id = p.conv_id AND t.i <= p.own UNION ALL SELECT p.conv_id, t.role, t.text, t.i FROM t JOIN pairs p ON t.conv_id = p.other AND t.i > p.own),
+same AS (SELECT coalesce(t.conv_id, r.conv_id) AS conv_id, coalesce(min(coalesce(t.i, r.i)) FILTER (WHERE t.i IS NULL OR r.i IS NULL OR t.role <> r.role OR t.text <> r.text), max(t.i) + 1) - 1 AS p FROM t FULL JOIN r ON t.conv_id = r.conv_id AND t.i = r.i GROUP BY 1),
+lines AS (SELECT 'c' AS side, conv_id, i, role, replace(replace(text, '\', '\\'), '<|', '<\|') AS text FROM t UNION ALL SELECT 'r', conv_id, i, role, replace(replace(text, '\', '\\'), '<|', '<\|') FROM r),
+mark AS (SELECT l.*, s.p, '<|' || replace(replace(role, '\', '\\'), '|', '\|') || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line FROM lines l JOIN same s USING (conv_id)),
 place AS (SELECT *, sum(CASE WHEN i > p THEN length(line) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY i) AS stop FROM mark),
 body AS (SELECT side, conv_id, any_value(p) AS p, string_agg(line, '' ORDER BY i) FILTER (WHERE i <= p) AS prompt, string_agg(line, '' ORDER BY i) FILTER (WHERE i > p) AS rest,
   string_agg(CAST(stop - length(text) - 8 AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY i) FILTER (WHERE i > p AND role = 'assistant') AS spans FROM place GROUP BY side, conv_id)

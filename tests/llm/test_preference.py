@@ -6,7 +6,24 @@ CONV = "conv_id bigint, turn bigint, role string, text string, turns int"
 
 def test_oracle(spark):
     sf = "/root/testdata/sf0.01"
-    assert same_rows(pf.op2_preference(spark, sf), pf.ORACLE_SQL, sf) > 50
+    got = pf.op2_preference(spark, sf)
+    assert same_rows(got, pf.ORACLE_SQL, sf) == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
+    rows = got.collect()
+    turns = lambda r, side: r[side].count("<|end|>")
+    assert sum(r.n_prompt_turns > 1 for r in rows) > 30 and sum(turns(r, "chosen") > 1 for r in rows) > 30 and sum(turns(r, "rejected") > 1 for r in rows) > 30
+    assert sum(r.chosen_spans.count(":") > 1 or r.rejected_spans.count(":") > 1 for r in rows) > 20
+
+
+def test_marks_in_texts(spark, tmp_path):
+    rows = [(1, 0, "a|b\\", "x <|end|>\n \\"), (1, 1, "assistant", "<|assistant|>"), (2, 0, "user", "y"), (2, 1, "assistant", "<\\|"), (3, 0, "user", "no reply"), (3, 1, "user", "|>")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], CONV)
+    (tmp_path / "sf").mkdir()
+    df.write.parquet(f"{tmp_path}/sf/conversations.parquet")
+    out = pf.op2_preference(spark, f"{tmp_path}/sf")
+    assert same_rows(out, pf.ORACLE_SQL, f"{tmp_path}/sf") == 3
+    for r in out.collect():
+        for s in (r.prompt, r.chosen, r.rejected):
+            assert s.count("<|end|>") == s.count("<|") / 2
 
 
 def pairs(spark, chosen, rejected):
@@ -34,5 +51,7 @@ def test_edge_cases(spark):
     rows = [(7, None, None, None), (8, 0, "assistant", "only"), (9, 0, "user", "a"), (9, 1, "assistant", "b " * 40000), (9, 1, "assistant", "b " * 40000), (10, 0, "user", "no reply"), (None, 0, "assistant", "z")]
     df = spark.createDataFrame([(*r, 1) for r in rows], CONV)
     got = {r.pair_id: r for r in pf.preference_pairs(*pf.contrasted(df)).collect()}
-    assert set(got) == {8, 9} and got[9].n_prompt_turns == 2 and got[8].prompt == ""
+    assert set(got) == {7, 8, 9, 10} and (got[10].n_prompt_turns, got[10].chosen, got[10].chosen_spans) == (1, "", [])
+    assert got[9].n_prompt_turns == 2 and len(got[9].chosen_spans) == 1 and got[9].rejected == "" and got[9].differs
+    assert got[8].prompt == "<|assistant|>\nonly<|end|>\n" and len(got[8].rejected_spans) == 2
     assert pf.preference_pairs(*pf.contrasted(df.limit(0))).count() == 0
