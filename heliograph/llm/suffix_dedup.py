@@ -1,29 +1,28 @@
 """Exact removal of repeated byte strings by merging shard Burrows-Wheeler transforms.
 
 A window is a string of ``LENGTH`` bytes of one document. Every byte under a window that also starts earlier (in a smaller
-doc_id, or earlier in the document) is removed; windows are judged on the input.
+doc_id, or earlier in the document) is removed; windows are judged on the input. Hashes bring together what may be equal;
+what is equal is decided by the bytes themselves.
 
 1. Anchors. The smallest hash of a ``GRAM``-byte gram in a window (leftmost if equal) is its anchor. Windows in a row with one
    anchor make a run, and its text a segment. Equal windows have equal anchors at equal offsets, so they only meet in runs
-   whose anchors have equal hashes, and a run's own windows all differ. Runs of one hash (a group) are brought together;
-   equal segments are one class, of which only the first occurrence can hold a first window: the others are removed whole.
-   Each task reduces its own rows so before they are shuffled.
-2. Segments that are first of their class, in groups of several classes, get their text. Groups are packed into blocks and a
-   block's segments into shards. Each shard is suffix-sorted and gives the transform over symbols of ``STEP`` bytes.
+   whose anchors have equal hashes, and a run's own windows all differ. Of segments that are equal byte by byte each task keeps
+   the first; the others are removed whole. The rest is brought together by anchor (a group), and runs that are alone in
+   their group are done.
+2. All segments of the other groups get their text. Groups are packed into blocks, segments of equal bytes become one, and a
+   block's segments are dealt into shards. Each shard is suffix-sorted and gives the transform over symbols of ``STEP`` bytes.
    The interleave of the shards starts with all suffixes in one interval; each round puts the shards' next symbols, taken
    in the order of the interleave, into buckets, which refines the interleave by one more symbol and marks where the common
    prefix of neighbours ends. After LENGTH / STEP rounds the intervals hold the equal windows of all shards; no
    suffixes are sorted anew. In each interval every window but the first is removed.
-3. Groups with more than ``WIDE`` classes are first dealt by whole windows instead: each window then is a
-   segment with its own hash as anchor, and goes through the same steps. Each task sends a window's first occurrence
-   only, the others as removed spans; equal segments that meet in a block are reduced once more.
-
-Hashes are 64 bits for anchors and 48 more for segments.
-
-Cases: null text is empty; texts shorter than a window lose nothing; texts of any length are read whole. Rows that share
-a doc_id count as occurrences of one document, lose all spans found in any of them as far as their text goes, and equal rows
-are one occurrence. Null doc_ids come before all others and are treated so, too. An empty table gives an empty table; other
-columns are ignored.
+3. A hot anchor (a line that very many documents have, each between other words) is split by its windows: each window then is
+   a segment with its own hash as anchor, and goes through the same steps; a task sends a window's first occurrence only. A
+   group is split if a task has ``CROWD`` runs of it, which then do not go to the group but for one mark, or if it
+   has ``WIDE`` runs in all. Splitting changes no result.
+
+Cases: null text is empty; texts shorter than a window lose nothing; texts of any length are read whole. Rows with one doc_id
+and one text are one occurrence and get equal results. Texts that share a doc_id are documents of their own, in the
+order of their SHA-256. Null doc_ids come before all others. An empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,12 +47,16 @@ ROWS_AT_ONCE = 400_000
 #: Symbols of a block and of a shard.
 BLOCK_SYMBOLS = 1 << 18
 SHARD_SYMBOLS = 1 << 16
-#: Classes of a group beyond which its windows are dealt one by one.
-WIDE = 20_000
+#: Runs of one group, in a task and in all, from which on the group is split by its windows.
+CROWD, WIDE = 64, 8192
 #: Distinct windows of wide groups, and spans, that a task gathers before it sends them on.
 WINDOWS_AT_ONCE = 200_000
 #: Fixed value: an odd multiplier; grams are hashed as polynomials in it, modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
+#: Bits of an offset in a text; above them stands the number of a text that shares its doc_id with others.
+PLACE = 31
+#: Bytes compared at once.
+COMPARE = 1 << 22
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 EMPTY = np.zeros(0, np.int64)
@@ -90,12 +93,12 @@ def segment_hash(raw: np.ndarray, start: np.ndarray, size: np.ndarray, sums: np.
 
 
 def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document, start in it, windows, anchor's offset in the first window, anchor hash and segment hash of all runs in a block."""
+    """Document, start in the block, windows, anchor hash and segment hash of all runs in a block."""
     n, width = len(data), length - gram + 1
     size = np.diff(offs)
     windows = np.maximum(0, size - length + 1)
     if not windows.sum():
-        return EMPTY, EMPTY, EMPTY, EMPTY, EMPTY, EMPTY
+        return EMPTY, EMPTY, EMPTY, EMPTY, EMPTY
     up, down = Powers.get(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -115,138 +118,195 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np
     count = np.diff(np.append(first, len(at)))
     start, anchor, doc = at[first], anchor[first], doc[first]
     seg = segment_hash(data, start, count + length - 1, sums)
-    return doc, start - offs[doc], count, anchor - start, h[anchor].view(np.int64), seg.view(np.int64)
-
-
-def reduced(key: np.ndarray, seg: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are first of their class (key, seg), and rows that come after a first."""
-    order = np.lexsort((start, doc, seg, key))
-    k, s = key[order], seg[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]) if len(order) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    later = (doc[order] != doc[order][head]) | (start[order] != start[order][head])
-    return order[new], order[later]
+    return doc, start, count, h[anchor].view(np.int64), seg.view(np.int64)
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs of ranges hold equal bytes."""
+    out = np.zeros(len(a), bool)
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + COMPARE, side="right")))
+        n = size[i:j]
+        out[i:j] = np.logical_and.reduceat(data[ranges(a[i:j], n)] == data[ranges(b[i:j], n)], np.cumsum(n) - n)
+        i = j
+    return out
+
+
+def reduced(data: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray, seg: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose bytes (``size`` of them from ``at`` on) no earlier row has, and rows that repeat an earlier one. Hashes propose,
+    bytes decide; rows whose hashes alone are equal stay."""
+    order = np.lexsort((start, doc, size, seg, key))
+    k, s, n = key[order], seg[order], size[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])]) if len(order) else np.zeros(0, bool)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    other = (doc[order] != doc[head]) | (start[order] != start[head])
+    row, first = order[other], head[other]
+    same = equal_bytes(data, at[row], at[first], size[row])
+    return np.concatenate([order[new], row[~same]]), row[same]
 
 
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The union of spans, document by document."""
+    """The union of spans, text by text."""
     if not len(doc):
         return EMPTY, EMPTY, EMPTY
+    text = start >> PLACE
     order = np.lexsort((start, doc))
-    d, a, b = doc[order], start[order], stop[order]
-    name = np.cumsum(np.concatenate([[False], d[1:] != d[:-1]])).astype(np.int64)
+    d, x = doc[order], text[order]
+    a, b = start[order] - (x << PLACE), stop[order] - (x << PLACE)
+    name = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])).astype(np.int64)
     far = int(b.max()) + 1
     reach = np.maximum.accumulate(b + name * far)
     new = np.concatenate([[True], a[1:] + name[1:] * far > reach[:-1]])
     first = np.flatnonzero(new)
-    return d[first], a[first], reach[np.append(first[1:], len(d)) - 1] - name[first] * far
+    last = np.append(first[1:], len(d)) - 1
+    return d[first], a[first] + (x[first] << PLACE), reach[last] - name[first] * far + (x[first] << PLACE)
+
 
+#: Kinds of rows: a span that is surely removed, a run, a run of a hot group, the mark of a hot group.
+SPAN, RUN, HOT, MARK = 0, 1, 2, 3
+FOUND = "kind int, pkey bigint, doc_id bigint, start bigint, size int"
 
-RUN = "pkey bigint, seg bigint, doc_id bigint, start bigint, size int, off int"
 
+def found_batch(kind, key, doc, start, size) -> pa.RecordBatch:
+    cols = [pa.array(np.broadcast_to(np.int32(kind), len(doc)) if np.ndim(kind) == 0 else kind.astype(np.int32)), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.asarray(size).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
-def run_batch(key, seg, doc, start, size, off, seg_null=False) -> pa.RecordBatch:
-    n = len(doc)
-    cols = [pa.array(key, pa.int64()), pa.nulls(n, pa.int64()) if seg_null else pa.array(seg, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.asarray(size).astype(np.int32)), pa.array(np.broadcast_to(off, n).astype(np.int32))]
-    return pa.RecordBatch.from_arrays(cols, names=["pkey", "seg", "doc_id", "start", "size", "off"])
+
+def scattered(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys that deal rows out evenly."""
+    return mixed(doc.view(np.uint64) + start.astype(np.uint64)).view(np.int64)
 
 
 def own_ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)
 
 
+def numbered(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, bool]:
+    """doc_id (null as ``NO_ID``), n, copies and text. Where a doc_id comes in several rows, equal texts are one row with their
+    number, and different ones are numbered by n from 1 on; else n is 0. And whether there are such doc_ids."""
+    src = only(docs, "doc_id", "text")
+    src = src.select(F.coalesce(src["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    alone = src.select("doc_id", F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("copies"), "text")
+    shared = ws.stage(src.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "shared-ids")
+    if shared.isEmpty():
+        return alone, False
+    texts = src.join(shared, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = ws.stage(texts, "shared-texts")
+    order = texts.select("doc_id", "sha").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "sha").sortWithinPartitions("doc_id", "sha")
+    order = ws.stage(order.withColumn("at", F.monotonically_increasing_id()), "shared-order")
+    sizes = sorted(map(tuple, order.groupBy(F.shiftright("at", 33).alias("part")).count().collect()))  # a row a partition
+    before = np.cumsum([0] + [c for _, c in sizes])[:-1].tolist()
+    base = docs.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "part bigint, before bigint")
+    named = order.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(base), "part").select("doc_id", "sha", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("n"))
+    several = texts.join(named, ["doc_id", "sha"]).select("doc_id", "n", "copies", "text")
+    return alone.join(shared, "doc_id", "left_anti").unionByName(several), True
+
+
 def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Runs that are first of their class in their task, and (seg null) spans that are surely removed."""
+    """Runs, hot runs and marks, and spans that are surely removed, each task's repeats taken out."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n = 0
+        n = size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, start, count, off, key, seg = (np.concatenate(x) for x in zip(*held))
-            first, later = reduced(key, seg, doc, start)
-            yield run_batch(key[first], seg[first], doc[first], start[first], count[first], off[first])
+            texts, doc, start, at, count, key, seg = zip(*held)
+            data = np.concatenate(texts)
+            doc, start, at, count, key, seg = map(np.concatenate, (doc, start, at, count, key, seg))
+            first, later = reduced(data, at, count + length - 1, key, seg, doc, start)
             d, a, b = merged(doc[later], start[later], start[later] + count[later] + length - 1)
-            yield run_batch(mixed(d.view(np.uint64) + a.astype(np.uint64)).view(np.int64), EMPTY, d, a, b - a, 0, True)
+            yield found_batch(SPAN, scattered(d, a), d, a, b - a)
+            keys, which, many = np.unique(key[first], return_inverse=True, return_counts=True)
+            hot = many[which] >= CROWD
+            normal, crowd, marks = first[~hot], first[hot], keys[many >= CROWD]
+            yield found_batch(RUN, key[normal], doc[normal], start[normal], count[normal])
+            yield found_batch(HOT, scattered(doc[crowd], start[crowd]), doc[crowd], start[crowd], count[crowd])
+            yield found_batch(MARK, marks, np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64))
 
         for batch in it:
             data, offs = byte_view(strings(batch, "text"))
-            ids = own_ids(batch)
+            ids, number = own_ids(batch), batch.column("n").to_numpy(zero_copy_only=False)
             for i, j in blocks(offs):
-                doc, *rest = runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)
+                own = offs[i : j + 1] - offs[i]
+                doc, at, count, key, seg = runs(data[offs[i] : offs[j]], own, length, gram)
                 if len(doc):
-                    held.append((ids[i:j][doc], *rest))
+                    held.append((data[offs[i] : offs[j]].copy(), ids[i:j][doc], at - own[doc] + (number[i:j][doc] << PLACE), at + size, count, key, seg))
                     n += len(doc)
+                    size += int(offs[j] - offs[i])
                 if n >= ROWS_AT_ONCE:
                     yield from flush()
-                    held, n = [], 0
+                    held, n, size = [], 0, 0
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, RUN)
+    return docs.mapInArrow(run, FOUND)
 
 
-JUDGED = "kind int, pkey bigint, doc_id bigint, start bigint, size int, off int"
-
-
-def judge_groups(found: DataFrame, length: int, wide: int) -> DataFrame:
-    """Spans to remove (kind 0), and class firsts of groups with several classes: kind 1, or 2 in wide groups."""
+def judge_groups(found: DataFrame, wide: int) -> DataFrame:
+    """Spans to remove, runs of groups with several, and hot runs. At most ``wide`` runs of a group are held."""
     n = shuffle_partitions(found.sparkSession)
-    dealt = found.repartition(n, "pkey").sortWithinPartitions("pkey", "seg", "doc_id", "start")
-
-    def out(kind, cols, rows) -> pa.RecordBatch:
-        key, doc, start, size, off = (c[rows] for c in cols)
-        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(kind, len(rows)).astype(np.int32)), pa.array(key), pa.array(doc), pa.array(start), pa.array(size.astype(np.int32)), pa.array(off.astype(np.int32))], names=[x.split()[0] for x in JUDGED.split(", ")])
-
-    def settle(key, seg, null, doc, start, size, off) -> Iterator[pa.RecordBatch]:
-        cols = (key, doc, start, size.astype(np.int64), off)
-        spans = np.flatnonzero(null)
-        if len(spans):
-            yield out(0, cols, spans)
-        keep = np.flatnonzero(~null)
-        if not len(keep):
-            return
-        k, s, d, a = key[keep], seg[keep], doc[keep], start[keep]
-        new_k = np.concatenate([[True], k[1:] != k[:-1]])
-        new_c = new_k | np.concatenate([[True], s[1:] != s[:-1]])
-        head = np.maximum.accumulate(np.where(new_c, np.arange(len(k)), 0))
-        later = (d != d[head]) | (a != a[head])
-        group = np.cumsum(new_k) - 1
-        classes = np.bincount(group, weights=new_c)[group]
-        cols = tuple(c[keep] for c in cols)
-        spans = np.flatnonzero(later)
-        d, a, b = merged(cols[1][spans], cols[2][spans], cols[2][spans] + cols[3][spans] + length - 1)
-        yield out(0, (np.zeros(len(d), np.int64), d, a, b - a, np.zeros(len(d), np.int64)), np.arange(len(d)))
-        cand = np.flatnonzero(new_c & (classes > 1))
-        yield out(np.where(classes[cand] > wide, 2, 1), cols, cand)
+    dealt = found.repartition(n, "pkey").sortWithinPartitions("pkey", F.desc("kind"))  # a group's marks come first
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, hot_key = None, None
+
+        def settle(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            """Emit what can be told of whole groups; hold the last one, that may go on, unless it is hot or ``last``."""
+            nonlocal held, hot_key
+            kind, key = cols[:2]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(start, len(key)))
+            marks = np.add.reduceat(kind == MARK, start, dtype=np.int64)
+            hot = (marks > 0) | (size >= wide)
+            if hot_key is not None and key[0] == hot_key:
+                hot[0] = True
+            known = hot | (size > 1)
+            if not last:
+                hot_key = key[-1] if hot[-1] else None
+                held = None if hot[-1] else [c[start[-1] :] for c in cols]
+                known[-1] = hot[-1]
+            else:
+                held = None
+            rows = np.flatnonzero(np.repeat(known, size) & (kind != MARK))
+            yield found_batch(np.where(np.repeat(hot, size)[rows], HOT, RUN), *[c[rows] for c in cols[1:]])
+
         for batch in it:
-            if not batch.num_rows:
-                continue
-            seg = batch.column("seg")
-            new = [batch.column("pkey").to_numpy(), seg.fill_null(0).to_numpy(), seg.is_null().to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy() for c in ("doc_id", "start", "size", "off"))]
+            cols = [batch.column(c).to_numpy() for c in ("kind", "pkey", "doc_id", "start", "size")]
+            through = (cols[0] == SPAN) | (cols[0] == HOT)
+            yield found_batch(*[c[through] for c in cols])
+            cols = [c[~through] for c in cols]
             if held is not None:
-                new = [np.concatenate(x) for x in zip(held, new)]
-            cut = int(np.searchsorted(new[0], new[0][-1]))  # the last group may go on in the next batch
-            held = [x[cut:] for x in new]
-            if cut:
-                yield from settle(*[x[:cut] for x in new])
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            if len(cols[0]):
+                yield from settle(cols, False)
         if held is not None:
-            yield from settle(*held)
+            yield from settle(held, True)
 
-    return dealt.mapInArrow(run, JUDGED)
+    return dealt.mapInArrow(run, FOUND)
 
 
 SEGMENT = "pkey bigint, doc_id bigint, start bigint, size int, bytes binary"
 
 
+def of_texts(texts: DataFrame, rows: DataFrame, *what: str) -> DataFrame:
+    """The texts with the list of their own rows."""
+    lists = rows.groupBy("doc_id", F.shiftright("start", PLACE).alias("n")).agg(F.collect_list(F.struct(*what)).alias("own"))  # of one document
+    return texts.join(lists.hint("shuffle_hash"), ["doc_id", "n"], "left")
+
+
+def own_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row in the batch of each listed row, and the listed rows' columns."""
+    col = batch.column("own")
+    has = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
+    lists = col.take(pa.array(has))
+    flat = lists.flatten()
+    return has[np.repeat(np.arange(len(has)), np.diff(lists.offsets.to_numpy()))], [flat.field(k).to_numpy() for k in range(flat.type.num_fields)]
+
+
 def fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted runs with their segments' bytes; those of wide groups as single windows, and (bytes null) spans that are
-    surely removed."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pkey", "start", "size", "kind")).alias("wanted"))  # of one document's runs
-    joined = texts.join(lists.hint("shuffle_hash"), "doc_id", "left")
+    """The wanted runs with their segments' bytes; hot ones as single windows, and (bytes null) spans that are surely removed."""
 
     def out(key, doc, start, size, text) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.asarray(size).astype(np.int32)), pa.array(text, pa.binary())], names=[x.split()[0] for x in SEGMENT.split(", ")])
@@ -261,38 +321,30 @@ def fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def send_spans(again: list[tuple[int, int]]) -> pa.RecordBatch:
         doc, start = np.array(again, np.int64).reshape(-1, 2).T
         d, a, b = merged(doc, start, start + length)
-        return out(mixed(d.view(np.uint64) + a.astype(np.uint64)).view(np.int64), d, a, b - a, [None] * len(d))
+        return out(scattered(d, a), d, a, b - a, [None] * len(d))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple[int, int]] = {}  # windows of wide groups
+        first: dict[bytes, tuple[int, int]] = {}  # windows of hot groups
         again: list[tuple[int, int]] = []
         for batch in it:
-            col = batch.column("wanted")
-            use = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
-            if not len(use):
+            row, own = own_rows(batch)
+            if not len(row):
                 continue
+            key, start, size, kind = own
+            size = size.astype(np.int64)
             data, offs = byte_view(strings(batch, "text"))
-            take = pa.array(use)
-            lists_, ids = col.take(take), own_ids(batch)[use]
-            flat = lists_.flatten()
-            row = use[np.repeat(np.arange(len(use)), np.diff(lists_.offsets.to_numpy()))]
-            doc = np.repeat(ids, np.diff(lists_.offsets.to_numpy()))
-            key, start, size, kind = (flat.field(k).to_numpy() for k in range(4))
-            start, size = start.astype(np.int64), size.astype(np.int64)
-            raw = data.tobytes()
-            room = (offs[1:] - offs[:-1])[row]  # rows that share a doc_id can differ in length
-            fits = np.flatnonzero((kind != 2) & (start + size + length - 1 <= room))
-            for a in range(0, len(fits), 20_000):
-                b = fits[a : a + 20_000]
-                text = [raw[x : x + m + length - 1] for x, m in zip((offs[row[b]] + start[b]).tolist(), size[b].tolist())]
+            raw, doc = data.tobytes(), own_ids(batch)[row]
+            at = offs[row] + (start & ((1 << PLACE) - 1))
+            some = np.flatnonzero(kind == RUN)
+            for a in range(0, len(some), 20_000):
+                b = some[a : a + 20_000]
+                text = [raw[x : x + m + length - 1] for x, m in zip(at[b].tolist(), size[b].tolist())]
                 yield out(key[b], doc[b], start[b], size[b], text)
-            one = np.flatnonzero(kind == 2)
-            for a in range(0, len(one), 1_000):
-                b = one[a : a + 1_000]
-                each, run_of = ranges(start[b], size[b]), np.repeat(b, size[b])
-                inside = each + length <= room[run_of]
-                each, run_of = each[inside], run_of[inside]
-                for x, d, s in zip((offs[row[run_of]] + each).tolist(), doc[run_of].tolist(), each.tolist()):
+            hot = np.flatnonzero(kind == HOT)
+            for a in range(0, len(hot), 1_000):
+                b = hot[a : a + 1_000]
+                run_of = np.repeat(b, size[b])
+                for x, d, s in zip(ranges(at[b], size[b]).tolist(), doc[run_of].tolist(), ranges(start[b], size[b]).tolist()):
                     text = raw[x : x + length]
                     old = first.setdefault(text, (d, s))
                     if (d, s) < old:
@@ -310,7 +362,7 @@ def fetch(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         if again:
             yield send_spans(again)
 
-    return joined.mapInArrow(run, SEGMENT)
+    return of_texts(texts, wanted, "pkey", "start", "size", "kind").mapInArrow(run, SEGMENT)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -488,24 +540,16 @@ def merge_groups(segments: DataFrame, length: int, step: int) -> DataFrame:
 
 def cut_out(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     """The digests of what is left of each document, and with ``with_text`` the remaining bytes."""
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # of one document
-    joined = texts.join(lists.hint("shuffle_hash"), "doc_id", "left")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offs = byte_view(strings(batch, "text"))
             raw = memoryview(data.tobytes())
             n = batch.num_rows
-            col = batch.column("spans")
-            has = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
-            lists_ = col.take(pa.array(has))
-            flat = lists_.flatten()
-            row = has[np.repeat(np.arange(len(has)), np.diff(lists_.offsets.to_numpy()))]
-            start = flat.field(0).to_numpy().astype(np.int64)
+            row, (start, length) = own_rows(batch)
+            start = start & ((1 << PLACE) - 1)
             size = np.diff(offs)
-            stop = np.minimum(start + flat.field(1).to_numpy(), size[row])
-            ok = start < stop
-            d, a, b = merged(row[ok], start[ok], stop[ok])
+            d, a, b = merged(row, start, start + length)
             n_spans = np.bincount(d, minlength=n)
             n_removed = np.bincount(d, weights=b - a, minlength=n).astype(np.int64)
             left, k = [], 0
@@ -517,28 +561,31 @@ def cut_out(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                     k += 1
                 left.append(b"".join([*parts, raw[at : offs[r + 1]]]))
             ids = own_ids(batch)
-            cols = [pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(size), pa.array(n_removed), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            cols = [pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(size), pa.array(n_removed), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), batch.column("copies")]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "copies"]
             if with_text:
                 cols.append(pa.array(left, pa.binary()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else ""))
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, copies bigint" + (", kept binary" if with_text else "")
+    return of_texts(texts, spans, "start", "size").mapInArrow(run, schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, wide: int = WIDE, with_text: bool = False) -> DataFrame:
     """What is left of each document when repeated strings of ``length`` bytes (a multiple of ``step``) are removed."""
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix-dedup")
-    src = only(docs, "doc_id", "text")
-    src = src.select(F.coalesce(src["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
-    judged = ws.stage(judge_groups(find_runs(src, length, gram), length, wide), "judged")
+    src, shared = numbered(docs, ws)
+    judged = ws.stage(judge_groups(find_runs(src, length, gram), wide), "judged")
     release_shuffles(spark)
-    texts = src.repartition(shuffle_partitions(spark), "doc_id")
-    found = merge_groups(fetch(texts, judged.where("kind > 0"), length), length, step)
-    spans = judged.where("kind = 0").select("doc_id", "start", "size").unionByName(found)
-    return cut_out(texts, spans, with_text)
+    texts = src.repartition(shuffle_partitions(spark), "doc_id", "n")
+    found = merge_groups(fetch(texts, judged.where(F.col("kind") != SPAN), length), length, step)
+    spans = judged.where(F.col("kind") == SPAN).select("doc_id", "start", "size").unionByName(found)
+    out = cut_out(texts, spans, with_text)
+    if shared:  # a row for each of equal rows
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copy")
+    return out.drop("copies")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
