@@ -16,6 +16,7 @@ store; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -199,15 +200,19 @@ def write(docs: DataFrame, tokenizer_path: str, ws: Workspace, end_id: int = END
     return ws.stage(ordered.mapInArrow(run, STORE), "store")
 
 
-def read(store: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the store alone."""
-    spark = store.sparkSession
+def ids_before(store: DataFrame) -> list[tuple[int, int]]:
+    """Each part with the number of ids in the parts before it."""
     sums = sorted((r[0], r[1]) for r in store.groupBy("part").agg(F.sum("n_ids")).collect())  # a row a part, not a document
     before, at = [], 0
     for part, n in sums:
         before.append((part, at))
         at += n
-    offsets = spark.createDataFrame(before, "part int, before bigint")
+    return before
+
+
+def read(store: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the store alone."""
+    offsets = store.sparkSession.createDataFrame(ids_before(store), "part int, before bigint")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -225,10 +230,16 @@ def read(store: DataFrame) -> DataFrame:
     return store.join(F.broadcast(offsets), "part").drop("segment", "part", "n_ids").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_at(store: DataFrame, part: int, position: int) -> int | None:
-    """The id at a position of a part: one segment is fetched, nothing in it is decoded but the id."""
-    rows = store.where((F.col("part") == part) & (F.col("base") <= position) & (F.col("base") + F.col("n_ids") > position)).select("base", "chunks", "bitmaps", "ranks").collect()
-    return Codes(rows[0].chunks, rows[0].bitmaps, rows[0].ranks).access(position - rows[0].base) if rows else None
+def token_at(store: DataFrame, position: int, before: list[tuple[int, int]] | None = None) -> int | None:
+    """The id at a position among all ids (None beyond them): one segment's row is fetched, and in it one chunk, bit and rank a
+    level are read. ``before`` is :func:`ids_before`, for many accesses."""
+    before = ids_before(store) if before is None else before
+    k = bisect.bisect_right([b for _, b in before], position) - 1
+    if position < 0 or k < 0:
+        return None
+    part, at = before[k][0], position - before[k][1]
+    rows = store.where((F.col("part") == part) & (F.col("base") <= at) & (F.col("base") + F.col("n_ids") > at)).select("base", "chunks", "bitmaps", "ranks").collect()
+    return Codes(rows[0].chunks, rows[0].bitmaps, rows[0].ranks).access(at - rows[0].base) if rows else None
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,8 +49,11 @@ def test_rows_and_edge_cases(spark):
         store = ts.write(df, PATH, Workspace(spark, "t"), segment_ids=most)
         got = sorted(map(tuple, ts.read(store).collect()), key=lambda r: r[1])
         assert got == oracle(rows)
-    part = store.orderBy("part", "segment").first()
-    assert ts.token_at(store, part.part, part.base) == ts.Codes(part.chunks, part.bitmaps, part.ranks).all()[0]
+    every = [i for r in store.orderBy("part", "segment").collect() for i in ts.Codes(r.chunks, r.bitmaps, r.ranks).all().tolist()]
+    before = ts.ids_before(store)
+    for at in (0, 1, 5, len(every) // 2, len(every) - 1):
+        assert ts.token_at(store, at, before) == every[at]
+    assert ts.token_at(store, len(every)) is None and ts.token_at(store, -1) is None
     assert ts.read(ts.write(spark.createDataFrame([], "doc_id bigint, text string"), PATH, Workspace(spark, "t"))).count() == 0
 
 
