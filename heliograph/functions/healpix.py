@@ -151,6 +151,21 @@ def pix2ang_stages(order: int, pix: str, ra: str, dec: str, p: str = "pa") -> li
     return [*unpack_stages(order, pix, p), *angle_stages(order, f"{p}_x + 0.5e0", f"{p}_y + 0.5e0", f"{p}_f", ra, dec, f"{p}a")]
 
 
+def ring_stages(order: int, pix: str, out: str, p: str = "ri") -> list[Stage]:
+    """The number in the ring scheme of a pixel in the nested scheme."""
+    ns = order2nside(order)
+    return [
+        *unpack_stages(order, pix, p),
+        {f"{p}_j": f"{pick(JR, f'{p}_f')} * {ns} - {p}_x - {p}_y - 1"},
+        {f"{p}_n": f"CASE WHEN {p}_j < {ns} THEN {p}_j WHEN {p}_j > {3 * ns} THEN {4 * ns} - {p}_j ELSE {big(ns)} END", f"{p}_s": f"CASE WHEN {p}_j < {ns} OR {p}_j > {3 * ns} THEN {big(0)} ELSE ({p}_j - {ns}) & {big(1)} END"},
+        {
+            f"{p}_b": f"CASE WHEN {p}_j < {ns} THEN 2 * {p}_n * ({p}_n - 1) WHEN {p}_j > {3 * ns} THEN {big(12 * ns * ns)} - 2 * {p}_n * ({p}_n + 1) ELSE {big(2 * ns * (ns - 1))} + ({p}_j - {ns}) * {4 * ns} END",
+            f"{p}_k": f"(({pick(JP, f'{p}_f')} * {p}_n + {p}_x - {p}_y + 1 + {p}_s) >> 1) - 1",
+        },
+        {out: f"{p}_b + ({p}_k + 4 * {p}_n) % (4 * {p}_n)"},
+    ]
+
+
 def neighbour_stages(order: int, x: str, y: str, f: str, p: str = "nb") -> list[Stage]:
     """``{p}0`` .. ``{p}7``: the neighbours SW, W, NW, N, NE, E, SE, S of a cell, -1 where there is none."""
     ns = order2nside(order)
@@ -211,6 +226,18 @@ def pix2xyf(order: int, pix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return compress(i), compress(i >> 1), pix >> 2 * order
 
 
+def nest2ring(order: int, pix) -> np.ndarray:
+    """Numbers in the ring scheme of pixels in the nested scheme."""
+    ns = order2nside(order)
+    x, y, f = pix2xyf(order, pix)
+    j = np.asarray(JR)[f] * ns - x - y - 1
+    cap, foot = j < ns, j > 3 * ns
+    n = np.where(cap, j, np.where(foot, 4 * ns - j, ns))
+    before = np.where(cap, 2 * n * (n - 1), np.where(foot, 12 * ns * ns - 2 * n * (n + 1), 2 * ns * (ns - 1) + (j - ns) * 4 * ns))
+    k = ((np.asarray(JP)[f] * n + x - y + 1 + np.where(cap | foot, 0, (j - ns) & 1)) >> 1) - 1
+    return before + k % (4 * n)
+
+
 def xyf2ang(order: int, x, y, f) -> tuple[np.ndarray, np.ndarray]:
     ns = order2nside(order)
     jr = np.asarray(JR)[f] * ns - x - y
@@ -269,6 +296,13 @@ def query_disc(order: int, ra: float, dec: float, radius: float, inclusive: bool
     return np.sort(pix)
 
 
+def pixels_around(order: int, pix: int, radius: float) -> np.ndarray:
+    """Other pixels that may touch the disc about a pixel's centre (a superset)."""
+    ra, dec = pix2ang(order, pix)
+    near = query_disc(order, float(ra), float(dec), radius, inclusive=True)
+    return near[near != pix]
+
+
 def is_polar(order: int, pix: int) -> tuple[bool, str]:
     """Does the pixel touch a pole, and which?"""
     x, y, f = (int(v) for v in pix2xyf(order, pix))

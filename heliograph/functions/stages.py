@@ -14,11 +14,19 @@ Stage = dict[str, str]
 
 
 def apply(df: DataFrame, stages: list[Stage], keep: list[str] | None = None) -> DataFrame:
-    """``df`` with the stages' columns; with ``keep`` only its own and these."""
+    """``df`` with the stages' columns; with ``keep`` only its own and these. Columns of ``df`` that are named like a stage's value are
+    set aside meanwhile; one that is named like a kept value is an error."""
     own = df.columns
+    made = {n.lower() for s in stages for n in s}
+    wanted = made if keep is None else {k.lower() for k in keep}
+    if same := [c for c in own if c.lower() in wanted]:
+        raise ValueError(f"the table already has {', '.join(same)}")
+    aside = {c: f"__aside_{k}" for k, c in enumerate(own) if c.lower() in made}
+    if aside:
+        df = df.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in own])
     for s in stages:
         df = df.select("*", *[F.expr(e).alias(n) for n, e in s.items()])
-    return df if keep is None else df.select(*[F.col(f"`{c}`") for c in own], *[F.col(k) for k in keep])
+    return df if keep is None else df.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in own], *[F.col(k) for k in keep])
 
 
 def as_sql(table: str, stages: list[Stage], keep: list[str] | None = None) -> str:

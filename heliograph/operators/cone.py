@@ -20,6 +20,8 @@ def checked_cone(ra, dec, radius) -> tuple[float, float, float]:
 def cone(df: DataFrame, ra: float, dec: float, radius: float, ra_col: str = "ra", dec_col: str = "dec") -> DataFrame:
     """Rows nearer than the radius, with _DIST. The declination band can be pushed to the scan."""
     ra, dec, radius = checked_cone(ra, dec, radius)
+    if any(c.upper() == "_DIST" for c in df.columns):
+        raise ValueError("the table already has _DIST")
     band = F.col(quoted(dec_col)).between(dec - radius, dec + radius)
     return df.where(band).withColumn("_DIST", gc_dist(quoted(ra_col), quoted(dec_col), ra, dec)).where(F.col("_DIST") < radius)
 

@@ -144,6 +144,29 @@ def healpix_parent(spark, sf_dir):
     return df.select("id", "pix", F.shiftright("pix", 2).alias("parent"), F.shiftright("pix", 20).alias("top"), F.shiftleft("pix", 2).alias("child"))
 
 
+def ring_sql(order: int) -> str:
+    """Pixels of the ring scheme straight from positions: rings and places in them, without faces."""
+    ns = 1 << order
+    return f"""SELECT id, CASE WHEN za <= 2e0 / 3e0 THEN {2 * ns * (ns - 1)} + (ir - 1) * {4 * ns} + (((jp + jm - {ns} + (1 - (ir & 1)) + 1) // 2) % {4 * ns} + {4 * ns}) % {4 * ns}
+      WHEN z > 0 THEN 2 * ring * (ring - 1) + least(CAST(floor(tt * ring) AS BIGINT), 4 * ring - 1)
+      ELSE {12 * ns * ns} - 2 * ring * (ring + 1) + least(CAST(floor(tt * ring) AS BIGINT), 4 * ring - 1) END AS ring{order}
+    FROM (SELECT *, {ns} + 1 + jp - jm AS ir, least({ns}, qp + qm + 1) AS ring FROM (SELECT *,
+      CAST(floor({ns} * (0.5e0 + tt) - {ns} * z * 0.75e0) AS BIGINT) AS jp, CAST(floor({ns} * (0.5e0 + tt) + {ns} * z * 0.75e0) AS BIGINT) AS jm,
+      CAST(floor((tt - floor(tt)) * cap) AS BIGINT) AS qp, CAST(floor((1e0 - (tt - floor(tt))) * cap) AS BIGINT) AS qm
+    FROM (SELECT id, sin(radians(dec)) AS z, abs(sin(radians(dec))) AS za, ((ra % 360e0) + 360e0) % 360e0 / 90e0 AS tt, {ns} * sqrt(6e0) * sin(radians(90e0 - abs(dec)) / 2e0) AS cap FROM ({OBJ}) AS s) AS a) AS b) AS c"""
+
+
+RINGS = (0, 4, 10)
+
+
+@query("healpix_ring", "SELECT * FROM " + " JOIN ".join(f"({ring_sql(o)}) AS r{o}" + (" USING (id)" if o else "") for o in RINGS))
+def healpix_ring(spark, sf_dir):
+    df = table(spark, sf_dir, OBJ).select("id", "ra", "dec")
+    for o in RINGS:
+        df = apply(pt.with_pixel(df, o, "ra", "dec", f"nest{o}"), hp.ring_stages(o, f"nest{o}", f"ring{o}"), [f"ring{o}"])
+    return df.select("id", *[f"ring{o}" for o in RINGS])
+
+
 @query("healpix_center", "SELECT id, pix, round(cra, 6) AS cra, round(cdec, 6) AS cdec FROM (" + as_sql(f"({OBJ})", [*hp.ang2pix_stages(7, "ra", "dec", "pix"), *hp.pix2ang_stages(7, "pix", "cra", "cdec")]) + ") AS c")
 def healpix_center(spark, sf_dir):
     df = apply(pt.with_pixel(table(spark, sf_dir, OBJ), 7, "ra", "dec"), hp.pix2ang_stages(7, "pix", "cra", "cdec"))

@@ -307,3 +307,17 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == n
+
+
+def test_columns_named_like_inner_values(spark, tmp_path):
+    rows = [(i, float(i), float(i), 7.0 * i, "z") for i in range(40)]
+    df = spark.createDataFrame(rows, "source_id bigint, ra double, dec double, hp_z double, __z string")
+    make = lambda name: CatalogBuilder(spark, name, source=df, order_k=3, threshold=30, margin=None, location=str(tmp_path), allow_overflow=True).build()
+    one, two_ = make("one"), make("two")
+    assert {(r.source_id, r.hp_z, r["__z"]) for r in one.load().collect()} == {(i, 7.0 * i, "z") for i in range(40)}
+    got = one.cross_match(two_, None, None, 1, 0.5).collect()
+    assert len(got) == 40 and all(r["one.hp_z"] == r["two.hp_z"] for r in got)
+    with pytest.raises(ValueError, match="_DIST"):
+        from heliograph.operators.cone import cone
+
+        cone(df.withColumnRenamed("hp_z", "_dist"), 1.0, 1.0, 1.0)

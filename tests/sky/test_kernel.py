@@ -85,3 +85,21 @@ def test_stages_equal_numpy(spark):
         assert np.allclose(got.a, a) and np.allclose(got.d, d)
         assert (got[[f"n{k}" for k in range(8)]].to_numpy() == hp.neighbours(order, pix)).all()
     assert math.isclose(hp.pixel_area(0) * 12, 41252.96, rel_tol=1e-5)
+
+
+def test_ring_scheme():
+    for order in (0, 1, 2, 4):
+        pix = np.arange(hp.order2npix(order))
+        ring = hp.nest2ring(order, pix)
+        assert sorted(ring.tolist()) == pix.tolist()
+        by = np.argsort(ring)
+        ra, dec = hp.pix2ang(order, by)
+        assert (np.diff(dec) < 1e-9).all()  # from north to south
+        same = np.abs(np.diff(dec)) < 1e-9
+        assert (np.diff(ra)[same] > 0).all()  # eastward in each ring
+
+
+def test_pixels_around():
+    for pix in (0, 5, 63, 300):
+        around = set(hp.pixels_around(3, pix, 10.0).tolist())
+        assert set(hp.neighbours(3, pix).ravel().tolist()) - {-1} <= around and pix not in around
