@@ -1,8 +1,8 @@
 """k nearest neighbours within a distance, as an equi-join on cells of declination zones.
 
 The sky is cut into zones at least as high as the distance, and each zone into bins of right ascension that are at least as wide
-as two points so near can be apart there. Rows of one side have one cell, rows of the other are copied to their cell
-and those around it, so every pair in reach meets in exactly one cell. Ranks are by great-circle distance, ties by the second
+as two points so near can be apart there. Rows of one side have one cell, rows of the other are copied to the
+cells that their circle of reach can touch, so every pair in reach meets in exactly one cell. Ranks are by great-circle distance, ties by the second
 side's id. Works for any distance; a few cells then hold all rows, as nearly all pairs match.
 """
 
@@ -52,6 +52,26 @@ def with_cell(df: DataFrame, height: float, ra: str, dec: str, cell: str = "__ce
     return apply(df, stages, [cell])
 
 
+def with_cells_in_reach(df: DataFrame, height: float, distance: float, ra: str, dec: str, cell: str = "__cell") -> DataFrame:
+    """Each row once for each cell that may hold rows within the distance. Cells are higher and wider than twice the distance, so most
+    rows have one, and those near a border two or four."""
+    own = [F.col(quoted(c)) for c in df.columns]
+    d = F.lit(float(distance) * 1.000001 + 1e-9)
+    last = F.lit(n_zones(height) - 1).cast("bigint")
+    zone = lambda dec_: F.least(last, F.floor((dec_ + 90.0) / F.lit(height)).cast("bigint"))
+    low, high = zone(F.greatest(F.lit(-90.0), F.col(quoted(dec)) - d)), zone(F.least(F.lit(90.0), F.col(quoted(dec)) + d))
+    rows = df.select(*own, F.explode(F.sequence(low, high)).alias("__z"))
+    rows = apply(rows, bin_stages(height, "__z", quoted(ra), "__z"), ["__zn", "__zb"])
+    # the widest that a point in reach can be apart in right ascension: at the farthest declination that both can have
+    far = F.abs(F.col(quoted(dec))) + d
+    reach = F.when(far >= 89.999, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(d)) / F.cos(F.radians(F.col(quoted(dec))))))) * 1.000001 + 1e-9)
+    turn = F.pmod(F.col(quoted(ra)), F.lit(360.0))
+    place = lambda a: F.floor(a / 360.0 * F.col("__zn")).cast("bigint")
+    first, stop = place(turn - reach), place(turn + reach)
+    bins = F.when((F.col("__zn") == 1) | (stop - first + 1 >= F.col("__zn")), F.sequence(F.lit(0).cast("bigint"), F.col("__zn") - 1)).otherwise(F.transform(F.sequence(first, stop), lambda b: F.pmod(b, F.col("__zn"))))
+    return rows.select(*own, "__z", F.explode(bins).alias("__k")).select(*own, (F.col("__z") * BINS + F.col("__k")).alias(cell))
+
+
 def with_cells_around(df: DataFrame, height: float, ra: str, dec: str, cell: str = "__cell") -> DataFrame:
     """Each row once for each cell that may hold rows in reach."""
     own = [F.col(quoted(c)) for c in df.columns]
@@ -63,14 +83,25 @@ def with_cells_around(df: DataFrame, height: float, ra: str, dec: str, cell: str
     return rows.select(*own, "__z", F.explode(bins).alias("__k")).select(*own, (F.col("__z") * BINS + F.col("__k")).alias(cell))
 
 
-def cross_match(one: DataFrame, two: DataFrame, n: int, distance: float, key: str, other_key: str, pair_condition=None, coords=(("ra1", "dec1"), ("ra2", "dec2"))) -> DataFrame:
+#: Heights of a cell in distances: higher ones copy fewer rows and compare more pairs.
+CELL = 4.0
+#: Degrees that a cell is high at most, if the distance is not larger.
+MOST_HEIGHT = 1.0
+
+
+def cross_match(one: DataFrame, two: DataFrame, n: int, distance: float, key: str, other_key: str, pair_condition=None, coords=(("ra1", "dec1"), ("ra2", "dec2")), same=()) -> DataFrame:
     """For each row of ``one`` its ``n`` nearest of ``two`` nearer than ``distance``, with _DIST. ``key`` is unique in
-    ``one``; ``other_key`` settles ties. Column names of the sides must differ."""
+    ``one``; ``other_key`` settles ties. Column names of the sides must differ. ``same`` names pairs of columns that
+    must be equal, too."""
     if n < 1:
         raise ValueError("n_neighbors must be 1 or more")
     (ra1, dec1), (ra2, dec2) = coords
-    height = zone_height(distance)
-    pairs = with_cell(one, height, ra1, dec1).join(with_cells_around(two, height, ra2, dec2), "__cell").drop("__cell")
+    height = zone_height(max(min(CELL * distance, MOST_HEIGHT), distance))
+    left = with_cell(one, height, ra1, dec1).withColumnRenamed("__cell", "__cell1")
+    on = F.col("__cell1") == F.col("__cell")
+    for a, b in same:
+        on = on & (F.col(a) == F.col(b))
+    pairs = left.join(with_cells_in_reach(two, height, distance, ra2, dec2), on).drop("__cell", "__cell1")
     pairs = pairs.withColumn("_DIST", gc_dist(quoted(ra1), quoted(dec1), quoted(ra2), quoted(dec2))).where(F.col("_DIST") < distance)
     if pair_condition is not None:
         pairs = pairs.where(pair_condition)

@@ -78,9 +78,10 @@ def assigned(df: DataFrame, cells: DataFrame, n_cells: int, order: int, ra: str,
     return found.withColumn("Npix", F.col("Npix").cast("int")).withColumn("Dir", (F.floor(F.col("Npix") / 10000) * 10000).cast("int"))
 
 
-def in_partitions(df: DataFrame, parts: DataFrame, n_parts: int, orders: list[int], order: int, ra: str, dec: str) -> DataFrame:
+def in_partitions(df: DataFrame, parts: DataFrame, n_parts: int, orders: list[int], order: int, ra: str, dec: str, keep_all: bool = False) -> DataFrame:
     """Rows with the Norder, Npix and Dir of their partition. Partitions do not overlap, so a row's ancestors are looked up in the
-    map, one order after the other; the rows stay where they are while the map can be broadcast."""
+    map, one order after the other; the rows stay where they are while the map can be broadcast. Rows in none are left out, or
+    with ``keep_all`` have nulls."""
     rows = with_pixel(df, order, ra, dec, "__pix")
     found = []
     for o in orders:
@@ -89,7 +90,8 @@ def in_partitions(df: DataFrame, parts: DataFrame, n_parts: int, orders: list[in
         found.append(f"__npix{o}")
     where = F.coalesce(*[F.when(F.col(c).isNotNull(), o) for c, o in zip(found, orders)]) if orders else F.lit(None)
     pix = F.coalesce(*[F.col(c) for c in found]) if orders else F.lit(None)
-    rows = rows.withColumns({"Norder": where.cast("int"), "Npix": pix.cast("int")}).where("Norder IS NOT NULL")
+    rows = rows.withColumns({"Norder": where.cast("int"), "Npix": pix.cast("int")})
+    rows = rows if keep_all else rows.where("Norder IS NOT NULL")
     return rows.drop("__pix", *found).withColumn("Dir", (F.floor(F.col("Npix") / 10000) * 10000).cast("int"))
 
 

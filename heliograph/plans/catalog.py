@@ -96,26 +96,44 @@ class Catalog:
         rows = self.tree().where(cn.partition_filter(parts)).select(*[quoted(c) for c in self._columns(columns)])
         return cn.cone(rows, ra, dec, radius, self.ra, self.dec)
 
-    def cross_match(self, other: Catalog, c1_cols: list[str] | None = None, c2_cols: list[str] | None = None, n_neighbors: int = 1, dthresh: float = 0.01, evaluate_margins: bool = True, delim: str = ".") -> DataFrame:
+    def cross_match(self, other: Catalog, c1_cols: list[str] | None = None, c2_cols: list[str] | None = None, n_neighbors: int = 1, dthresh: float = 0.01, evaluate_margins: bool | str = True, delim: str = ".") -> DataFrame:
         """For each row its nearest rows of the other catalogue, with both sides' columns by catalogue, hips_k, hips_pix
-        and _DIST. Without margins only pairs count whose partitions contain one another."""
+        and _DIST. Without margins only pairs count whose partitions contain one another. With ``evaluate_margins="tree"`` each row
+        is matched within the other catalogue's partition that it lies in, whose margin rows stand in for the partitions around it."""
         if not isinstance(other, Catalog):
             raise TypeError("the other catalogue is no Catalog")
         if other.name == self.name:
             raise ValueError("the catalogues need different names")
 
-        def side(cat: Catalog, cols: list[str] | None, k: int) -> tuple[DataFrame, list[str]]:
+        by_tree = evaluate_margins == "tree"
+        if by_tree and not (other.meta["margin"] and other.meta["margin"] >= dthresh):
+            raise ValueError("the other catalogue has no margin as wide as the distance")
+
+        def side(cat: Catalog, cols: list[str] | None, k: int, which: str = "catalog") -> tuple[DataFrame, list[str]]:
             names = cat._columns(cols)
             own = [F.col(quoted(c)).alias(f"{cat.name}{delim}{c}") for c in names]
             extra = [F.col(quoted(cat.ra)).cast("double").alias(f"__ra{k}"), F.col(quoted(cat.dec)).cast("double").alias(f"__dec{k}"), F.col(quoted(cat.id)).alias(f"__id{k}"), F.col("_ID").alias(f"__key{k}"), F.col("Norder").alias(f"__o{k}"), F.col("Npix").cast("bigint").alias(f"__x{k}")]
-            return cat.tree().select(*own, *extra), [f"{cat.name}{delim}{c}" for c in names]
+            return cat.tree(which).select(*own, *extra), [f"{cat.name}{delim}{c}" for c in names]
 
         one, names1 = side(self, c1_cols, 1)
         two, names2 = side(other, c2_cols, 2)
         if len(names1) + len(names2) > MANY:
             warnings.warn(f"the result has {len(names1) + len(names2)} columns; name those you need", stacklevel=2)
         inside = F.expr("shiftright(__x1, 2 * greatest(0, __o1 - __o2)) = shiftright(__x2, 2 * greatest(0, __o2 - __o1))")
-        found = xm.cross_match(one, two, n_neighbors, dthresh, "__key1", "__id2", None if evaluate_margins else inside, (("__ra1", "__dec1"), ("__ra2", "__dec2")))
+        coords = (("__ra1", "__dec1"), ("__ra2", "__dec2"))
+        if by_tree:
+            parts, orders, deepest = other.partitions(), sorted(other.hips), max(other.hips, default=0)
+            placed = pt.in_partitions(one, parts, sum(map(len, other.hips.values())), orders, deepest, "__ra1", "__dec1", keep_all=True)
+            placed = placed.withColumnsRenamed({"Norder": "__p_order", "Npix": "__p_pix"}).drop("Dir")
+            margin, _ = side(other, c2_cols, 2, "neighbor")
+            local = two.unionByName(margin).withColumns({"__q_order": F.col("__o2"), "__q_pix": F.col("__x2").cast("int")})
+            found = xm.cross_match(placed.where("__p_order IS NOT NULL"), local, n_neighbors, dthresh, "__key1", "__id2", coords=coords, same=(("__p_order", "__q_order"), ("__p_pix", "__q_pix")))
+            # rows in none of its partitions are matched with all of it
+            names = [*one.columns, *two.columns, "_DIST"]
+            rest = xm.cross_match(placed.where("__p_order IS NULL"), two, n_neighbors, dthresh, "__key1", "__id2", coords=coords)
+            found = found.select(*[quoted(c) for c in names]).unionByName(rest.select(*[quoted(c) for c in names]))
+        else:
+            found = xm.cross_match(one, two, n_neighbors, dthresh, "__key1", "__id2", None if evaluate_margins else inside, coords)
         finer = F.col("__o2") > F.col("__o1")
         return found.select(*[quoted(c) for c in [*names1, *names2]], F.when(finer, F.col("__o2")).otherwise(F.col("__o1")).alias("hips_k"), F.when(finer, F.col("__x2")).otherwise(F.col("__x1")).alias("hips_pix"), "_DIST")
 

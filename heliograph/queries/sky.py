@@ -199,10 +199,27 @@ query("unit_vectors", f"SELECT id, round(cos(radians(dec)) * cos(radians(ra)), 6
 
 # ---- densities and partitions ----
 
+
+
+def density_sql(source: str, order: int) -> str:
+    return f"SELECT pix, count(*) AS n FROM ({as_sql(f'({source})', hp.ang2pix_stages(order, 'ra', 'dec', 'pix'), ['id', 'ra', 'dec', 'pix'])}) AS p GROUP BY pix"
+
+
+def map_sql(source: str, order: int, threshold: int) -> str:
+    """Pixels below the threshold whose parent is not; pixels of the deepest order are kept however full they are."""
+    up = f"SELECT o, pix >> CAST(2 * ({order} - o) AS BIGINT) AS q, CAST(sum(n) AS BIGINT) AS n FROM ({density_sql(source, order)}) AS d, (SELECT unnest(range(0, {order + 1})) AS o) AS orders GROUP BY 1, 2"
+    return f"SELECT CAST(a.o AS INTEGER) AS Norder, a.q AS Npix, a.n FROM ({up}) AS a LEFT JOIN ({up}) AS b ON b.o = a.o - 1 AND b.q = a.q >> 2 WHERE (a.n < {threshold} OR a.o = {order}) AND (a.o = 0 OR b.n >= {threshold})"
+
+
+def assign_sql(source: str, order: int, threshold: int) -> str:
+    """Rows with their partition's Norder and Npix."""
+    pixels = as_sql(f"({source})", hp.ang2pix_stages(order, "ra", "dec", "pix"))
+    return f"SELECT p.*, m.Norder, m.Npix FROM ({pixels}) AS p JOIN ({map_sql(source, order, threshold)}) AS m ON p.pix >> CAST(2 * ({order} - m.Norder) AS BIGINT) = m.Npix"
+
+
 PIXELS = as_sql(f"({SKEW})", hp.ang2pix_stages(ORDER_K, "ra", "dec", "pix"), ["id", "ra", "dec", "pix"])
-DENSITY = f"SELECT pix, count(*) AS n FROM ({PIXELS}) AS p GROUP BY pix"
-UP = f"SELECT o, pix >> CAST(2 * ({ORDER_K} - o) AS BIGINT) AS q, CAST(sum(n) AS BIGINT) AS n FROM ({DENSITY}) AS d, (SELECT unnest(range(0, {ORDER_K + 1})) AS o) AS orders GROUP BY 1, 2"
-MAP = f"SELECT CAST(a.o AS INTEGER) AS Norder, a.q AS Npix, a.n FROM ({UP}) AS a LEFT JOIN ({UP}) AS b ON b.o = a.o - 1 AND b.q = a.q >> 2 WHERE a.n < {THRESHOLD} AND (a.o = 0 OR b.n >= {THRESHOLD})"
+DENSITY = density_sql(SKEW, ORDER_K)
+MAP = map_sql(SKEW, ORDER_K, THRESHOLD)
 
 
 def density_of(spark, sf_dir) -> DataFrame:
@@ -233,7 +250,7 @@ def spatial_index_rank(spark, sf_dir):
     return pt.with_spatial_id(table(spark, sf_dir, DET), "ra", "dec", "id").select("id", "_ID")
 
 
-OTHER = MAP.replace(str(THRESHOLD), str(3 * THRESHOLD))
+OTHER = map_sql(SKEW, ORDER_K, 3 * THRESHOLD)
 
 
 @query("partition_pairs", f"SELECT a.Norder AS o1, a.Npix AS p1, b.Norder AS o2, b.Npix AS p2, greatest(a.Norder, b.Norder) AS hips_k, CASE WHEN b.Norder > a.Norder THEN b.Npix ELSE a.Npix END AS hips_pix FROM ({MAP}) AS a JOIN ({OTHER}) AS b ON a.Npix << CAST(2 * (20 - a.Norder) AS BIGINT) < (b.Npix + 1) << CAST(2 * (20 - b.Norder) AS BIGINT) AND b.Npix << CAST(2 * (20 - b.Norder) AS BIGINT) < (a.Npix + 1) << CAST(2 * (20 - a.Norder) AS BIGINT)")
@@ -246,17 +263,28 @@ query("partition_cover", f"SELECT (Npix << CAST(2 * ({COVER_ORDER} - Norder) AS
 query("cone_cover", "SELECT pix, n, {} <= 30e0 AS in_cone FROM ({}) AS c".format(gc_dist_sql("cra", "cdec", 56.0, 20.0), as_sql(f"({DENSITY})", hp.pix2ang_stages(ORDER_K, "pix", "cra", "cdec"))))(lambda s, d: cv.cone_cover(density_of(s, d), ORDER_K, 56.0, 20.0, 30.0))
 
 
-@query("disc_pixels")
+def all_pixels(order: int) -> str:
+    return f"(SELECT unnest(range(0, {hp.order2npix(order)})) AS pix)"
+
+
+@query("disc_pixels", "SELECT pix FROM ({}) AS c WHERE {} <= 10e0".format(as_sql(all_pixels(5), hp.pix2ang_stages(5, "pix", "cra", "cdec")), gc_dist_sql("cra", "cdec", 56.0, 20.0)))
 def disc_pixels(spark, sf_dir):
-    return spark.createDataFrame([(int(p), bool(i)) for i in (False, True) for p in hp.query_disc(5, 56.0, 20.0, 10.0, i)], "pix bigint, inclusive boolean")
+    return spark.createDataFrame([(int(p),) for p in hp.query_disc(5, 56.0, 20.0, 10.0)], "pix bigint")
 
 
-@query("margin_pixels")
+RIMS = (0, 5, 63, 300)
+
+
+# from the other side: pixels outside that have a neighbour inside
+@query("margin_pixels", "SELECT 3 AS healpix_order, p.pix, t.pix AS margin_pix FROM ({}) AS t JOIN (SELECT unnest([{}]) AS pix) AS p ON t.pix >> 4 <> p.pix AND ({})".format(as_sql(all_pixels(5), [*hp.unpack_stages(5, "pix"), *hp.neighbour_stages(5, "up_x", "up_y", "up_f")]), ", ".join(map(str, RIMS)), " OR ".join(f"(t.nb{k} >= 0 AND t.nb{k} >> 4 = p.pix)" for k in range(8))))
 def margin_pixels(spark, sf_dir):
-    return spark.createDataFrame([(3, p, int(m)) for p in (0, 5, 63, 300) for m in hp.margin_pixels(3, p, 2)], "healpix_order int, pix int, margin_pix bigint")
+    return spark.createDataFrame([(3, p, int(m)) for p in RIMS for m in hp.margin_pixels(3, p, 2)], "healpix_order int, pix int, margin_pix bigint")
+
 
+EDGE_SQL = " UNION ALL ".join(f"SELECT {e} AS edge, 128 + i AS pix FROM cells WHERE {' AND '.join(f'{v} = {3 * at}' for v, at in zip('xy', ends) if at is not None)}" for e, ends in enumerate(hp.EDGES))
 
-@query("edge_pixels")
+
+@query("edge_pixels", f"WITH cells AS (SELECT i, (i & 1) + 2 * ((i >> 2) & 1) AS x, ((i >> 1) & 1) + 2 * ((i >> 3) & 1) AS y FROM (SELECT unnest(range(0, 16)) AS i) AS t) {EDGE_SQL}")
 def edge_pixels(spark, sf_dir):
     return spark.createDataFrame([(e, int(p)) for e in range(8) for p in hp.edge_pixels(2, 8, e)], "edge int, pix bigint")
 
@@ -350,10 +378,27 @@ def xmatch_prefixed_cols(spark, sf_dir):
     return rounded(one.cross_match(two, ["mag"], ["flux"], 2, 0.1, delim="_").drop("hips_k", "hips_pix"), "_DIST")
 
 
-@query("xmatch_no_margin")
+def partitioned_match_sql(distance: float, order: int = 5, threshold: int = 2000) -> str:
+    d = gc_dist_sql("a.ra", "a.dec", "b.ra", "b.dec")
+    near = f"b.dec BETWEEN a.dec - {distance!r} AND a.dec + {distance!r} AND a.Npix >> CAST(2 * greatest(0, a.Norder - b.Norder) AS BIGINT) = b.Npix >> CAST(2 * greatest(0, b.Norder - a.Norder) AS BIGINT)"
+    cols = "a.mag AS obj_mag, a.ra AS obj_ra, a.dec AS obj_dec, a.id AS obj_id, b.flux AS det_flux, b.ra AS det_ra, b.dec AS det_dec, b.id AS det_id, greatest(a.Norder, b.Norder) AS hips_k, CASE WHEN b.Norder > a.Norder THEN b.Npix ELSE a.Npix END AS hips_pix"
+    pairs = f"SELECT {cols}, {d} AS d FROM ({assign_sql(OBJ, order, threshold)}) AS a JOIN ({assign_sql(DET, order, threshold)}) AS b ON {near}"
+    return f"SELECT obj_mag, obj_ra, obj_dec, obj_id, det_flux, det_ra, det_dec, det_id, hips_k, hips_pix, round(d, 6) AS _DIST FROM (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY d, det_id) AS r FROM ({pairs}) AS p WHERE d < {distance!r}) AS q WHERE r = 1"
+
+
+@query("xmatch_no_margin", partitioned_match_sql(0.1))
 def xmatch_no_margin(spark, sf_dir):
     one, two = catalog_pair(spark, sf_dir)
-    return one.cross_match(two, ["mag"], ["flux"], 1, 0.1, evaluate_margins=False, delim="_")
+    return rounded(one.cross_match(two, ["mag"], ["flux"], 1, 0.1, evaluate_margins=False, delim="_"), "_DIST")
+
+
+@query("xmatch_margin_tree", "SELECT m.id1 AS obj_id, m.id2 AS det_id, m._DIST FROM ({}) AS m".format(match_sql(2, 0.1)))
+def xmatch_margin_tree(spark, sf_dir):
+    """Partition by partition, with the other catalogue's margin rows in place of its neighbouring partitions."""
+    where = shared_dir(spark)
+    one = built(spark, table(spark, sf_dir, OBJ), "obj", where, 5, 2000)
+    two = built(spark, table(spark, sf_dir, DET), "det", where, 5, 2000, 0.2)
+    return rounded(one.cross_match(two, ["id"], ["id"], 2, 0.1, evaluate_margins="tree", delim="_").select("obj_id", "det_id", "_DIST"), "_DIST")
 
 
 @query("margin_rows")

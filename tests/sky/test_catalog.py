@@ -120,6 +120,27 @@ def test_cross_match_without_margins(two):
         assert r.hips_k == finer[0]
 
 
+@pytest.mark.parametrize("n,limit", [(1, 0.5), (3, 1.0)])
+def test_cross_match_by_margin_tree(two, n, limit):
+    cats, rows = two
+    got = cats["one"].cross_match(cats["two"], ["mag"], ["mag"], n, limit, evaluate_margins="tree")
+    assert {(r["one.source_id"], r["two.source_id"]) for r in got.collect()} == nearest(rows["one"], rows["two"], n, limit)
+    with pytest.raises(ValueError, match="margin"):
+        cats["one"].cross_match(cats["two"], n_neighbors=1, dthresh=1.5, evaluate_margins="tree")
+
+
+def test_cells_in_reach_hold_every_near_row(spark):
+    """Rows near borders of cells, at poles and at the seam; few copies elsewhere."""
+    rows = [(i, a, d) for i, (a, d) in enumerate((a, d) for a in (0.0, 0.01, 359.99, 12.3, 90.0, 179.999, 270.4) for d in (-90.0, -89.95, -60.0, -0.01, 0.0, 0.31, 45.0, 89.8, 90.0))]
+    df = spark.createDataFrame(rows, "id bigint, ra double, dec double")
+    other = df.toDF("id2", "ra2", "dec2")
+    got = xm.cross_match(df, other.selectExpr("id2", "pmod(ra2 + 0.02, 360) AS ra2", "greatest(-90, least(90, dec2 - 0.03)) AS dec2"), 99, 0.1, "id", "id2", coords=(("ra", "dec"), ("ra2", "dec2")))
+    want = {(i, j) for i, a, d in rows for j, x, y in rows if dist((a, d), ((x + 0.02) % 360, max(-90, min(90, y - 0.03)))) < 0.1}
+    assert {(r.id, r.id2) for r in got.collect()} == want
+    many = spark.range(20000).selectExpr("id AS id2", "pmod(id * 0.5698402909980532D, 1D) * 360 AS ra2", "degrees(asin(2 * pmod(id * 0.7548776662466927D, 1D) - 1)) AS dec2")
+    assert xm.with_cells_in_reach(many, xm.zone_height(0.4), 0.1, "ra2", "dec2").count() < 2.6 * 20000
+
+
 def test_cross_match_arguments(two, spark):
     one = two[0]["one"]
     with pytest.raises(TypeError):
