@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ def shared_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not conf.get("spark.master", "").startswith("local["):
+        if not re.match(r"local($|\[)", conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("heliograph.shared.dir", None)
         if not root:
@@ -70,11 +71,15 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 class Workspace:
-    """Tables that a job writes to the shared folder to cut its lineage; each one survives a lost executor."""
+    """Tables that a job writes to the shared folder to cut its lineage; each one survives a lost executor. Results are lazy and read
+    them, so the folder goes when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        fs, p = _file(spark, self.path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as written and read again."""
