@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ from heliograph.operators import crossmatch as xm
 from heliograph.operators import partitioning as pt
 from heliograph.plans.builder import CatalogBuilder
 from heliograph.plans.catalog import Catalog
-from heliograph.sources import readers
+from heliograph.sources import readers, storage
 
 C1, C2 = "CAST('0.5698402909980532' AS DOUBLE)", "CAST('0.7548776662466927' AS DOUBLE)"
 
@@ -330,10 +331,14 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not conf.get("spark.master", "").startswith("local["):
+        if not re.match(r"local($|\[)", conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/sky-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/sky-{uuid.uuid4().hex}"
+    fs, p = storage.file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)  # results are lazy and read it
+    return path
 
 
 def built(spark: SparkSession, df: DataFrame, name: str, where: str, order: int = ORDER_K, threshold: int = 5000, margin: float | None = None) -> Catalog:
