@@ -1,17 +1,16 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
 from heliograph.llm.bpe import op10_bpe
-from heliograph.llm import decontam, preference
+from heliograph.llm import decontam, preference, suffix_dedup
 from heliograph.llm.language import op5_language
 from heliograph.llm.pii import op3_pii
 from heliograph.llm.quality import op7_quality
 from heliograph.llm.simhash import op4_simhash
-from heliograph.llm.suffix_dedup import op1_suffix_dedup
 from heliograph.llm.token_rollup import op6_token_rollup
 from heliograph.llm.token_store import op9_token_store
 
 QUERIES = {
-    "op1_suffix_dedup": op1_suffix_dedup,
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_preference": preference.op2_preference,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
@@ -23,6 +22,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op2_preference": preference.ORACLE_SQL,
     "op8_decontam": decontam.ORACLE_SQL,
 }

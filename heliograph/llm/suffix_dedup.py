@@ -590,3 +590,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir))
+
+
+#: Documents are cut into pieces first, as finding a place in a long string takes long. Unique doc_ids are presumed.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, c, substr(h, 2 * c + 1, 598) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 200)) AS c FROM d WHERE length(h) >= 200)),
+w AS (SELECT doc_id, c + i AS i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, c, h, unnest(range(0, least(200, length(h) // 2 - 99))) AS i FROM part)),
+firsts AS (SELECT s, min(struct_pack(d := doc_id, i := i)) AS f FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN firsts ON w.s = firsts.s WHERE struct_pack(d := w.doc_id, i := w.i) > f),
+island AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM island GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM span),
+left_ AS (SELECT d.doc_id, sum(b - a) AS gone, count(*) AS n, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM gap JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN left_ USING (doc_id)
+"""

@@ -6,6 +6,7 @@ import pytest
 
 from heliograph.llm import suffix_dedup as sd
 from heliograph.llm.common import Workspace
+from tests.llm.helpers import same_rows
 
 DOC = "doc_id bigint, text string"
 
@@ -132,3 +133,8 @@ def test_windows_of_wide_groups_are_sent_once_a_task(spark):
     assert found.where("kind = 1").groupBy("pkey").count().agg({"count": "max"}).first()[0] < sd.CROWD
     assert sorted(map(tuple, sd.dedup(docs.coalesce(1)).collect()), key=repr) == brute(rows)
     assert sorted(map(tuple, sd.dedup(docs.repartition(3)).collect()), key=repr) == brute(rows)
+
+
+def test_oracle(spark):
+    sf = "/root/testdata/sf0.01"
+    assert same_rows(sd.op1_suffix_dedup(spark, sf), sd.ORACLE_SQL, sf) == 1000
