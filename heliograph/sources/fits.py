@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -93,8 +94,14 @@ def arrow_column(col: tuple, raw: np.ndarray) -> pa.Array:
 def read_fits(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows of the files' first binary tables; the files have the same columns."""
     files = spark.read.format("binaryFile").load(paths)
-    first = files.select("content").limit(1).collect()[0].content
-    cols = table(bytes(first))[0]
+
+    def layout(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(table(x.as_py())[0]) for x in batch.column("content")])], names=["columns"])
+
+    # a file's header is read where the file is; only the columns' layout reaches the driver
+    first = files.select("content").limit(1).mapInArrow(layout, "columns string").first()
+    cols = [tuple(c) for c in json.loads(first["columns"])]
     schema = ", ".join(f"`{c[0]}` {sql_type(c)}" for c in cols)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
