@@ -212,9 +212,9 @@ class ByteBPE:
     def pieces(self, text: str) -> list[str]:
         return self.words.findall(text)
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        parts: list[list[tuple[int, list[str]]]] = []  # (special id or -1, words) in order
+    def cut(self, texts: list[str]) -> list[list[tuple[int, list[str]]]]:
+        """Each text's parts, (special id or -1, words) in order; all words are in the cache then."""
+        parts: list[list[tuple[int, list[str]]]] = []
         new: set[str] = set()
         for t in texts:
             own = []
@@ -230,8 +230,17 @@ class ByteBPE:
         new.difference_update(self.cache)
         if new:
             self.learn(new)
+        return parts
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        get = self.cache.__getitem__
+        return [list(chain.from_iterable([i] if i >= 0 else chain.from_iterable(map(get, w)) for i, w in own)) for own in self.cut(texts)]
+
+    def count_many(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
         get = self.cache.__getitem__
-        return [list(chain.from_iterable([i] if i >= 0 else chain.from_iterable(map(get, w)) for i, w in own)) for own in parts]
+        return [sum(1 if i >= 0 else sum(map(len, map(get, w))) for i, w in own) for own in self.cut(texts)]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")

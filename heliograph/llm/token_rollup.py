@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ from heliograph.llm.common import Workspace, documents, only, read_text, strings
 KEYS = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens")
 CHANGES = ("kind", "doc_id", *KEYS, "n_tokens", "old_tokens")
+#: Texts whose counts a task remembers.
+KNOWN_TEXTS = 100_000
 DELTA = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint"
 
 
@@ -168,7 +171,6 @@ def digest(rows: DataFrame) -> str:
 def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     """doc_id, source, lang, a hash of the text, and the number of tokens by each tokenizer (a file by its version's name)."""
     from heliograph.llm.bpe import batches_of
-    from heliograph.llm.token_store import WordIds
 
     specs = {}
     for name, path in tokenizers.items():
@@ -178,13 +180,19 @@ def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = {k: counter(v) for k, v in shared.value.items()}
+        known: dict[str | None, tuple[int, ...]] = {}  # counts of the task's latest texts, of which copies are not encoded again
         for batch in it:
-            n: dict[str, list[int]] = {k: [] for k in made}
-            for texts in batches_of(strings(batch, "text").to_pylist()):
-                for k, c in made.items():
-                    n[k] += [x - 1 for x in c.encode([t.encode() for t in texts], 0)[1].tolist()] if isinstance(c, WordIds) else map(len, c.encode_many(texts))
+            texts, keys = strings(batch, "text").to_pylist(), batch.column("text_key").to_pylist()
+            if len(known) > KNOWN_TEXTS:
+                known.clear()
+            new = {k: t for k, t in zip(keys, texts) if k not in known}
+            names = iter(new)
+            for some in batches_of(list(new.values())):
+                counts = zip(*[c.count_many(some) for c in made.values()])
+                known.update(zip(islice(names, len(some)), counts))
+            n = zip(*map(known.__getitem__, keys))
             keep = [batch.column(c) for c in ("doc_id", "source", "lang", "text_key")]
-            yield pa.RecordBatch.from_arrays([*keep, *[pa.array(x, pa.int64()) for x in n.values()]], names=["doc_id", "source", "lang", "text_key", *n])
+            yield pa.RecordBatch.from_arrays([*keep, *[pa.array(x, pa.int64()) for x in (n if keys else [[]] * len(made))]], names=["doc_id", "source", "lang", "text_key", *made])
 
     src = only(docs, "doc_id", "source", "lang", "text")
     src = src.select(src["doc_id"].cast("bigint").alias("doc_id"), src["source"].cast("string").alias("source"), src["lang"].cast("string").alias("lang"), "text", F.sha2("text", 256).alias("text_key"))

@@ -134,8 +134,8 @@ class WordIds:
         self.pool[self.n : self.n + total] = np.fromiter(chain.from_iterable(ids), np.int64, total)
         self.n += total
 
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts, each with the end id, and the texts' lengths in ids."""
+    def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The known pieces of all texts in turn, their lengths in ids, and the texts' lengths in ids."""
         if len(self.at) > CACHE_WORDS:
             self.reset()
         split = [self.pieces(t.decode()) for t in texts]
@@ -144,15 +144,23 @@ class WordIds:
         n_pieces = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(n_pieces.sum()))
         lens = self.lens[which]
-        ends = np.cumsum(n_pieces)
         upto = np.concatenate([[0], np.cumsum(lens)])
-        per_text = np.diff(np.concatenate([[0], upto[ends]])) + 1
+        return which, lens, np.diff(np.concatenate([[0], upto[np.cumsum(n_pieces)]]))
+
+    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, each with the end id, and the texts' lengths in ids."""
+        which, lens, per_text = self.cut(texts)
+        per_text = per_text + 1
         out = np.full(int(per_text.sum()), end, np.uint32)
         body = np.ones(len(out), bool)
         body[np.cumsum(per_text) - 1] = False
         out[body] = self.pool[ranges(self.starts[which], lens)]
         return out, per_text
 
+    def count_many(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text, without the end id."""
+        return self.cut([t.encode() for t in texts])[2].tolist()
+
 
 _made: dict[str, WordIds] = {}
 
