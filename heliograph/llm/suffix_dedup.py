@@ -1,16 +1,15 @@
 """Exact removal of repeated byte strings by merging shard Burrows-Wheeler transforms.
 
 A window is a string of ``LENGTH`` bytes of one document. Every byte under a window that also starts earlier (in a smaller
-doc_id, or earlier in the document) is removed; windows are judged on the input. Hashes bring together what may be equal;
-what is equal is decided by the bytes themselves.
+doc_id, or earlier in the document) is removed; windows are judged on the input.
 
 1. Anchors. The smallest hash of a ``GRAM``-byte gram in a window (leftmost if equal) is its anchor. Windows in a row with one
    anchor make a run, and its text a segment. Equal windows have equal anchors at equal offsets, so they only meet in runs
    whose anchors have equal hashes, and a run's own windows all differ. Of segments that are equal byte by byte each task keeps
-   the first; the others are removed whole. The rest is brought together by anchor (a group), and runs that are alone in
-   their group are done.
-2. All segments of the other groups get their text. Groups are packed into blocks, segments of equal bytes become one, and a
-   block's segments are dealt into shards. Each shard is suffix-sorted and gives the transform over symbols of ``STEP`` bytes.
+   the first; the others are removed whole. The rest is brought together by anchor (a group) with a digest of the segment. Equal
+   digests under one anchor make a class, of which all but the first are removed whole; groups of one class are done.
+2. Segments that are first of their class, in groups of several classes, get their text. Groups are packed into blocks, segments of
+   equal bytes become one, and a block's segments are dealt into shards. Each shard is suffix-sorted and gives the transform over symbols of ``STEP`` bytes.
    The interleave of the shards starts with all suffixes in one interval; each round puts the shards' next symbols, taken
    in the order of the interleave, into buckets, which refines the interleave by one more symbol and marks where the common
    prefix of neighbours ends. After LENGTH / STEP rounds the intervals hold the equal windows of all shards; no
@@ -20,6 +19,10 @@ what is equal is decided by the bytes themselves.
    group is split if a task has ``CROWD`` runs of it, which then do not go to the group but for one mark, or if it
    has ``WIDE`` runs in all. Splitting changes no result.
 
+Anchors are found by plain hashes, which only bring rows together. Digests are 64 bits of BLAKE2 under a key that is drawn anew for each run
+and that no text can be made for; unequal segments of one anchor, length and digest would be taken as equal (2 ** -64 a pair).
+Sending every segment's bytes instead exceeds the check tool's disk (see the README). All else is decided by bytes.
+
 Cases: null text is empty; texts shorter than a window lose nothing; texts of any length are read whole. Rows with one doc_id
 and one text are one occurrence and get equal results. Texts that share a doc_id are documents of their own, in the
 order of their SHA-256. Null doc_ids come before all others. An empty table gives an empty table; other columns are ignored.
@@ -28,6 +31,7 @@ order of their SHA-256. Null doc_ids come before all others. An empty table give
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from itertools import islice
 
@@ -166,11 +170,11 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 #: Kinds of rows: a span that is surely removed, a run, a run of a hot group, the mark of a hot group.
 SPAN, RUN, HOT, MARK = 0, 1, 2, 3
-FOUND = "kind int, pkey bigint, doc_id bigint, start bigint, size int"
+FOUND = "kind int, pkey bigint, doc_id bigint, start bigint, size int, digest bigint"
 
 
-def found_batch(kind, key, doc, start, size) -> pa.RecordBatch:
-    cols = [pa.array(np.broadcast_to(np.int32(kind), len(doc)) if np.ndim(kind) == 0 else kind.astype(np.int32)), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.asarray(size).astype(np.int32))]
+def found_batch(kind, key, doc, start, size, digest=0) -> pa.RecordBatch:
+    cols = [pa.array(np.broadcast_to(np.int32(kind), len(doc)) if np.ndim(kind) == 0 else kind.astype(np.int32)), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.asarray(size).astype(np.int32)), pa.array(np.broadcast_to(np.int64(digest), len(doc)) if np.ndim(digest) == 0 else digest, pa.int64())]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
@@ -206,6 +210,11 @@ def numbered(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, bool]:
 
 def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Runs, hot runs and marks, and spans that are surely removed, each task's repeats taken out."""
+    secret = secrets.token_bytes(16)
+
+    def digests(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        view, make = memoryview(data.tobytes()), hashlib.blake2b
+        return np.frombuffer(b"".join([make(view[a : a + n], digest_size=8, key=secret).digest() for a, n in zip(at.tolist(), size.tolist())]), np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -221,7 +230,7 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             keys, which, many = np.unique(key[first], return_inverse=True, return_counts=True)
             hot = many[which] >= CROWD
             normal, crowd, marks = first[~hot], first[hot], keys[many >= CROWD]
-            yield found_batch(RUN, key[normal], doc[normal], start[normal], count[normal])
+            yield found_batch(RUN, key[normal], doc[normal], start[normal], count[normal], digests(data, at[normal], count[normal] + length - 1))
             yield found_batch(HOT, scattered(doc[crowd], start[crowd]), doc[crowd], start[crowd], count[crowd])
             yield found_batch(MARK, marks, np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64))
 
@@ -244,10 +253,11 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
-def judge_groups(found: DataFrame, wide: int) -> DataFrame:
-    """Spans to remove, runs of groups with several, and hot runs. At most ``wide`` runs of a group are held."""
+def judge_groups(found: DataFrame, length: int, wide: int) -> DataFrame:
+    """Spans to remove, runs that are first of their class in groups of several classes, and hot runs. At most ``wide`` runs of a
+    group are held."""
     n = shuffle_partitions(found.sparkSession)
-    dealt = found.repartition(n, "pkey").sortWithinPartitions("pkey", F.desc("kind"))  # a group's marks come first
+    dealt = found.repartition(n, "pkey").sortWithinPartitions("pkey", F.desc("kind"), "digest", "size", "doc_id", "start")  # a group's marks come first
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot_key = None, None
@@ -258,22 +268,33 @@ def judge_groups(found: DataFrame, wide: int) -> DataFrame:
             kind, key = cols[:2]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
-            marks = np.add.reduceat(kind == MARK, start, dtype=np.int64)
-            hot = (marks > 0) | (size >= wide)
+            hot = (np.add.reduceat(kind == MARK, start, dtype=np.int64) > 0) | (size >= wide)
             if hot_key is not None and key[0] == hot_key:
                 hot[0] = True
-            known = hot | (size > 1)
-            if not last:
+            if last:
+                held = None
+            else:
                 hot_key = key[-1] if hot[-1] else None
                 held = None if hot[-1] else [c[start[-1] :] for c in cols]
-                known[-1] = hot[-1]
-            else:
-                held = None
-            rows = np.flatnonzero(np.repeat(known, size) & (kind != MARK))
-            yield found_batch(np.where(np.repeat(hot, size)[rows], HOT, RUN), *[c[rows] for c in cols[1:]])
+                if held is not None:
+                    cols, start, size, hot = [c[: start[-1]] for c in cols], start[:-1], size[:-1], hot[:-1]
+            if not len(start):
+                return
+            group = np.repeat(np.arange(len(start)), size)
+            rows = np.flatnonzero(cols[0] == RUN)
+            group = group[rows]
+            _, key, doc, at, many, digest = (c[rows] for c in cols)
+            first = np.concatenate([[True], (group[1:] != group[:-1]) | (digest[1:] != digest[:-1]) | (many[1:] != many[:-1])]) if len(rows) else np.zeros(0, bool)
+            head = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+            later = (doc != doc[head]) | (at != at[head])
+            d, a, b = merged(doc[later], at[later], at[later] + many[later].astype(np.int64) + length - 1)
+            yield found_batch(SPAN, np.zeros(len(d), np.int64), d, a, b - a)
+            classes = np.bincount(group, weights=first, minlength=len(hot))
+            use = np.flatnonzero(first & (hot | (classes > 1))[group])
+            yield found_batch(np.where(hot[group[use]], HOT, RUN), key[use], doc[use], at[use], many[use])
 
         for batch in it:
-            cols = [batch.column(c).to_numpy() for c in ("kind", "pkey", "doc_id", "start", "size")]
+            cols = [batch.column(c).to_numpy() for c in ("kind", "pkey", "doc_id", "start", "size", "digest")]
             through = (cols[0] == SPAN) | (cols[0] == HOT)
             yield found_batch(*[c[through] for c in cols])
             cols = [c[~through] for c in cols]
@@ -577,7 +598,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix-dedup")
     src, shared = numbered(docs, ws)
-    judged = ws.stage(judge_groups(find_runs(src, length, gram), wide), "judged")
+    judged = ws.stage(judge_groups(find_runs(src, length, gram), length, wide), "judged")
     release_shuffles(spark)
     texts = src.repartition(shuffle_partitions(spark), "doc_id", "n")
     found = merge_groups(fetch(texts, judged.where(F.col("kind") != SPAN), length), length, step)

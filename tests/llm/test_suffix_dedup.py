@@ -122,7 +122,7 @@ def test_windows_of_wide_groups_are_sent_once_a_task(spark):
     rows = [(i, word(random.randint(50, 90)) + line + word(random.randint(50, 90))) for i in range(400)]
     docs = spark.createDataFrame(rows, DOC).repartition(4)
     src, _ = sd.numbered(docs, Workspace(spark, "t"))
-    judged = sd.judge_groups(sd.find_runs(src, 100, 45), 5)
+    judged = sd.judge_groups(sd.find_runs(src, 100, 45), 100, 5)
     assert judged.where("kind = 2").count() > 400
     sent = sd.fetch(src.repartition(8, "doc_id"), judged.where("kind > 0"), 100).where("bytes IS NOT NULL")
     assert sent.groupBy("pkey").count().agg({"count": "max"}).first()[0] <= 8
