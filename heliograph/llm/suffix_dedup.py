@@ -192,7 +192,9 @@ def numbered(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, bool]:
     number, and different ones are numbered by n from 1 on; else n is 0. And whether there are such doc_ids."""
     src = only(docs, "doc_id", "text")
     src = src.select(F.coalesce(src["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    alone = src.select("doc_id", F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("copies"), "text")
+    # a plain literal would be folded out of the joins' keys, and the texts shuffled anew for each join
+    none = F.least(F.octet_length("text"), F.lit(0)).cast("bigint")
+    alone = src.select("doc_id", none.alias("n"), F.lit(1).cast("bigint").alias("copies"), "text")
     shared = ws.stage(src.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "shared-ids")
     if shared.isEmpty():
         return alone, False
