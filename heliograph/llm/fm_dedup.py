@@ -31,7 +31,7 @@ from heliograph.llm.common import Workspace, documents, only, release_shuffles,
 
 WINDOW, SHINGLE = 50, 8
 #: Distinct pieces of an anchor up to which they are indexed together.
-CROWD = 2048
+CROWD = 512
 #: Words that are indexed at once, more only for one anchor.
 BLOCK_WORDS = 1 << 19
 #: Words of a long document whose anchors are sought at once.
@@ -337,11 +337,16 @@ def repeated_windows(docs: DataFrame, ws: Workspace, window: int = WINDOW, crowd
     ord and text."""
     if window <= SHINGLE:
         raise ValueError(f"a window has more than {SHINGLE} words")
-    all_pieces = ws.stage(pieces(docs, window), "pieces")
-    distinct = all_pieces.groupBy("digest").agg(F.min(F.struct("ord", "text_key", "at")).alias("at"), F.max("ord").alias("last"), F.first("anchor").alias("anchor"), F.first("n").alias("n"))
+    spark = docs.sparkSession
+    every = ws.stage(pieces(docs, window), "pieces")
+    anchors = every.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("anchor")
+    candidates = ws.stage(every.join(anchors, "anchor", "left_semi"), "candidates")
+    ws.drop("pieces")
+    distinct = candidates.groupBy("digest").agg(F.min(F.struct("ord", "text_key", "at")).alias("at"), F.max("ord").alias("last"), F.first("anchor").alias("anchor"), F.first("n").alias("n"))
     distinct = ws.stage(distinct.select("digest", "last", "anchor", "n", "at.ord", "at.text_key", "at.at"), "distinct")
-    anchors = distinct.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("k")).where("lo < hi")
-    shared = ws.stage(distinct.join(anchors.select("anchor", "k"), "anchor"), "shared")
+    shared = ws.stage(distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("k")), "anchor"), "shared")
+    ws.drop("distinct")
+    release_shuffles(spark)
     wanted = lambda rows: rows.select("text_key", "ord", "at", "n", "digest", F.col("anchor").alias("shard"), "last")
     asked, crowded = wanted(shared.where(F.col("k") <= crowd)), wanted(shared.where(F.col("k") > crowd))
     split = not crowded.isEmpty()
@@ -350,12 +355,13 @@ def repeated_windows(docs: DataFrame, ws: Workspace, window: int = WINDOW, crowd
         twice = windows.groupBy("own").agg(F.min(F.struct("first", "text_key", "at")).alias("at"), F.max("last").alias("last")).where("at.first < last")
         asked = asked.unionByName(twice.select("at.text_key", F.col("at.first").alias("ord"), "at.at", F.lit(1).alias("n"), F.col("own").alias("digest"), F.xxhash64("own").alias("shard"), "last"))
     found = ws.stage(matched(cut(docs, asked, window), window, block_words), "found")
-    release_shuffles(docs.sparkSession)
+    ws.drop("shared")
+    release_shuffles(spark)
     if split:  # a crowded piece has what was found for its windows' own digests
         of = found.where("low = 0 AND high = 0").select(F.col("digest").alias("own"), F.col("first").alias("found"))
         found = found.unionByName(windows.join(of, "own").select("digest", F.col("place").alias("low"), F.col("place").alias("high"), F.col("found").alias("first")))
         found = ws.stage(found, "found-all")
-    hits = all_pieces.select("text_key", "ord", "at", "digest").join(found, "digest").where(F.col("first") < F.col("ord"))
+    hits = candidates.select("text_key", "ord", "at", "digest").join(found, "digest").where(F.col("first") < F.col("ord"))
     return hits.select("text_key", "ord", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high") + window).alias("stop"))
 
 
@@ -372,6 +378,9 @@ def without_repeats(docs: DataFrame, ws: Workspace, window: int = WINDOW, crowd:
     docs = keyed(docs)
     spans = repeated_windows(docs, ws, window, crowd, block_words).groupBy("text_key", "ord").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = ws.stage(spans, "spans")
+    for name in ("candidates", "found"):
+        ws.drop(name)
+    release_shuffles(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -48,7 +48,7 @@ def corpus(rng, n, words):
     return [(i, "".join(x + rng.choice([" ", "\t", "\n", "  ", "\x0b"]) for x in w)) for i, w in docs]
 
 
-@pytest.mark.parametrize("seed,crowd,block", [(1, 2048, 1 << 19), (2, 2, 1 << 19), (3, 1, 40), (4, 2048, 40)])
+@pytest.mark.parametrize("seed,crowd,block", [(1, 512, 1 << 19), (2, 2, 1 << 19), (3, 1, 40), (4, 512, 40)])
 def test_brute_force(spark, seed, crowd, block):
     """Shards of one anchor and of all, crowded anchors and calm ones, small batches."""
     rng = random.Random(seed)
