@@ -340,11 +340,13 @@ def repeated_windows(docs: DataFrame, ws: Workspace, window: int = WINDOW, crowd
     spark = docs.sparkSession
     every = ws.stage(pieces(docs, window), "pieces")
     anchors = every.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("anchor")
+    anchors = ws.stage(anchors, "anchors")  # written, as the adaptive join splits an anchor that many pieces have
     candidates = ws.stage(every.join(anchors, "anchor", "left_semi"), "candidates")
     ws.drop("pieces")
     distinct = candidates.groupBy("digest").agg(F.min(F.struct("ord", "text_key", "at")).alias("at"), F.max("ord").alias("last"), F.first("anchor").alias("anchor"), F.first("n").alias("n"))
     distinct = ws.stage(distinct.select("digest", "last", "anchor", "n", "at.ord", "at.text_key", "at.at"), "distinct")
-    shared = ws.stage(distinct.join(distinct.groupBy("anchor").agg(F.count("*").alias("k")), "anchor"), "shared")
+    counted = ws.stage(distinct.groupBy("anchor").agg(F.count("*").alias("k")), "counted")
+    shared = ws.stage(distinct.join(counted, "anchor"), "shared")
     ws.drop("distinct")
     release_shuffles(spark)
     wanted = lambda rows: rows.select("text_key", "ord", "at", "n", "digest", F.col("anchor").alias("shard"), "last")
