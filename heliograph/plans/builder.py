@@ -16,6 +16,7 @@ from heliograph.operators.columns import resolve
 from heliograph.plans.catalog import Catalog
 from heliograph.sources import storage
 from heliograph.sources.readers import FORMATS, read_source
+from heliograph.sources.web import is_web, stat
 
 
 class LostRows(RuntimeError):
@@ -54,10 +55,16 @@ class CatalogBuilder:
     def _files(self) -> list:
         found = []
         for u in self.urls:
+            if is_web(u):
+                found.append([u, *stat(u)])
+                continue
             fs, p = storage.file_system(self.spark, u)
             for s in fs.globStatus(p) or []:
-                inner = fs.listStatus(s.getPath()) if s.isDirectory() else [s]
-                found += [[str(x.getPath()), x.getLen(), x.getModificationTime()] for x in inner]
+                inner = fs.listFiles(s.getPath(), True)  # of all levels
+                while inner.hasNext():
+                    x = inner.next()
+                    found.append([str(x.getPath()), x.getLen(), x.getModificationTime()])
+        found.sort()
         return [self.urls, found]
 
     def _parsed(self, cache: bool) -> DataFrame:

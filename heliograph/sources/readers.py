@@ -10,30 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heliograph.operators.columns import cast
 from heliograph.sources.fits import read_fits
+from heliograph.sources.text import csv_by_lines, typed
+from heliograph.sources.web import is_web
 
 FORMATS = ("csv", "csv.gz", "parquet", "fits")
 
 
 def read_source(spark: SparkSession, paths: list[str] | str, fmt: str = "csv", skiprows: list[int] | None = None, header: bool = True, dtypes: dict[str, str] | None = None) -> DataFrame:
-    """The rows of all files. ``skiprows`` are numbers of physical lines (from 0) to leave out of each csv file before its header."""
+    """The rows of all files. ``skiprows`` are numbers of physical lines (from 0) to leave out of each csv file before its header.
+    csv files can be behind http(s) addresses, and have the usual marks of missing values."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is none of {', '.join(FORMATS)}")
     if not paths:
         raise ValueError("there are no source files")
-    if fmt == "parquet":
-        df = spark.read.parquet(*paths)
-    elif fmt == "fits":
-        df = read_fits(spark, paths)
-    elif skiprows is None:
-        df = spark.read.csv(paths, header=header, inferSchema=True)
-    else:
-        skip, df = frozenset(int(r) for r in skiprows), None
-        for p in paths:  # a line's number in its file needs the file's lines in order
-            lines = spark.sparkContext.textFile(p).zipWithIndex().filter(lambda x: x[1] not in skip).keys()
-            one = spark.read.csv(lines, header=header, inferSchema=True)
-            df = one if df is None else df.unionByName(one)
-    return cast(df, dtypes)
+    if not fmt.startswith("csv"):
+        if any(map(is_web, paths)):
+            raise ValueError(f"{fmt} files are not read from http(s) addresses")
+        return cast(spark.read.parquet(*paths) if fmt == "parquet" else read_fits(spark, paths), dtypes)
+    if skiprows or any(map(is_web, paths)):
+        return typed(csv_by_lines(spark, paths, skiprows, header), dtypes)
+    return typed(spark.read.csv(paths, header=header, escape='"'), dtypes)
 
 
 class _Links(HTMLParser):
