@@ -66,12 +66,13 @@ def csv_by_lines(spark: SparkSession, paths: list[str], skiprows: list[int] | No
     sources = [file_lines(spark, here)] * bool(here) + [web_lines(spark, there)] * bool(there)
     lines = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1])
     gone = [*skip, *([top] if header else [])]
+    # what is left out is null before it is parsed, so that no filter pushed down meets a header's words as values
     if gone == [0]:  # a first line is the first of the split that starts its file
-        lines = lines.where("start > 0 OR k > 0")
+        lines = lines.withColumn("value", F.when((F.col("start") > 0) | (F.col("k") > 0), F.col("value")))
     elif gone:
-        lines = numbered(lines).where(~F.col("line").isin(gone))
+        lines = numbered(lines).withColumn("value", F.when(~F.col("line").isin(gone), F.col("value")))
     schema = ", ".join(f"{quoted(n)} string" for n in names)
-    rows = lines.where(F.trim("value") != "").select(F.from_csv("value", schema, {"escape": '"'}).alias("r"))
+    rows = lines.where(F.col("value").isNotNull() & (F.trim("value") != "")).select(F.from_csv("value", schema, {"escape": '"'}).alias("r"))
     return rows.select(*[F.col(f"r.{quoted(n)}") for n in names])
 
 
