@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 import warnings
 
@@ -13,7 +14,7 @@ from heliograph.functions import healpix as hp
 from heliograph.operators import margin as mg
 from heliograph.operators import partitioning as pt
 from heliograph.operators.columns import resolve
-from heliograph.plans.catalog import Catalog
+from heliograph.plans.catalog import Catalog, read_tree
 from heliograph.sources import storage
 from heliograph.sources.readers import FORMATS, read_source
 from heliograph.sources.web import is_web, stat
@@ -26,19 +27,26 @@ class LostRows(RuntimeError):
 class CatalogBuilder:
     """Sources to partitions with spatial ids, a density map, a margin cache and metadata.
 
+    Each build goes to a folder of its own, and the metadata file, which is replaced last and at once, names it: a build that breaks off
+    changes nothing, and open catalogues keep theirs. The newest ``keep`` builds stay, with their metadata; :meth:`vacuum` removes
+    what broken builds left.
+
     Sources that are not Parquet are parsed once and kept as Parquet (``cache``). This table and the density map carry a fingerprint
     of what they were made from in their names, so each is used again only for the same files and options."""
 
-    def __init__(self, spark: SparkSession, name: str, urls: list[str] | str | None = None, fmt: str = "csv", ra_kw: int | str = "ra", dec_kw: int | str = "dec", id_kw: int | str = "source_id", order_k: int = 10, dtypes: dict[str, str] | None = None, threshold: int = 1_000_000, margin: float | None = 0.1, location: str = ".", skiprows: list[int] | None = None, header: bool = True, on_bad_coords: str = "fail", allow_overflow: bool = False, source: DataFrame | None = None, storage_options: dict[str, str] | None = None, cache: bool = True, summaries: bool = False):
+    def __init__(self, spark: SparkSession, name: str, urls: list[str] | str | None = None, fmt: str = "csv", ra_kw: int | str = "ra", dec_kw: int | str = "dec", id_kw: int | str = "source_id", order_k: int = 10, dtypes: dict[str, str] | None = None, threshold: int = 1_000_000, margin: float | None = 0.1, location: str = ".", skiprows: list[int] | None = None, header: bool = True, on_bad_coords: str = "fail", allow_overflow: bool = False, source: DataFrame | None = None, storage_options: dict[str, str] | None = None, cache: bool = True, summaries: bool = False, keep: int = 2):
         if fmt not in FORMATS:
             raise ValueError(f"format {fmt!r} is none of {', '.join(FORMATS)}")
         if threshold < 1:
             raise ValueError("the threshold must be 1 or more")
         if source is None and not urls:
             raise ValueError("there are no source files")
+        if keep < 1:
+            raise ValueError("the newest build is always kept")
         self.spark, self.name, self.fmt, self.order_k, self.threshold, self.margin = spark, name, fmt, hp.check_order(order_k), threshold, margin
         self.urls = [urls] if isinstance(urls, str) else list(urls or [])
         self.root = f"{location.rstrip('/')}/{name}"
+        self.keep, self.base = keep, f"{self.root}/builds/{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
         self.options, self.on_bad, self.allow_overflow, self.summaries = {"skiprows": skiprows, "header": header, "dtypes": dtypes}, on_bad_coords, allow_overflow, summaries
         storage.set_storage_options(spark, self.root, storage_options)
         self._source_mark = self._mark(*self._files(), self.fmt, str(self.options)) if source is None else uuid.uuid4().hex[:16]
@@ -83,42 +91,79 @@ class CatalogBuilder:
     def fingerprint(self) -> str:
         return self._mark(self._source_mark, self.order_k, self.ra, self.dec, self.on_bad)
 
+    def _density_name(self) -> str:
+        """Maps of files are kept for later builds; that of a DataFrame is its build's own."""
+        own = f"density.{self.fingerprint()}"
+        return own if self.urls else f"builds/{self.base.rpartition('/')[2]}/{own}"
+
     def density(self) -> DataFrame:
         """The density map, written once for the same inputs."""
-        return self._kept(f"density.{self.fingerprint()}", lambda: pt.density(self.rows, self.order_k, self.ra, self.dec))
+        return self._kept(self._density_name(), lambda: pt.density(self.rows, self.order_k, self.ra, self.dec))
 
     def _staged(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/borders"
+        path = f"{self.base}/borders"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def _written(self, rows: DataFrame, which: str) -> DataFrame:
+        write_tree(rows, f"{self.base}/{which}", self.summaries)
+        return read_tree(self.spark, f"{self.base}/{which}")
+
     def build(self) -> Catalog:
         spark = self.spark
         dens = self.density()
-        parts_path = f"{self.root}/partitions"
+        parts_path = f"{self.base}/partitions"
         pt.partition_map(dens, self.order_k, self.threshold, self.allow_overflow).write.mode("overwrite").parquet(parts_path)
         parts = spark.read.parquet(parts_path)
         listed = parts.orderBy(pt.sort_key()).collect()  # a row a partition
         orders = sorted({r.Norder for r in listed})
         rows = pt.in_partitions(self.rows, parts, len(listed), orders, self.order_k, self.ra, self.dec)
         rows = pt.with_spatial_id(rows, self.ra, self.dec, self.id, within=["Norder", "Npix"] if max(orders, default=0) <= pt.ID_ORDER else [])
-        write_tree(rows, f"{self.root}/catalog", self.summaries)
-        n_sources = sum(r.n for r in listed)
+        tree = self._written(rows, "catalog")
+        n_sources, written = sum(r.n for r in listed), tree.count()
+        if written != n_sources:
+            raise LostRows(f"{self.base}/catalog has {written} rows, the density map {n_sources}; did the sources change meanwhile?")
+        if self.margin:
+            near = mg.margin_rows(tree, parts, orders, self.margin, self.ra, self.dec, self._staged) if listed else tree.limit(0)
+            self._written(near.select(*rows.columns), "neighbor")
+            storage.delete(spark, f"{self.base}/borders")
         # keys as in the published layout, then our own
         meta = {
             "cat_name": self.name, "ra_kw": self.ra, "dec_kw": self.dec, "id_kw": self.id, "n_sources": n_sources, "pix_threshold": self.threshold, "urls": self.urls,
-            "hips": {str(o): [r.Npix for r in listed if r.Norder == o] for o in orders}, "order_k": self.order_k, "margin": self.margin, "density": f"density.{self.fingerprint()}",
+            "hips": {str(o): [r.Npix for r in listed if r.Norder == o] for o in orders}, "order_k": self.order_k, "margin": self.margin, "density": self._density_name(), "build": self.base.rpartition("/")[2],
         }
-        written = spark.read.parquet(f"{self.root}/catalog").count()
-        if written != n_sources:
-            raise LostRows(f"{self.root}/catalog has {written} rows, the density map {n_sources}; did the sources change meanwhile?")
-        storage.write_text(spark, f"{self.root}/{self.name}_meta.json", json.dumps(meta, indent=4))
-        cat = Catalog(spark, self.name, self.root.rpartition("/")[0] or ".")
-        if self.margin:
-            near = mg.margin_rows(cat.load(), parts, [int(o) for o in meta["hips"]], self.margin, self.ra, self.dec, self._staged) if listed else cat.load().limit(0)
-            write_tree(near.select(*rows.columns), f"{self.root}/neighbor", self.summaries)
-            storage.delete(spark, f"{self.root}/borders")
-        return cat
+        return self._commit(meta)
+
+    def _commit(self, meta: dict) -> Catalog:
+        """Name the build as the catalogue's, then remove the builds that are no longer kept, with the tables that only they used."""
+        spark = self.spark
+        path = f"{self.root}/{self.name}_meta.json"
+        before = json.loads(storage.read_text(spark, path)).get("history", []) if storage.exists(spark, path) else []
+        source = f"source.{self._source_mark}" if self.urls and self.fmt != "parquet" else None
+        history = [{"build": meta["build"], "density": meta["density"], "source": source}, *before]
+        meta = meta | {"history": history[: self.keep]}
+        text = json.dumps(meta, indent=4)
+        storage.write_text(spark, f"{self.base}/meta.json", text)
+        storage.replace_text(spark, path, text)
+        used = {e[k] for e in meta["history"] for k in ("density", "source")}
+        for old in history[self.keep :]:
+            storage.delete(spark, f"{self.root}/builds/{old['build']}")
+            for name in {old["density"], old["source"]} - used - {None}:
+                storage.delete(spark, f"{self.root}/{name}")
+        return Catalog(spark, self.name, self.root.rpartition("/")[0] or ".")
+
+    def vacuum(self, hours: float = 24.0) -> list[str]:
+        """Remove builds and tables under the catalogue's root that no kept build names and that did not change for so long; builds
+        that run now are younger. Returns what was removed."""
+        path = f"{self.root}/{self.name}_meta.json"
+        history = json.loads(storage.read_text(self.spark, path)).get("history", []) if storage.exists(self.spark, path) else []
+        used = {x for e in history for x in (f"builds/{e['build']}", e["density"], e["source"])}
+        found = [(f"builds/{n}", t) for n, t in storage.children(self.spark, f"{self.root}/builds")]
+        found += [(n, t) for n, t in storage.children(self.spark, self.root) if n.startswith(("density.", "source.")) or n.startswith(f"{self.name}_meta.json.")]
+        old = [n for n, t in found if n not in used and t < (time.time() - 3600 * hours) * 1000]
+        for n in old:
+            storage.delete(self.spark, f"{self.root}/{n}")
+        return sorted(old)
 
 
 def write_tree(rows: DataFrame, path: str, summaries: bool = False) -> None:

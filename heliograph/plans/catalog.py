@@ -26,6 +26,12 @@ def read_metadata(spark: SparkSession, name: str, location: str) -> dict:
     return json.loads(storage.read_text(spark, f"{location.rstrip('/')}/{name}/{name}_meta.json"))
 
 
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a tree; one without partitions has their columns too."""
+    df = spark.read.parquet(path)
+    return df.select("*", *[F.lit(None).cast("int").alias(c) for c in OWN[:3] if c not in df.columns])
+
+
 def read_paths(spark: SparkSession, paths: list[str] | str, columns: list[str] | None = None) -> DataFrame:
     """The rows of files or folders of one catalogue's tree, with the columns that the folders' names hold."""
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -39,14 +45,16 @@ def read_paths(spark: SparkSession, paths: list[str] | str, columns: list[str] |
 
 
 class Catalog:
-    """Rows, cone searches and cross-matches of a catalogue as lazy DataFrames."""
+    """Rows, cone searches and cross-matches of a catalogue as lazy DataFrames. It stays with the build that it was opened at: the newest
+    one, or with ``build`` one of those that are kept."""
 
-    def __init__(self, spark: SparkSession, name: str, location: str = "."):
+    def __init__(self, spark: SparkSession, name: str, location: str = ".", build: str | None = None):
         self.spark, self.name, self.location = spark, name, location.rstrip("/")
         self.root = f"{self.location}/{name}"
         if not storage.exists(spark, self.root):
             raise FileNotFoundError(self.root)
-        self.meta = read_metadata(spark, name, self.location)
+        self.meta = json.loads(storage.read_text(spark, f"{self.root}/builds/{build}/meta.json")) if build else read_metadata(spark, name, self.location)
+        self.base = f"{self.root}/builds/{self.meta['build']}" if "build" in self.meta else self.root
         self.ra, self.dec, self.id = self.meta["ra_kw"], self.meta["dec_kw"], self.meta["id_kw"]
         self.hips = {int(o): [int(p) for p in pix] for o, pix in self.meta["hips"].items()}
 
@@ -62,11 +70,14 @@ class Catalog:
     def tree(self, which: str = "catalog") -> DataFrame:
         if which not in TREES:
             raise ValueError(f"{which!r} is none of {', '.join(TREES)}")
-        path = f"{self.root}/{which}"
+        path = f"{self.base}/{which}"
         if not storage.exists(self.spark, path):
             raise FileNotFoundError(path)
-        df = self.spark.read.parquet(path)
-        return df.select("*", *[F.lit(None).cast("int").alias(c) for c in OWN[:3] if c not in df.columns])
+        return read_tree(self.spark, path)
+
+    def builds(self) -> list[str]:
+        """The builds that are kept, newest first."""
+        return [e["build"] for e in read_metadata(self.spark, self.name, self.location).get("history", [])]
 
     def load(self, columns: list[str] | None = None, which: str = "catalog", partitions: list[tuple[int, int]] | None = None) -> DataFrame:
         """The tree's rows; with ``partitions``, (order, pixel) pairs, only the files of these are read."""
@@ -83,7 +94,7 @@ class Catalog:
         return self.spark.read.parquet(f"{self.root}/{self.meta['density']}")
 
     def partitions(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/partitions")
+        return self.spark.read.parquet(f"{self.base}/partitions")
 
     def _columns(self, columns: list[str] | None) -> list[str]:
         wanted = with_mandatory(columns, [self.ra, self.dec, self.id])

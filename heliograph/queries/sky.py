@@ -367,6 +367,18 @@ def catalog_rebuild(spark, sf_dir):
     return cat.load(["id", "ra", "dec"])
 
 
+@query("catalog_versions", f"SELECT 1 AS build, id, flux FROM ({DET}) AS s UNION ALL SELECT 2 AS build, id, flux FROM ({DET}) AS s WHERE id % 3 = 0 UNION ALL SELECT 3 AS build, id, flux FROM ({DET}) AS s")
+def catalog_versions(spark, sf_dir):
+    """A catalogue open before it is built anew with fewer rows and no margin, the new build, and the first one opened by its name."""
+    where = shared_dir(spark)
+    det = table(spark, sf_dir, DET)
+    old = built(spark, det, "det", where, 5, 2000, 0.2)
+    new = built(spark, det.where("id % 3 = 0"), "det", where, 4, 500)
+    again = Catalog(spark, "det", where, build=new.builds()[1])
+    tables = [cat.load(["id", "flux"]).select(F.lit(k).alias("build"), "id", "flux") for k, cat in enumerate((old, new, again), 1)]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
 @query("catalog_cone", cone_sql(DET, 56.0, 20.0, 10.0, "flux, ra, dec, id"))
 def catalog_cone(spark, sf_dir):
     return rounded(built(spark, table(spark, sf_dir, DET), "det", shared_dir(spark), 5, 2000).cone_search(56.0, 20.0, 10.0, ["flux"]), "_DIST")

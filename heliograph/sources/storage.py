@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -32,6 +35,38 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that readers see the old one or the new one: by one move over it where the store has that; stores without
+    such a move show a file only when it is complete."""
+    jvm, hidden = spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}"
+    fs, target = file_system(spark, path)
+    if fs.getUri().getScheme() == "file":  # whose connector deletes before it moves
+        local = Path(target.toUri().getPath())
+        (local.parent / f".{local.name}.crc").unlink(missing_ok=True)
+        new = local.with_name(f"{local.name}.{uuid.uuid4().hex}")
+        new.write_text(text, encoding="utf-8")
+        new.replace(local)
+        return
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    except Py4JJavaError as e:
+        if "UnsupportedFileSystemException" not in str(e.java_exception.toString()):
+            raise
+        write_text(spark, path, text)
+        return
+    write_text(spark, hidden, text)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context.rename(jvm.org.apache.hadoop.fs.Path(hidden), target, how)
+
+
+def children(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and times of change (ms) of what is in a folder; none if there is no such folder."""
+    fs, p = file_system(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     if not exists(spark, path):
         raise FileNotFoundError(path)

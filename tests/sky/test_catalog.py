@@ -1,5 +1,6 @@
 import json
 import math
+import pathlib
 import struct
 import uuid
 
@@ -308,12 +309,13 @@ def test_summaries_paths_and_partitions(spark, tmp_path):
     df = spark.createDataFrame(sky(300, 1, True), "source_id bigint, ra double, dec double, mag double")
     with pytest.warns(UserWarning, match="smaller"):
         cat = CatalogBuilder(spark, "c", source=df, order_k=8, threshold=40, margin=1.0, location=str(tmp_path), summaries=True).build()
-    assert (tmp_path / "c/catalog/_metadata").exists() and (tmp_path / "c/catalog/_common_metadata").exists()
+    folder = pathlib.Path(cat.base)
+    assert (folder / "catalog/_metadata").exists() and (folder / "catalog/_common_metadata").exists()
     some = [(o, p) for o, pix in cat.hips.items() for p in pix][:3]
     got = cat.load(["source_id"], partitions=some)
     want = {r.source_id for r in cat.load().collect() if (r.Norder, r.Npix) in some}
     assert {r.source_id for r in got.collect()} == want
-    paths = [f"{cat.root}/catalog/{storage.directory_of(*x)}" for x in some]
+    paths = [f"{cat.base}/catalog/{storage.directory_of(*x)}" for x in some]
     assert {r.source_id for r in read_paths(spark, paths).collect()} == want and read_paths(spark, paths[0], ["Norder", "source_id"]).columns == ["Norder", "source_id"]
     with pytest.raises(ValueError):
         read_paths(spark, [paths[0], paths[1].replace("/catalog/", "/neighbor/")])
