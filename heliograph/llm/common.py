@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +55,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def exclusive_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a file by one move, unless another writer was first."""
-    hidden = f"{path}.{uuid.uuid4().hex}"
-    write_text(spark, hidden, text)
+def claim_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file that only its owner can read, unless it exists: of several writers one gets True. On a plain file system by an
+    exclusive open; elsewhere by the store's creation without overwriting."""
     fs, p = _file(spark, path)
-    if not fs.exists(p):
-        fs.rename(_file(spark, hidden)[1], p)
-    fs.delete(_file(spark, hidden)[1], False)
+    if fs.getUri().getScheme() == "file":
+        local = Path(p.toUri().getPath())
+        local.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            handle = os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o600)
+        except FileExistsError:
+            return False
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.write(text)
+        return True
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e
+    try:
+        fs.setPermission(p, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def claimed_text(spark: SparkSession, path: str, wait_s: float = 10.0) -> str:
+    """What a claim says; its writer may still be at it."""
+    end = time.monotonic() + wait_s
+    while not (text := read_text(spark, path)) and time.monotonic() < end:
+        time.sleep(0.05)
+    return text
 
 
 def read_text(spark: SparkSession, path: str) -> str:

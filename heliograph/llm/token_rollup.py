@@ -4,9 +4,12 @@ A batch is a table of changes (kind, doc_id, source, lang, tokenizer_version, n_
 tokens, a ``delete`` takes them away, a ``revise`` adds the new count less the old one. A batch is reduced to one additive row a
 source, language and tokenizer version (partial sums before the shuffle, so no hot source gathers in a task).
 
-Commits are idempotent. A batch is written to a hidden folder and moved, in one step, to a name made of hashes of the batch's name and of
-its rows. Sending it again finds the name; sending other rows under the name raises. Of two writers of one batch, both succeed with equal
-rows (the later move lands hidden inside the first one's folder); with other rows, one set counts and the other writer raises.
+Commits are idempotent. A batch is written to a hidden folder; then a claim, a file with the hash of its rows that one writer alone can
+create, binds the batch's name to these rows; then the folder is moved, in one step, to a name made of hashes of the batch's name and
+of its rows. Sending it again finds the name; sending other rows under a claimed name raises before anything is moved, so
+what a commit answered with True never changes. Of writers with equal rows one gets True, as a move that comes second lands inside the
+first one's folder and is taken away. A writer that dies behind its claim leaves the name to the same rows; :meth:`Rollup.release`
+frees it for others.
 
 :meth:`Rollup.compact` folds committed batches into one table, which lists all batches that were ever folded into it. A batch or
 fold that another fold lists whole does not count, so folding may break off after any step, and what it left is removed by
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import Workspace, documents, only, read_text, strings, write_text
+from heliograph.llm.common import Workspace, claim_text, claimed_text, documents, only, read_text, strings, write_text
 
 KEYS = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens")
@@ -66,7 +69,7 @@ class Rollup:
     # one call each, so that tests can break off after any of them
 
     def _move(self, old: str, new: str) -> None:
-        if not self._fs.rename(self._path(f"{self.path}/{old}"), self._path(f"{self.path}/{new}")):
+        if not self._fs.rename(self._path(f"{self.path}/{old}"), self._path(f"{self.path}/{new}")) and not self._fs.exists(self._path(f"{self.path}/{new}")):
             raise OSError(f"{old} can't be moved to {new}")
 
     def _remove(self, name: str) -> None:
@@ -91,7 +94,7 @@ class Rollup:
         return out
 
     def _counting(self) -> dict[str, frozenset[str]]:
-        """What counts: batches and folds that no other fold lists whole, and of batches with one name the first."""
+        """What counts: batches and folds that no other fold lists whole."""
         found = self._stored()
         out: dict[str, frozenset[str]] = {}
         for name, own in sorted(found.items(), key=lambda x: (-len(x[1]), not x[0].startswith("fold-"), x[0])):
@@ -100,10 +103,7 @@ class Rollup:
             if any(own & other for other in out.values()):
                 raise RuntimeError(f"{name} overlaps another fold in {self.path}")
             out[name] = own
-        first: dict[str, str] = {}
-        for b in sorted(x for own in out.values() if len(own) > 1 for x in own) + sorted(x for own in out.values() if len(own) == 1 for x in own):
-            first.setdefault(b[: len("batch-") + 24], b)
-        return {n: own for n, own in out.items() if len(own) > 1 or set(own) <= set(first.values())}
+        return out
 
     def _key(self, batch: str) -> str:
         return f"batch-{hashlib.sha256(batch.encode()).hexdigest()[:24]}"
@@ -115,22 +115,35 @@ class Rollup:
     def committed(self, batch: str) -> bool:
         return bool(self._committed_as(batch))
 
+    def _claim(self, key: str) -> str:
+        return f"{self.path}/_claims/{key}"
+
+    def _claimed(self, key: str, rows: str) -> str:
+        """The hash of the rows that the name is bound to, ours if no other writer was first."""
+        return rows if claim_text(self.spark, self._claim(key), rows) else claimed_text(self.spark, self._claim(key))
+
+    def release(self, batch: str) -> bool:
+        """Free a name whose writer died between its claim and its move; False if the batch was committed or nobody claimed it."""
+        claim = self._claim(self._key(batch))
+        return not self.committed(batch) and self._fs.exists(self._path(claim)) and self._fs.delete(self._path(claim), False)
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False if it was applied before. Other changes under a committed name raise."""
-        hidden = f"_{uuid.uuid4().hex}"
+        """Apply a batch once; False if it was applied before. Other changes under a claimed name raise."""
+        hidden, key = f"_{uuid.uuid4().hex}", self._key(batch)
         try:
-            rows = self._write(delta(changes), hidden)
-            name = f"{self._key(batch)}-{digest(rows)}"
+            rows = digest(self._write(delta(changes), hidden))
+            name = f"{key}-{rows}"
             old = self._committed_as(batch)
-            if not old:
-                self._move(hidden, name)
-                now = self._committed_as(batch)
-                if now == [name]:
-                    return True
-                old = now
-            if old != [name]:
-                raise OtherContents(f"batch {batch!r} was committed with other rows")
-            return False
+            if (old or [f"{key}-{self._claimed(key, rows)}"]) != [name]:
+                raise OtherContents(f"batch {batch!r} was committed or claimed with other rows")
+            if old:
+                return False
+            self._move(hidden, name)
+            second = f"{name}/{hidden}"
+            if self._fs.exists(self._path(f"{self.path}/{second}")):
+                self._remove(second)
+                return False
+            return True
         finally:
             self._remove(hidden)
 

@@ -104,30 +104,61 @@ def test_folds_that_break_off_after_any_step(spark, after):
     assert all(r.committed(f"b{k}") for k in range(4)) and len(r._stored()) == 1
 
 
-def test_two_writers_of_one_batch(spark):
-    r, other = (tr.Rollup(spark, p) for p in [Workspace(spark, "t").path + "/r"] * 2)
+@pytest.mark.parametrize("at", ["_claimed", "_move"])
+@pytest.mark.parametrize("turn", [False, True])
+def test_two_writers_of_one_batch(spark, at, turn):
+    """The other writer commits whole between this one's look at what is there and its claim, or its move: whichever of the two row sets'
+    hashes comes first, exactly one commit of other rows is True, the other raises, and totals never change after a True."""
+    sets = [insert(spark, 1), insert(spark, 2).unionByName(insert(spark, 3))]
+    sets = sets[::-1] if turn else sets
+    for mine, theirs in ((sets[0], sets[1]), (sets[0], sets[0])):
+        r = tr.Rollup(spark, Workspace(spark, "t").path + "/r")
+        other, plain, answers, seen = tr.Rollup(spark, r.path), getattr(r, at), [], []
+
+        def send(who, rows):
+            try:
+                answers.append(who.commit("b", rows))
+            except tr.OtherContents:
+                answers.append("raised")
+            if True in answers:
+                seen.append(totals(r))
+
+        def late(*a):
+            setattr(r, at, plain)
+            send(other, theirs)
+            return plain(*a)
+
+        setattr(r, at, late)
+        send(r, mine)
+        assert answers.count(True) == 1
+        assert sorted(map(str, answers)) == (["False", "True"] if mine is theirs else ["True", "raised"])
+        for again in (mine, theirs):
+            send(r, again)
+        r.commit("c", insert(spark, 9))
+        r.compact()
+        assert len({str(s) for s in seen}) == 1
+        more = totals(r)[("a", "en", "v1")]
+        assert more == tuple(x + y for x, y in zip(seen[0][("a", "en", "v1")], (1, 10)))
+        assert len(r._stored()) == 1
 
-    def late(rows):  # the other writer commits between this one's look and its move
-        move = r._move
 
-        def moved(old, new):
-            r._move = move
-            other.commit("b", rows)
-            move(old, new)
+def test_a_claim_whose_writer_died(spark):
+    r = tr.Rollup(spark, Workspace(spark, "t").path + "/r")
+    r._claimed(r._key("b"), tr.digest(r._write(tr.delta(insert(spark, 1)), "_x")))
+    with pytest.raises(tr.OtherContents):
+        r.commit("b", insert(spark, 2).unionByName(insert(spark, 3)))
+    assert not r.committed("b") and totals(r) == {}
+    assert r.commit("b", insert(spark, 1)) and not r.release("b")
+    r._claimed(r._key("c"), "other")
+    assert r.release("c") and not r.release("c") and r.commit("c", insert(spark, 2))
 
-        r._move = moved
 
-    late(insert(spark, 1))
-    assert r.commit("b", insert(spark, 1)) and totals(r) == {("a", "en", "v1"): (1, 10)}
-    a, b = insert(spark, 1), insert(spark, 2).unionByName(insert(spark, 3))
-    results = []
-    for mine, theirs in ((a, b), (b, a)):
-        r = tr.Rollup(spark, Workspace(spark, "t").path + "/r")
-        other = tr.Rollup(spark, r.path)
-        late(theirs)
-        try:
-            r.commit("b", mine)
-        except tr.OtherContents:
-            pass
-        results.append(totals(r))
-    assert results[0] == results[1] and list(results[0].values())[0] in [(1, 10), (2, 20)]
+def test_one_of_many_gets_a_claim(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from heliograph.llm.common import claim_text, claimed_text
+
+    path = Workspace(spark, "t").path + "/deep/claim"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: claim_text(spark, path, f"writer {k}"), range(40)))
+    assert won.count(True) == 1 and claimed_text(spark, path) == f"writer {won.index(True)}"
