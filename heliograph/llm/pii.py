@@ -6,9 +6,10 @@ documents and different values different ones.
 
 - E-mail: letters and digits of the local part; its case is dropped.
 - Payment card numbers with a right Luhn digit; that digit is kept right.
-- Phone numbers: with a plus sign 7 to 15 digits, whose country code stays. North American ones (10 digits, or 11 after +1): the
+- Phone numbers: with a plus sign 7 to 15 digits and an assigned country code, which stays. North American ones (10 digits, or 11 after +1): the
   first digits of area and exchange stay within 2-9, or within 0-1, so that dialled numbers remain such.
-- IPv4; IBAN with right check digits, of which the digits change and the check digits are kept right.
+- IPv4; IBAN with right check digits from 02 to 98 (00, 01 and 99 are what 97, 98 and 02 are, modulo 97, and nobody's), of which the
+  digits change and the check digits are kept right.
 - US social security numbers that can be given out, among those; taxpayer numbers (9xx) among those; others (area 000 or 666, group 00,
   serial 0000) are nobody's and stay.
 - Hexadecimal secrets of 32 to 64 digits, in lower or upper case.
@@ -31,7 +32,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import documents, exclusive_text, exists, only, read_text, shared_root
+from heliograph.llm.common import claim_text, claimed_text, documents, exists, only, read_text, shared_root
 
 ROUNDS = 8
 FIRST_DAY = "1900-01-01"
@@ -39,6 +40,8 @@ FIRST_DAY = "1900-01-01"
 #: 146,097 days in 4,800 have so many days after the 12th; the country codes of two digits (1 and 7 have one, all others three).
 DAYS, LATE_DAYS, ERAS, LATE_A_MONTH = (270, 270), (210, 210), (-9, 40), 146097 / 4800 - 12
 TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Assigned country codes of three digits.
+THREE_DIGIT_CODES = "21[12368]|2[2346][0-9]|25[0-8]|29[01789]|35[0-9]|37[0-9]|38[0-35-79]|42[013]|50[0-9]|59[0-9]|67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[08]|88[0-368]|96[0-8]|97[0-79]|99[2-68]"
 SSN_AREAS, SSN_REST = 898, 99 * 9999
 DIGITS, HEX, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 #: The kinds' patterns. They are tried in this order where several fit.
@@ -215,7 +218,8 @@ def phone(m: Column, key: Column) -> Column:
         new = F.when((F.length(national) == 10) & (~plus | (c == "1")), let(national, american)).otherwise(feistel(national, DIGITS, key, F.concat(F.lit("phone"), c)))
         return put_back(m, F.concat(c, new), "0-9")
 
-    return F.when(~plus | F.length(d).between(7, 15), let(code, placed)).otherwise(m)
+    assigned = F.length(code).between(1, 2) | code.rlike(f"^(?:{THREE_DIGIT_CODES})$")
+    return F.when(~plus | F.length(d).between(7, 15) & assigned, let(code, placed)).otherwise(m)
 
 
 def ssn(m: Column, key: Column) -> Column:
@@ -255,7 +259,7 @@ def pseudonym(m: Column, key: Column) -> Column:
     secret = feistel(F.lower(m), HEX, key, "secret")
     return (
         F.when(is_kind("email"), email)
-        .when(is_kind("iban"), F.when(mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, iban).otherwise(m))
+        .when(is_kind("iban"), F.when(F.substring(m, 3, 2).between("02", "98") & (mod97(F.concat(rest, F.substring(m, 1, 4))) == 1), iban).otherwise(m))
         .when(is_kind("secret"), F.when(m.rlike("[A-F]"), F.upper(secret)).otherwise(secret))
         .when(is_kind("ip"), ip)
         .when(is_kind("date"), date(m, key))
@@ -299,10 +303,12 @@ def key_table(spark: SparkSession, key: str | None = None, key_file: str | None
 
 
 def own_key_file(spark: SparkSession) -> str:
-    """The configured key file, or a file in the shared folder that gets a new key the first time."""
+    """The configured key file, or a file in the shared folder that gets a new key the first time. One writer alone can create it,
+    nobody replaces it, and only its owner can read it; executors run as that user."""
     path = spark.conf.get("heliograph.pii.key.file", None) or f"{shared_root(spark)}/pii-key"
     if not exists(spark, path):
-        exclusive_text(spark, path, secrets.token_hex(32))
+        claim_text(spark, path, secrets.token_hex(32))
+    claimed_text(spark, path)  # another writer may still be at it
     return path
 
 

@@ -93,6 +93,8 @@ def phone(m, d):
     if plus and not 7 <= len(d) <= 15:
         return d
     code = "" if not plus else d[:1] if d[0] in "17" else d[:2] if d[:2] in pii.TWO_DIGIT_CODES else d[:3]
+    if len(code) == 3 and not re.fullmatch(pii.THREE_DIGIT_CODES, code):
+        return d
     n = d[len(code) :]
     if len(n) == 10 and code in ("", "1"):
         r = feistel(n[1:3] + n[4:], pii.DIGITS, "phone")
@@ -108,7 +110,7 @@ def one(m):
         local, host = m.lower().split("@")[0], m.split("@")[-1]
         return back(local, feistel(re.sub("[^0-9a-z]", "", local), pii.ALNUM, "email"), "0-9a-z") + "@" + host
     if kind == "iban":
-        if mod97(m[4:] + m[:4]) != 1:
+        if mod97(m[4:] + m[:4]) != 1 or not 2 <= int(m[2:4]) <= 98:
             return m
         rest = back(m[4:], feistel(re.sub("[^0-9]", "", m[4:]), pii.DIGITS, "iban"), "0-9")
         return m[:2] + f"{98 - mod97(rest + m[:2] + '00'):02d}" + rest
@@ -194,6 +196,33 @@ def test_key(spark, tmp_path):
     assert pii.own_key_file(spark) == pii.own_key_file(spark)
 
 
+def test_only_valid_values_get_pseudonyms(spark):
+    """Check digits that pass modulo 97 beside the right ones; country codes that nobody has."""
+    pairs = []
+    for odd, right in (("00", "97"), ("01", "98"), ("99", "02")):
+        body = next(f"{k:018d}" for k in range(10**6) if mod97(f"{k:018d}DE{odd}") == 1)
+        assert mod97(body + "DE" + right) == 1
+        pairs.append((f"DE{odd}{body}", f"DE{right}{body}"))
+    stay = ["+0 12 34 567", "+999 1234 5678", "+210 123 4567", "+384 123 4567", "+671 123 4567"]
+    change = ["+44 20 7946 0958", "+353 86 123 4567", "+998 71 123 4567", "+7 495 123 4567"]
+    texts = [x for p in pairs for x in p] + stay + change
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, "k").collect()}
+    got = {t: got[i] for i, t in enumerate(texts)}
+    for odd, right in pairs:
+        assert got[odd] == odd and got[right] != right
+    assert len(set(got.values())) == len(texts)
+    assert [t for t in stay if got[t] != t] == [] == [t for t in change if got[t] == t]
+
+
+def test_the_own_key_is_its_owners(spark):
+    import os
+
+    path = pii.own_key_file(spark).removeprefix("file://")
+    if os.path.exists(path):
+        assert os.stat(path).st_mode & 0o77 == 0
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     global KEY
