@@ -8,7 +8,8 @@ its score.
 
 The multinomials are fitted on a sample of the learnable rows (text and lang present, crc32 of doc_id modulo 4 other than 2): all
 of a language with at most ``SAMPLE`` of them, else each by a hash of its doc_id at the rate SAMPLE / rows, so about
-``SAMPLE`` documents a language; the ``LANGUAGES`` most frequent values of lang are learned. Predictions read whole texts of all documents, never lang, source or doc_id.
+``SAMPLE`` documents a language. All values of lang are learned; with more than ``LANGUAGES`` of them, whose table would be too large for a
+worker, there is an error. Predictions read whole texts of all documents, never lang, source or doc_id.
 
 Cases: null text or text without a letter gives `und` with score 0; so does any text if nothing was learned; texts of any
 length are read whole; equal texts give equal rows; null doc_ids have held_out null; an empty table gives an empty table;
@@ -30,8 +31,8 @@ from heliograph.llm.common import documents, only, strings
 BINS = 1 << 15
 SPAN = 24
 SAMPLE = 2000
-#: Values of lang that are learned, at most; those with most learnable rows.
-LANGUAGES = 256
+#: Values of lang beyond which there is an error: each takes 128 KB of a worker's table.
+LANGUAGES = 1024
 ROUNDS = 12
 PENALTY = 2.0
 #: Set of languages per document at most is the number learned; a gain below this (nats) never counts.
@@ -69,7 +70,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """The languages and their log-probabilities, a row a bin. The driver gets a row a language and bin."""
     spark = docs.sparkSession
     rows = learnable(docs)
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} values of lang")
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((BINS, 0), np.float32)

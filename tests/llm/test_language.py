@@ -1,3 +1,4 @@
+import pytest
 import zlib
 
 import numpy as np
@@ -122,8 +123,15 @@ def test_query_by_brute_force(spark, sf):
         assert abs(got[r.doc_id].score - (share[best] if known else 0)) < 1e-4, r.doc_id
 
 
-def test_most_frequent_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(lg, "LANGUAGES", 2)
-    df = spark.createDataFrame([(i, f"text {i}", f"l{min(i // 3, 4)}") for i in range(40)], DOC)
-    langs, table = lg.fit(df)
-    assert langs == ["l0", "l4"] or (len(langs) == 2 and "l4" in langs)
+def test_all_languages_are_learned(spark, monkeypatch):
+    """300 values of lang, each with words of its own and one document."""
+    word = lambda k, j: "".join(chr(0x3400 + (37 * k + 11 * j + i * i) % 6000) for i in range(6))
+    rows = [(i, " ".join(word(k, j) for j in range(40)), f"l{k:03d}") for k in range(300) for i in [next(d for d in range(10 * k, 10 * k + 10) if zlib.crc32(str(d).encode()) % 4 != 2)]]
+    df = spark.createDataFrame(rows, DOC)
+    model = lg.fit(df)
+    assert model[0] == [f"l{k:03d}" for k in range(300)]
+    got = {r.doc_id: r.lang_pred for r in lg.identify(df, model).collect()}
+    assert sum(got[i] == x for i, _, x in rows) >= 295
+    monkeypatch.setattr(lg, "LANGUAGES", 299)
+    with pytest.raises(ValueError, match="more than 299"):
+        lg.fit(df)
