@@ -14,7 +14,7 @@ from heliograph.operators import coverage as cv
 from heliograph.operators import crossmatch as xm
 from heliograph.operators import partitioning as pt
 from heliograph.operators.columns import quoted, with_mandatory
-from heliograph.sources import storage
+from heliograph.sources import fits, storage
 
 OWN = ("Norder", "Dir", "Npix", "_ID")
 TREES = ("catalog", "neighbor")
@@ -93,6 +93,12 @@ class Catalog:
     def density(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.meta['density']}")
 
+    def write_density_map(self, path: str | None = None) -> str:
+        """The density map as a map of the whole sky in a FITS file, by default where other programs look for it. Returns its path."""
+        path = path or f"{self.root}/{self.name}_order{self.meta['order_k']}_hpmap.fits"
+        fits.write_map(self.density(), self.meta["order_k"], path)
+        return path
+
     def partitions(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/partitions")
 

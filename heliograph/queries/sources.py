@@ -12,8 +12,8 @@ from threading import Thread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.queries.sky import DET, OBJ, query, shared_dir, table
-from heliograph.sources import readers, storage
+from heliograph.queries.sky import DENSITY, DET, OBJ, ORDER_K, density_of, query, shared_dir, table
+from heliograph.sources import fits, readers, storage
 
 
 def served(spark: SparkSession, folder: str) -> str:
@@ -86,3 +86,19 @@ def source_csv_skiprows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/source"
     texts.write.partitionBy("file").text(path)
     return readers.read_source(spark, path, "csv", skiprows=[0, 1, 2], dtypes={"label": "unicode"})
+
+
+@query("source_fits", DET)
+def source_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary table written from tasks and read again by ranges of rows."""
+    path = f"{shared_dir(spark)}/det.fits"
+    fits.write_fits(table(spark, sf_dir, DET), path)
+    return fits.read_fits(spark, [path], split_bytes=1 << 20)
+
+
+@query("density_fits", DENSITY)
+def density_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density map as a map of the whole sky in a FITS file."""
+    path = f"{shared_dir(spark)}/map.fits"
+    fits.write_map(density_of(spark, sf_dir), ORDER_K, path)
+    return fits.read_map(spark, path)[0]

@@ -25,8 +25,8 @@ def read_source(spark: SparkSession, paths: list[str] | str, fmt: str = "csv", s
     if not paths:
         raise ValueError("there are no source files")
     if not fmt.startswith("csv"):
-        if any(map(is_web, paths)):
-            raise ValueError(f"{fmt} files are not read from http(s) addresses")
+        if fmt == "parquet" and any(map(is_web, paths)):
+            raise ValueError("parquet files are not read from http(s) addresses")
         return cast(spark.read.parquet(*paths) if fmt == "parquet" else read_fits(spark, paths), dtypes)
     if skiprows or any(map(is_web, paths)):
         return typed(csv_by_lines(spark, paths, skiprows, header), dtypes)

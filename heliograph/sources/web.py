@@ -86,6 +86,20 @@ def received(part: Range) -> Iterator[bytes]:
         time.sleep(PAUSE_S * 2**failed)
 
 
+def read_range(url: str, start: int, stop: int) -> bytes:
+    """The bytes from ``start`` to before ``stop``, from a server with ranges."""
+
+    def ask() -> bytes:
+        with urlopen(Request(url, headers={"Range": f"bytes={start}-{stop - 1}"}), timeout=TIMEOUT_S) as answer:
+            data = answer.read(stop if answer.status != 206 else stop - start)
+        data = data[start:] if answer.status != 206 else data
+        if len(data) < stop - start:
+            raise http.client.IncompleteRead(data, stop - start - len(data))
+        return data
+
+    return tried(ask)
+
+
 def unzipped(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """The content of a gzip file, of one member or several."""
     member, fresh = zlib.decompressobj(31), True
