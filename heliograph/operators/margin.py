@@ -1,9 +1,17 @@
-"""Margin rows: rows outside a partition but close to its border."""
+"""Margin rows: rows outside a partition whose distance from its border is the margin at most.
+
+Points along the borders find the candidates by an equi-join on cells. A candidate with a point within the margin is a margin row. Only
+those whose nearest points lie just beyond it are measured: the border between each such point and its neighbours is bracketed, and
+the bracket narrowed by golden sections until the distance is exact.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +22,67 @@ from heliograph.operators.columns import quoted
 from heliograph.operators.crossmatch import with_cell, with_cells_around, zone_height
 
 
+def steps_of(order: int, margin: float) -> int:
+    """Points an edge."""
+    return max(4, math.ceil(2 * hp.reach(order) / (margin / 5)))
+
+
+def border_at(order: int, pix: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the border is at ``u`` edges from the northern corner by west, south and east."""
+    x, y, f = hp.pix2xyf(order, pix)
+    side, t = np.floor(u).astype(np.int64) % 4, u - np.floor(u)
+    return hp.xyf2ang(order, x + np.choose(side, [1 - t, 0 * t, t, 0 * t + 1]), y + np.choose(side, [0 * t + 1, 1 - t, 0 * t, t]), f)
+
+
+def degrees_apart(ra1, dec1, ra2, dec2) -> np.ndarray:
+    a1, d1, a2, d2 = map(np.radians, (ra1, dec1, ra2, dec2))
+    h = np.sin((d1 - d2) / 2) ** 2 + np.cos(d1) * np.cos(d2) * np.sin((a1 - a2) / 2) ** 2
+    return np.degrees(2 * np.arcsin(np.sqrt(np.minimum(1.0, h))))
+
+
+def least_distance(order: int, pix: np.ndarray, ra: np.ndarray, dec: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least distance of each position from the stretch ``low .. high`` of a pixel's border, which has one minimum."""
+    golden = (math.sqrt(5) - 1) / 2
+    away = lambda u: degrees_apart(ra, dec, *border_at(order, pix, u))
+    a, b = high - golden * (high - low), low + golden * (high - low)
+    da, db = away(a), away(b)
+    least = np.minimum(away(low), away(high))
+    for _ in range(50):
+        left = da < db
+        low, high = np.where(left, low, a), np.where(left, b, high)
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        da, db = np.where(left, away(a), db), np.where(left, da, away(b))
+        least = np.minimum(least, np.minimum(da, db))
+    return least
+
+
+def within(doubtful: DataFrame, margin: float, key: str, ra: str, dec: str) -> DataFrame:
+    """Of (key, position, partition, points), the key and partition of those within the margin of the border near one of the points."""
+    schema = doubtful.select(key, "__mo", "__mp").schema
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            order, pix, a, d = column("__mo"), column("__mp").astype(np.int64), column(ra).astype(float), column(dec).astype(float)
+            points = batch.column("points")
+            who = np.repeat(np.arange(batch.num_rows), points.value_lengths().to_numpy(zero_copy_only=False))
+            at = points.flatten().to_numpy(zero_copy_only=False).astype(float)
+            keep = np.zeros(batch.num_rows, bool)
+            for o in np.unique(order).tolist():
+                some = np.flatnonzero(order[who] == o)
+                w, u, step = who[some], at[some] / steps_of(o, margin), 1 / steps_of(o, margin)
+                for low in (u - step, u):  # not across a point, which can be a corner
+                    keep[w[least_distance(o, pix[w], a[w], d[w], low, low + step) <= margin]] = True
+            yield batch.select([key, "__mo", "__mp"]).filter(pa.array(keep))
+
+    return doubtful.mapInArrow(run, schema)
+
+
 def border_points(parts: DataFrame, margin: float, orders: list[int]) -> DataFrame:
-    """(Norder, Npix, bra, bdec): points along each partition's border, at most margin / 5 apart."""
+    """(Norder, Npix, __s, bra, bdec): points along each partition's border, at most margin / 5 apart, numbered around it."""
     out = None
     for o in orders:
-        steps = max(4, math.ceil(2 * hp.reach(o) / (margin / 5)))
+        steps = steps_of(o, margin)
         p = parts.where(F.col("Norder") == o).select("Norder", "Npix")
         rows = p.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(4 * steps - 1)))).withColumn("__p", F.col("Npix").cast("bigint"))
         at = f"(CAST(__s % {steps} AS DOUBLE) / {steps}e0)"
@@ -28,23 +92,26 @@ def border_points(parts: DataFrame, margin: float, orders: list[int]) -> DataFra
             {"__x": f"__b_x + CASE {side} WHEN 0 THEN 1e0 - {at} WHEN 1 THEN 0e0 WHEN 2 THEN {at} ELSE 1e0 END", "__y": f"__b_y + CASE {side} WHEN 0 THEN 1e0 WHEN 1 THEN 1e0 - {at} WHEN 2 THEN 0e0 ELSE {at} END"},
             *hp.angle_stages(o, "__x", "__y", "__b_f", "bra", "bdec", "__a"),
         ]
-        rows = apply(rows, stages, ["bra", "bdec"]).select("Norder", "Npix", "bra", "bdec")
+        rows = apply(rows, stages, ["bra", "bdec"]).select("Norder", "Npix", "__s", "bra", "bdec")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def margin_rows(rows: DataFrame, parts: DataFrame, orders: list[int], margin: float, ra: str, dec: str, stage, key: str = "_ID") -> DataFrame:
     """Rows (with Norder and Npix of their own partition, and their spatial id) as many times as there are other partitions within
-    the margin; Norder, Npix and Dir then name that partition. Points of the border are sampled, so a row up to a
-    twentieth of the margin beyond it can be included; none within it is missed."""
+    the margin; Norder, Npix and Dir then name that partition."""
     if margin <= 0:
         raise ValueError("the margin must be positive")
-    reach = margin * 1.05
+    reach = margin * 1.05  # points are a fifth of the margin apart, so one of them is so near
     height = zone_height(reach)
     points = border_points(parts, margin, orders).withColumnsRenamed({"Norder": "__mo", "Npix": "__mp"})
     points = with_cells_around(stage(points), height, "bra", "bdec")  # these grow with the partitions' borders
-    slim = with_cell(rows.select(key, quoted(ra), quoted(dec), "Norder", "Npix"), height, ra, dec)
+    slim = with_cell(rows.select(key, F.col(quoted(ra)).alias("__ra"), F.col(quoted(dec)).alias("__dec"), "Norder", "Npix"), height, "__ra", "__dec")
     near = slim.join(points, "__cell").where((F.col("__mo") != F.col("Norder")) | (F.col("__mp") != F.col("Npix")))
-    near = near.where(gc_dist(quoted(ra), quoted(dec), "bra", "bdec") <= reach).select(key, "__mo", "__mp").distinct()
+    near = near.withColumn("__d", gc_dist("__ra", "__dec", "bra", "bdec")).where(F.col("__d") <= reach)
+    pairs = near.groupBy(key, "__mo", "__mp").agg(F.min("__d").alias("__d"), F.first("__ra").alias("__ra"), F.first("__dec").alias("__dec"), F.collect_set("__s").alias("points"))
+    pairs = stage(pairs, "pairs")
+    doubtful = pairs.where(F.col("__d") > margin).select(key, "__ra", "__dec", "__mo", "__mp", "points")
+    near = pairs.where(F.col("__d") <= margin).select(key, "__mo", "__mp").unionByName(within(doubtful, margin, key, "__ra", "__dec"))
     out = rows.drop("Norder", "Npix", "Dir").join(near, key).withColumnsRenamed({"__mo": "Norder", "__mp": "Npix"})
     return out.withColumn("Npix", F.col("Npix").cast("int")).withColumn("Dir", (F.floor(F.col("Npix") / 10000) * 10000).cast("int"))

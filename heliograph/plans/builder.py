@@ -100,8 +100,8 @@ class CatalogBuilder:
         """The density map, written once for the same inputs."""
         return self._kept(self._density_name(), lambda: pt.density(self.rows, self.order_k, self.ra, self.dec))
 
-    def _staged(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/borders"
+    def _staged(self, df: DataFrame, name: str = "points") -> DataFrame:
+        path = f"{self.base}/borders/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 

@@ -418,7 +418,29 @@ def xmatch_margin_tree(spark, sf_dir):
     return rounded(one.cross_match(two, ["id"], ["id"], 2, 0.1, evaluate_margins="tree", delim="_").select("obj_id", "det_id", "_DIST"), "_DIST")
 
 
-@query("margin_rows")
+def margin_sql(source: str, order: int, threshold: int, margin: float, edge: int = 256, fine: int = 64) -> str:
+    """Rows beside a partition by sampling its whole border, then finely about the nearest point. Places on the border are edges from
+    the northern corner, in units of the deepest order."""
+    corner = as_sql(f"(SELECT Norder, Npix, Npix << CAST(2 * ({order} - Norder) AS BIGINT) AS c, CAST(1 AS BIGINT) << CAST({order} - Norder AS BIGINT) AS size FROM ({map_sql(source, order, threshold)}) AS m)", hp.unpack_stages(order, "c", "cu"), ["Norder", "Npix", "size", "cu_x", "cu_y", "cu_f"])
+
+    def points(of: str, u: str, keep: str) -> str:
+        side, t = f"CAST(floor({u}) AS BIGINT) % 4", f"({u} - floor({u}))"
+        at = f"SELECT *, cu_x + size * CASE {side} WHEN 0 THEN 1 - {t} WHEN 1 THEN 0 WHEN 2 THEN {t} ELSE 1 END AS at_x, cu_y + size * CASE {side} WHEN 0 THEN 1 WHEN 1 THEN 1 - {t} WHEN 2 THEN 0 ELSE {t} END AS at_y FROM ({of}) AS o"
+        return as_sql(f"({at})", hp.angle_stages(order, "at_x", "at_y", "cu_f", "bra", "bdec"), [*keep.split(", "), "bra", "bdec"])
+
+    own = "Norder, Npix, size, cu_x, cu_y, cu_f"
+    around = points(f"SELECT c.*, s, s / {edge}e0 AS u FROM corners AS c, (SELECT unnest(range(0, {4 * edge})) AS s) AS t", "u", f"{own}, s")
+    again = points(f"SELECT n.*, (s + {4 * edge} + (i - {fine}) / {fine}e0) / {edge}e0 AS u FROM nearest AS n, (SELECT unnest(range(0, {2 * fine + 1})) AS i) AS t", "u", "id, ra, dec, Norder, Npix")
+    near = gc_dist_sql("r.ra", "r.dec", "b.bra", "b.bdec")
+    return f"""WITH corners AS MATERIALIZED ({corner}), around AS MATERIALIZED ({around}),
+    discs AS (SELECT a.Norder, a.Npix, b.bra AS cra, b.bdec AS cdec, max({gc_dist_sql("a.bra", "a.bdec", "b.bra", "b.bdec")}) AS r FROM around AS a JOIN around AS b ON a.Norder = b.Norder AND a.Npix = b.Npix AND b.s = 0 GROUP BY ALL),
+    placed AS MATERIALIZED (SELECT id, ra, dec, Norder AS o, Npix AS p FROM ({assign_sql(source, order, threshold)}) AS s),
+    pairs AS MATERIALIZED (SELECT r.id, r.ra, r.dec, d.Norder, d.Npix FROM placed AS r JOIN discs AS d ON r.dec BETWEEN d.cdec - d.r - {margin!r} AND d.cdec + d.r + {margin!r} AND {gc_dist_sql("r.ra", "r.dec", "d.cra", "d.cdec")} <= d.r + {margin!r} AND (r.o <> d.Norder OR r.p <> d.Npix)),
+    nearest AS MATERIALIZED (SELECT q.*, c.size, c.cu_x, c.cu_y, c.cu_f FROM (SELECT r.id, r.ra, r.dec, r.Norder, r.Npix, arg_min(b.s, {near}) AS s, min({near}) AS d FROM pairs AS r JOIN around AS b USING (Norder, Npix) GROUP BY ALL) AS q JOIN corners AS c USING (Norder, Npix) WHERE q.d <= {2 * margin!r})
+    SELECT id, Norder, CAST(Npix AS INTEGER) AS Npix FROM ({again}) AS r GROUP BY id, Norder, Npix HAVING min({gc_dist_sql("ra", "dec", "bra", "bdec")}) <= {margin!r}"""
+
+
+@query("margin_rows", margin_sql(DET, 5, 2000, 0.5))
 def margin_rows(spark, sf_dir):
     return built(spark, table(spark, sf_dir, DET), "det", shared_dir(spark), 5, 2000, 0.5).load(["id", "Norder", "Npix"], "neighbor")
 
