@@ -23,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import islice
@@ -192,7 +193,7 @@ def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(specs)  # vocabulary files, whatever the corpus
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {k: counter(v) for k, v in shared.value.items()}
+        made = Chunks([counter(v) for v in shared.value.values()])
         known: dict[str | None, tuple[int, ...]] = {}  # counts of the task's latest texts, of which copies are not encoded again
         for batch in it:
             texts, keys = strings(batch, "text").to_pylist(), batch.column("text_key").to_pylist()
@@ -201,17 +202,49 @@ def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
             new = {k: t for k, t in zip(keys, texts) if k not in known}
             names = iter(new)
             for some in batches_of(list(new.values())):
-                counts = zip(*[c.count_many(some) for c in made.values()])
-                known.update(zip(islice(names, len(some)), counts))
+                known.update(zip(islice(names, len(some)), made.count_many(some)))
             n = zip(*map(known.__getitem__, keys))
             keep = [batch.column(c) for c in ("doc_id", "source", "lang", "text_key")]
-            yield pa.RecordBatch.from_arrays([*keep, *[pa.array(x, pa.int64()) for x in (n if keys else [[]] * len(made))]], names=["doc_id", "source", "lang", "text_key", *made])
+            yield pa.RecordBatch.from_arrays([*keep, *[pa.array(x, pa.int64()) for x in (n if keys else [[]] * len(shared.value))]], names=["doc_id", "source", "lang", "text_key", *shared.value])
 
     src = only(docs, "doc_id", "source", "lang", "text")
     src = src.select(src["doc_id"].cast("bigint").alias("doc_id"), src["source"].cast("string").alias("source"), src["lang"].cast("string").alias("lang"), "text", F.sha2("text", 256).alias("text_key"))
     return src.mapInArrow(run, "doc_id bigint, source string, lang string, text_key string, " + ", ".join(f"`{k}` bigint" for k in tokenizers))
 
 
+class Chunks:
+    """Counts of texts by several vocabularies at once. No vocabulary joins anything across the ends of a chunk, a run without white space
+    with at most one blank before it, or what is left of white space; so a text's counts are the sums of its chunks', and a
+    worker counts each distinct chunk once. Texts with white space beyond ASCII or with special tokens are counted whole."""
+
+    CHUNK = re.compile("(?: ?[^ \t-\r]+)|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+    ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+    LANE, MOST = 40, 300_000
+
+    def __init__(self, counters: list):
+        self.counters, self.known = counters, {}
+        self.special = [x for c in counters for x in c.special]
+
+    def packed(self, texts: list[str]) -> list[int]:
+        """The counts of a text side by side in one number."""
+        return [sum(n << self.LANE * k for k, n in enumerate(own)) for own in zip(*[c.count_many(texts) for c in self.counters])]
+
+    def count_many(self, texts: list[str]) -> list[tuple[int, ...]]:
+        whole = [bool(self.ODD.search(t)) or any(x in t for x in self.special) for t in texts]
+        split = [[] if odd else self.CHUNK.findall(t) for t, odd in zip(texts, whole)]
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        if new := list(set().union(*split).difference(self.known)):
+            self.known.update(zip(new, self.packed(new)))
+        get = self.known.__getitem__
+        sums = [sum(map(get, own)) for own in split]
+        at = [i for i, odd in enumerate(whole) if odd]
+        for i, n in zip(at, self.packed([texts[i] for i in at]) if at else []):
+            sums[i] = n
+        mask = (1 << self.LANE) - 1
+        return [tuple(n >> self.LANE * k & mask for k in range(len(self.counters))) for n in sums]
+
+
 def counter(spec: str):
     """A counter of tokens for a vocabulary file; byte-level files go to our own encoder, others through the library."""
     import json
