@@ -166,6 +166,12 @@ def ring_stages(order: int, pix: str, out: str, p: str = "ri") -> list[Stage]:
     ]
 
 
+def polar_stages(order: int, pix: str, out: str, p: str = "po") -> list[Stage]:
+    """Which pole a pixel touches, no text for none."""
+    top = order2nside(order) - 1
+    return [*unpack_stages(order, pix, p), {out: f"CASE WHEN {p}_f < 4 AND {p}_x = {top} AND {p}_y = {top} THEN 'North' WHEN {p}_f >= 8 AND {p}_x = 0 AND {p}_y = 0 THEN 'South' ELSE '' END"}]
+
+
 def neighbour_stages(order: int, x: str, y: str, f: str, p: str = "nb") -> list[Stage]:
     """``{p}0`` .. ``{p}7``: the neighbours SW, W, NW, N, NE, E, SE, S of a cell, -1 where there is none."""
     ns = order2nside(order)
@@ -296,6 +302,19 @@ def query_disc(order: int, ra: float, dec: float, radius: float, inclusive: bool
     return np.sort(pix)
 
 
+def query_discs(order: int, ra: np.ndarray, dec: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which centre, pixel) of the pixels whose centres lie within the radius of each of many centres."""
+    centres = ang2vec(ra, dec)
+    who, pix = np.repeat(np.arange(len(centres)), 12), np.tile(np.arange(12), len(centres))
+    for o in range(check_order(order) + 1):
+        away = np.degrees(2 * np.arcsin(np.clip(np.linalg.norm(ang2vec(*pix2ang(o, pix)) - centres[who], axis=-1) / 2, 0, 1)))
+        near = away <= radius + (0 if o == order else reach(o))
+        who, pix = who[near], pix[near]
+        if o < order:
+            who, pix = np.repeat(who, 4), (pix[:, None] * 4 + np.arange(4)).ravel()
+    return who, pix
+
+
 def pixels_around(order: int, pix: int, radius: float) -> np.ndarray:
     """Other pixels that may touch the disc about a pixel's centre (a superset)."""
     ra, dec = pix2ang(order, pix)

@@ -183,13 +183,6 @@ def healpix_neighbours(spark, sf_dir):
     return apply(pt.with_pixel(table(spark, sf_dir, OBJ), 4, "ra", "dec"), stages).select("id", *NB)
 
 
-@query("healpix_sizes", "SELECT o AS healpix_order, CAST(1 AS BIGINT) << o AS nside, CAST(12 AS BIGINT) << (2 * o) AS npix, round(sqrt(4e0 * pi() / CAST(12 AS DOUBLE)) * 180e0 / pi() / pow(2e0, o), 9) AS resolution FROM (SELECT unnest(range(0, 21)) AS o) AS t")
-def healpix_sizes(spark, sf_dir):
-    o = F.col("healpix_order")
-    df = spark.range(21).select(F.col("id").alias("healpix_order"))
-    return df.select(o, F.expr("shiftleft(CAST(1 AS BIGINT), CAST(healpix_order AS INT))").alias("nside"), F.expr("shiftleft(CAST(12 AS BIGINT), CAST(2 * healpix_order AS INT))").alias("npix"), F.round(F.lit(hp.resolution(0)) / F.pow(F.lit(2.0), o), 9).alias("resolution"))
-
-
 def vectors(spark, sf_dir):
     from heliograph.functions.geometry import unit_vector
 
@@ -264,35 +257,58 @@ query("partition_cover", f"SELECT (Npix << CAST(2 * ({COVER_ORDER} - Norder) AS
 query("cone_cover", "SELECT pix, n, {} <= 30e0 AS in_cone FROM ({}) AS c".format(gc_dist_sql("cra", "cdec", 56.0, 20.0), as_sql(f"({DENSITY})", hp.pix2ang_stages(ORDER_K, "pix", "cra", "cdec"))))(lambda s, d: cv.cone_cover(density_of(s, d), ORDER_K, 56.0, 20.0, 30.0))
 
 
+@query("healpix_sizes", f"SELECT Norder, Npix, CAST(1 AS BIGINT) << CAST(Norder AS BIGINT) AS nside, CAST(12 AS BIGINT) << CAST(2 * Norder AS BIGINT) AS n_pixels, round(sqrt(4e0 * pi() / CAST(12 AS DOUBLE)) * 180e0 / pi() / pow(2e0, Norder), 9) AS resolution, round(n / (4e0 * pi() * pow(180e0 / pi(), 2e0) / 12e0 / pow(4e0, Norder)), 6) AS density FROM ({MAP}) AS m")
+def healpix_sizes(spark, sf_dir):
+    """The sizes of the partitions' pixels, and their rows a square degree."""
+    area = F.lit(hp.pixel_area(0)) / F.pow(F.lit(4.0), F.col("Norder"))
+    sides = F.expr("shiftleft(CAST(1 AS BIGINT), Norder)"), F.expr("shiftleft(CAST(12 AS BIGINT), 2 * Norder)")
+    return map_of(spark, sf_dir).select("Norder", "Npix", sides[0].alias("nside"), sides[1].alias("n_pixels"), F.round(F.lit(hp.resolution(0)) / F.pow(F.lit(2.0), F.col("Norder")), 9).alias("resolution"), F.round(F.col("n") / area, 6).alias("density"))
+
+
 def all_pixels(order: int) -> str:
     return f"(SELECT unnest(range(0, {hp.order2npix(order)})) AS pix)"
 
 
-@query("disc_pixels", "SELECT pix FROM ({}) AS c WHERE {} <= 10e0".format(as_sql(all_pixels(5), hp.pix2ang_stages(5, "pix", "cra", "cdec")), gc_dist_sql("cra", "cdec", 56.0, 20.0)))
+@query("disc_pixels", "SELECT o.id, c.pix FROM ({}) AS o JOIN ({}) AS c ON c.cdec BETWEEN o.dec - 2.5e0 AND o.dec + 2.5e0 AND {} <= 2e0".format(OBJ, as_sql(all_pixels(5), hp.pix2ang_stages(5, "pix", "cra", "cdec")), gc_dist_sql("o.ra", "o.dec", "c.cra", "c.cdec")))
 def disc_pixels(spark, sf_dir):
-    return spark.createDataFrame([(int(p),) for p in hp.query_disc(5, 56.0, 20.0, 10.0)], "pix bigint")
+    """The pixels of a disc about each object."""
+    return cv.disc_cells(table(spark, sf_dir, OBJ), 5, "ra", "dec", 2.0).select("id", "pix")
+
+
+RIM_ORDER, DEEPER = 3, 2
+
+
+def coarse_map(spark, sf_dir) -> DataFrame:
+    return pt.partition_map(pt.density(table(spark, sf_dir, SKEW), RIM_ORDER, "ra", "dec"), RIM_ORDER, THRESHOLD, allow_overflow=True)
 
 
-RIMS = (0, 5, 63, 300)
+def rim_sql(order: int) -> str:
+    """From the other side: pixels outside that have a neighbour inside."""
+    deep = order + DEEPER
+    cells = as_sql(all_pixels(deep), [*hp.unpack_stages(deep, "pix"), *hp.neighbour_stages(deep, "up_x", "up_y", "up_f")])
+    touches = " OR ".join(f"(t.nb{k} >= 0 AND t.nb{k} >> {2 * DEEPER} = m.Npix)" for k in range(8))
+    return f"SELECT m.Norder, m.Npix, t.pix AS margin_pix FROM ({cells}) AS t JOIN parts AS m ON m.Norder = {order} AND t.pix >> {2 * DEEPER} <> m.Npix AND ({touches})"
 
 
-# from the other side: pixels outside that have a neighbour inside
-@query("margin_pixels", "SELECT 3 AS healpix_order, p.pix, t.pix AS margin_pix FROM ({}) AS t JOIN (SELECT unnest([{}]) AS pix) AS p ON t.pix >> 4 <> p.pix AND ({})".format(as_sql(all_pixels(5), [*hp.unpack_stages(5, "pix"), *hp.neighbour_stages(5, "up_x", "up_y", "up_f")]), ", ".join(map(str, RIMS)), " OR ".join(f"(t.nb{k} >= 0 AND t.nb{k} >> 4 = p.pix)" for k in range(8))))
+@query("margin_pixels", f"WITH parts AS MATERIALIZED ({map_sql(SKEW, RIM_ORDER, THRESHOLD)}) " + " UNION ALL ".join(rim_sql(o) for o in range(RIM_ORDER + 1)))
 def margin_pixels(spark, sf_dir):
-    return spark.createDataFrame([(3, p, int(m)) for p in RIMS for m in hp.margin_pixels(3, p, 2)], "healpix_order int, pix int, margin_pix bigint")
+    return cv.margin_cells(coarse_map(spark, sf_dir), DEEPER)
 
 
-EDGE_SQL = " UNION ALL ".join(f"SELECT {e} AS edge, 128 + i AS pix FROM cells WHERE {' AND '.join(f'{v} = {3 * at}' for v, at in zip('xy', ends) if at is not None)}" for e, ends in enumerate(hp.EDGES))
+EDGE_SQL = " UNION ALL ".join(f"SELECT Norder, Npix, {e} AS edge, (Npix << 4) + i AS pix FROM parts, cells WHERE {' AND '.join(f'{v} = {3 * at}' for v, at in zip('xy', ends) if at is not None)}" for e, ends in enumerate(hp.EDGES))
 
 
-@query("edge_pixels", f"WITH cells AS (SELECT i, (i & 1) + 2 * ((i >> 2) & 1) AS x, ((i >> 1) & 1) + 2 * ((i >> 3) & 1) AS y FROM (SELECT unnest(range(0, 16)) AS i) AS t) {EDGE_SQL}")
+@query("edge_pixels", f"WITH parts AS MATERIALIZED ({MAP}), cells AS (SELECT i, (i & 1) + 2 * ((i >> 2) & 1) AS x, ((i >> 1) & 1) + 2 * ((i >> 3) & 1) AS y FROM (SELECT unnest(range(0, 16)) AS i) AS t) {EDGE_SQL}")
 def edge_pixels(spark, sf_dir):
-    return spark.createDataFrame([(e, int(p)) for e in range(8) for p in hp.edge_pixels(2, 8, e)], "edge int, pix bigint")
+    """The cells along the partitions' edges and in their corners."""
+    return cv.edge_cells(map_of(spark, sf_dir), 2)
 
 
-@query("polar_flags", "SELECT pix, CASE WHEN pix < 64 AND pix % 16 = 15 THEN 'North' WHEN pix >= 128 AND pix % 16 = 0 THEN 'South' ELSE '' END AS pole FROM (SELECT unnest(range(0, 192)) AS pix) AS t")
+@query("polar_flags", f"SELECT id, pix, CASE WHEN pix < 64 AND pix % 16 = 15 THEN 'North' WHEN pix >= 128 AND pix % 16 = 0 THEN 'South' ELSE '' END AS pole FROM ({as_sql(f'({DET})', hp.ang2pix_stages(2, 'ra', 'dec', 'pix'))}) AS s")
 def polar_flags(spark, sf_dir):
-    return spark.createDataFrame([(p, hp.is_polar(2, p)[1]) for p in range(192)], "pix bigint, pole string")
+    """Which detections lie in a pixel that touches a pole."""
+    rows = pt.with_pixel(table(spark, sf_dir, DET), 2, "ra", "dec")
+    return apply(rows, hp.polar_stages(2, "pix", "pole"), ["pole"]).select("id", "pix", "pole")
 
 
 # ---- cross-matches ----
