@@ -315,6 +315,28 @@ def query_discs(order: int, ra: np.ndarray, dec: np.ndarray, radius: float) -> t
     return who, pix
 
 
+def disc_tiles(ra: np.ndarray, dec: np.ndarray, radius: np.ndarray, deepest: np.ndarray, inclusive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which disc, order, pixel, inside) of the fewest pixels of orders up to ``deepest`` that make up each of many discs: those of
+    the deepest order whose centres are in the disc, or with ``inclusive`` all that may touch it. ``inside``: no point of the pixel is
+    farther from the centre than the radius."""
+    centres, found = ang2vec(ra, dec), []
+    who, pix = np.repeat(np.arange(len(centres)), 12), np.tile(np.arange(12), len(centres))
+    for o in range(int(max(deepest, default=0)) + 1):
+        away = np.degrees(2 * np.arcsin(np.clip(np.linalg.norm(ang2vec(*pix2ang(o, pix)) - centres[who], axis=-1) / 2, 0, 1)))
+        inside, last = away <= radius[who] - reach(o), deepest[who] == o
+        keep = inside | (last & (away <= radius[who] + (reach(o) if inclusive else 0)))
+        found.append((who[keep], np.full(keep.sum(), o, np.int32), pix[keep], inside[keep]))
+        on = ~inside & ~last & (away <= radius[who] + reach(o))
+        who, pix = np.repeat(who[on], 4), (pix[on][:, None] * 4 + np.arange(4)).ravel()
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def order_for(radius) -> np.ndarray:
+    """The order whose pixels are about a third of the radius wide, 14 at most."""
+    with np.errstate(divide="ignore"):
+        return np.clip(np.ceil(np.log2(3 * resolution(0) / np.maximum(np.asarray(radius, float), 0))), 0, 14).astype(np.int64)
+
+
 def pixels_around(order: int, pix: int, radius: float) -> np.ndarray:
     """Other pixels that may touch the disc about a pixel's centre (a superset)."""
     ra, dec = pix2ang(order, pix)

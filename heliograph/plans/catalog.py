@@ -13,6 +13,7 @@ from heliograph.operators import cone as cn
 from heliograph.operators import coverage as cv
 from heliograph.operators import crossmatch as xm
 from heliograph.operators import partitioning as pt
+from heliograph.operators import tiles as ti
 from heliograph.operators.columns import quoted, with_mandatory
 from heliograph.sources import fits, storage
 
@@ -107,12 +108,22 @@ class Catalog:
         return wanted or [c for c in self.tree().columns if c not in OWN]
 
     def cone_search(self, ra: float, dec: float, radius: float, columns: list[str] | None = None) -> DataFrame:
-        """Rows nearer than ``radius`` with _DIST; only partitions that the cone may touch are read."""
+        """Rows nearer than ``radius`` with _DIST; only partitions that the cone may touch are read, and in these only the row groups
+        with spatial ids of the cone's tiles."""
         ra, dec, radius = cn.checked_cone(ra, dec, radius)
         parts = cn.partitions_of_cone([(o, p) for o, pix in self.hips.items() for p in pix], ra, dec, radius)
-        rows = self.tree().where(cn.partition_filter(parts)).select(*[quoted(c) for c in self._columns(columns)])
+        rows = self.tree().where(cn.partition_filter(parts)).where(ti.id_filter(ti.id_ranges(ra, dec, radius))).select(*[quoted(c) for c in self._columns(columns)])
         return cn.cone(rows, ra, dec, radius, self.ra, self.dec)
 
+    def coverage(self) -> DataFrame:
+        """Where the catalogue has rows, by its density map, as a coverage."""
+        return ti.union(ti.tile_ranges(self.density().withColumn("o", F.lit(self.meta["order_k"])), "o", "pix"))
+
+    def cones(self, cones: DataFrame, ra: str, dec: str, radius: str, columns: list[str] | None = None) -> DataFrame:
+        """For a table of cones, one a row: each cone's rows (its columns, then the catalogue's) with _DIST."""
+        rows = self.tree().select(*[quoted(c) for c in self._columns(columns)])
+        return ti.rows_of_cones(rows, cones, ti.tile_orders(cones, radius), self.ra, self.dec, ra, dec, radius)
+
     def cross_match(self, other: Catalog, c1_cols: list[str] | None = None, c2_cols: list[str] | None = None, n_neighbors: int = 1, dthresh: float = 0.01, evaluate_margins: bool | str = True, delim: str = ".") -> DataFrame:
         """For each row its nearest rows of the other catalogue, with both sides' columns by catalogue, hips_k, hips_pix
         and _DIST. Without margins only pairs count whose partitions contain one another. With ``evaluate_margins="tree"`` each row

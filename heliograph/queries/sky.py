@@ -17,6 +17,7 @@ from heliograph.operators import cone as cn
 from heliograph.operators import coverage as cv
 from heliograph.operators import crossmatch as xm
 from heliograph.operators import partitioning as pt
+from heliograph.operators import tiles as ti
 from heliograph.plans.builder import CatalogBuilder
 from heliograph.plans.catalog import Catalog
 from heliograph.sources import readers, storage
@@ -311,6 +312,54 @@ def polar_flags(spark, sf_dir):
     return apply(rows, hp.polar_stages(2, "pix", "pole"), ["pole"]).select("id", "pix", "pole")
 
 
+# ---- coverages ----
+
+DISC_ORDER = 6
+CONES = f"SELECT id AS cone, ra AS cra, dec AS cdec, 0.5e0 + (id % 4) * 0.5e0 AS radius FROM ({OBJ}) AS o"
+
+
+def cones(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, OBJ).selectExpr("id AS cone", "ra AS cra", "dec AS cdec", "0.5e0 + (id % 4) * 0.5e0 AS radius")
+
+
+def islands_sql(pixels: str) -> str:
+    """Runs of neighbouring numbers within a chunk, as ranges of the finest pixels."""
+    bits, fine = 2 * (DISC_ORDER - ti.CHUNK_ORDER), 2 * (pt.ID_ORDER - DISC_ORDER)
+    return f"SELECT min(pix) << {fine} AS lo, (max(pix) + 1) << {fine} AS hi FROM (SELECT pix, pix - row_number() OVER (PARTITION BY pix >> {bits} ORDER BY pix) AS g FROM ({pixels}) AS p) AS q GROUP BY pix >> {bits}, g"
+
+
+DISCS = "SELECT DISTINCT c.pix FROM ({}) AS o JOIN ({}) AS c ON c.pdec BETWEEN o.cdec - o.radius - 0.1e0 AND o.cdec + o.radius + 0.1e0 AND {} <= o.radius".format(CONES, as_sql(all_pixels(DISC_ORDER), hp.pix2ang_stages(DISC_ORDER, "pix", "pra", "pdec")), gc_dist_sql("o.cra", "o.cdec", "c.pra", "c.pdec"))
+CROWD = f"SELECT pix FROM ({density_sql(SKEW, DISC_ORDER)}) AS d"
+
+
+def disc_coverage(spark, sf_dir) -> DataFrame:
+    return ti.union(ti.tile_ranges(ti.cone_tiles(cones(spark, sf_dir), "cra", "cdec", "radius", DISC_ORDER)))
+
+
+def crowd_coverage(spark, sf_dir) -> DataFrame:
+    dens = pt.density(table(spark, sf_dir, SKEW), DISC_ORDER, "ra", "dec")
+    return ti.union(ti.tile_ranges(dens.withColumn("o", F.lit(DISC_ORDER)), "o", "pix"))
+
+
+query("coverage_union", islands_sql(DISCS))(disc_coverage)
+query("coverage_intersection", islands_sql(f"({DISCS}) INTERSECT ({CROWD})"))(lambda s, d: ti.intersection(disc_coverage(s, d), crowd_coverage(s, d)))
+query("coverage_difference", islands_sql(f"({CROWD}) EXCEPT ({DISCS})"))(lambda s, d: ti.difference(crowd_coverage(s, d), disc_coverage(s, d)))
+
+
+@query("coverage_rows", f"SELECT id, ra, dec FROM ({as_sql(f'({DET})', hp.ang2pix_stages(DISC_ORDER, 'ra', 'dec', 'pix'), ['id', 'ra', 'dec', 'pix'])}) AS r WHERE pix IN ({DISCS})")
+def coverage_rows(spark, sf_dir):
+    """The detections in the discs about objects."""
+    cov = disc_coverage(spark, sf_dir)
+    return ti.rows_within(table(spark, sf_dir, DET).select("id", "ra", "dec"), cov, ti.tiles_of(cov).count())
+
+
+@query("cones_of_customers", "SELECT cone, id, round(d, 6) AS _DIST FROM (SELECT c.cone, c.radius, r.id, {} AS d FROM ({}) AS c JOIN ({}) AS r ON r.dec BETWEEN c.cdec - c.radius AND c.cdec + c.radius) AS p WHERE d < radius".format(gc_dist_sql("r.ra", "r.dec", "c.cra", "c.cdec"), CONES, DET))
+def cones_of_customers(spark, sf_dir):
+    """Each customer's cone, of a radius of its own, with the detections in it, from a catalogue on disk."""
+    cat = built(spark, table(spark, sf_dir, DET), "det", shared_dir(spark), 5, 2000)
+    return rounded(cat.cones(cones(spark, sf_dir), "cra", "cdec", "radius", ["id"]).select("cone", "id", "_DIST"), "_DIST")
+
+
 # ---- cross-matches ----
 
 
