@@ -1,7 +1,7 @@
 """k nearest neighbours within a distance, as an equi-join on cells of declination zones.
 
-The sky is cut into zones at least as high as the distance, and each zone into bins of right ascension that are at least as wide
-as two points so near can be apart there. Rows of one side have one cell, rows of the other are copied to the
+The sky is cut into zones of two to four distances, and each zone into bins of right ascension that are at least as wide
+as two points so far apart as a zone is high can be there. Rows of one side have one cell, rows of the other are copied to the
 cells that their circle of reach can touch, so every pair in reach meets in exactly one cell. Ranks are by great-circle distance, ties by the second
 side's id. Works for any distance; a few cells then hold all rows, as nearly all pairs match.
 """
@@ -83,20 +83,26 @@ def with_cells_around(df: DataFrame, height: float, ra: str, dec: str, cell: str
     return rows.select(*own, "__z", F.explode(bins).alias("__k")).select(*own, (F.col("__z") * BINS + F.col("__k")).alias(cell))
 
 
-#: Heights of a cell in distances: higher ones copy fewer rows and compare more pairs.
-CELL = 4.0
-#: Degrees that a cell is high at most, if the distance is not larger.
-MOST_HEIGHT = 1.0
+#: Heights of a cell in distances, at most and least: higher ones copy fewer rows (2.25 and 4 times) and compare more pairs.
+CELL, LEAST_CELL = 4.0, 2.0
+#: Rows of the first side in a square of the distance from which on comparing costs more than copying.
+CROWDED = 25.0
 
 
-def cross_match(one: DataFrame, two: DataFrame, n: int, distance: float, key: str, other_key: str, pair_condition=None, coords=(("ra1", "dec1"), ("ra2", "dec2")), same=()) -> DataFrame:
+def cell_height(distance: float, density: float | None = None) -> float:
+    """Degrees that cells are high, for so many rows of the first side a square degree (where they are; unknown: few)."""
+    crowded = density is not None and density * distance * distance > CROWDED
+    return zone_height(distance * (LEAST_CELL if crowded else CELL))
+
+
+def cross_match(one: DataFrame, two: DataFrame, n: int, distance: float, key: str, other_key: str, pair_condition=None, coords=(("ra1", "dec1"), ("ra2", "dec2")), same=(), density: float | None = None) -> DataFrame:
     """For each row of ``one`` its ``n`` nearest of ``two`` nearer than ``distance``, with _DIST. ``key`` is unique in
     ``one``; ``other_key`` settles ties. Column names of the sides must differ. ``same`` names pairs of columns that
-    must be equal, too."""
+    must be equal, too. ``density`` is about how many rows of ``one`` a square degree has, if known."""
     if n < 1:
         raise ValueError("n_neighbors must be 1 or more")
     (ra1, dec1), (ra2, dec2) = coords
-    height = zone_height(max(min(CELL * distance, MOST_HEIGHT), distance))
+    height = cell_height(distance, density)
     left = with_cell(one, height, ra1, dec1).withColumnRenamed("__cell", "__cell1")
     on = F.col("__cell1") == F.col("__cell")
     for a, b in same:

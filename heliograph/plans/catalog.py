@@ -87,6 +87,10 @@ class Catalog:
             df = df.where(cn.partition_filter([(int(o), int(p)) for o, p in partitions]))
         return df.select(*[quoted(c) for c in columns]) if isinstance(columns, list) and columns else df
 
+    def rows_per_degree(self) -> float:
+        """Rows a square degree, over the partitions' area."""
+        return len(self) / max(sum(len(pix) * hp.pixel_area(o) for o, pix in self.hips.items()), 1e-300)
+
     @property
     def schema(self):
         return self.tree().schema
@@ -155,13 +159,13 @@ class Catalog:
             placed = placed.withColumnsRenamed({"Norder": "__p_order", "Npix": "__p_pix"}).drop("Dir")
             margin, _ = side(other, c2_cols, 2, "neighbor")
             local = two.unionByName(margin).withColumns({"__q_order": F.col("__o2"), "__q_pix": F.col("__x2").cast("int")})
-            found = xm.cross_match(placed.where("__p_order IS NOT NULL"), local, n_neighbors, dthresh, "__key1", "__id2", coords=coords, same=(("__p_order", "__q_order"), ("__p_pix", "__q_pix")))
+            found = xm.cross_match(placed.where("__p_order IS NOT NULL"), local, n_neighbors, dthresh, "__key1", "__id2", coords=coords, same=(("__p_order", "__q_order"), ("__p_pix", "__q_pix")), density=self.rows_per_degree())
             # rows in none of its partitions are matched with all of it
             names = [*one.columns, *two.columns, "_DIST"]
-            rest = xm.cross_match(placed.where("__p_order IS NULL"), two, n_neighbors, dthresh, "__key1", "__id2", coords=coords)
+            rest = xm.cross_match(placed.where("__p_order IS NULL"), two, n_neighbors, dthresh, "__key1", "__id2", coords=coords, density=self.rows_per_degree())
             found = found.select(*[quoted(c) for c in names]).unionByName(rest.select(*[quoted(c) for c in names]))
         else:
-            found = xm.cross_match(one, two, n_neighbors, dthresh, "__key1", "__id2", None if evaluate_margins else inside, coords)
+            found = xm.cross_match(one, two, n_neighbors, dthresh, "__key1", "__id2", None if evaluate_margins else inside, coords, density=self.rows_per_degree())
         finer = F.col("__o2") > F.col("__o1")
         return found.select(*[quoted(c) for c in [*names1, *names2]], F.when(finer, F.col("__o2")).otherwise(F.col("__o1")).alias("hips_k"), F.when(finer, F.col("__x2")).otherwise(F.col("__x1")).alias("hips_pix"), "_DIST")
 
