@@ -38,9 +38,9 @@ def partitions_of_cone(parts: list[tuple[int, int]], ra: float, dec: float, radi
     return out
 
 
-def partition_filter(parts: list[tuple[int, int]]) -> Column:
+def partition_filter(parts: list[tuple[int, int]], order: str = "Norder", pix: str = "Npix") -> Column:
     """A filter on the directory columns, so that only these partitions' files are listed and read."""
     cond = F.lit(False)
     for o in sorted({o for o, _ in parts}):
-        cond = cond | ((F.col("Norder") == o) & F.col("Npix").isin([p for q, p in parts if q == o]))
+        cond = cond | ((F.col(order) == o) & F.col(pix).isin([p for q, p in parts if q == o]))
     return cond

@@ -7,11 +7,13 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from heliograph.functions import healpix as hp
 from heliograph.operators import cone as cn
 from heliograph.operators import coverage as cv
 from heliograph.operators import crossmatch as xm
+from heliograph.operators import local_match as lm
 from heliograph.operators import partitioning as pt
 from heliograph.operators import tiles as ti
 from heliograph.operators.columns import quoted, with_mandatory
@@ -131,14 +133,15 @@ class Catalog:
     def cross_match(self, other: Catalog, c1_cols: list[str] | None = None, c2_cols: list[str] | None = None, n_neighbors: int = 1, dthresh: float = 0.01, evaluate_margins: bool | str = True, delim: str = ".") -> DataFrame:
         """For each row its nearest rows of the other catalogue, with both sides' columns by catalogue, hips_k, hips_pix
         and _DIST. Without margins only pairs count whose partitions contain one another. With ``evaluate_margins="tree"`` each row
-        is matched within the other catalogue's partition that it lies in, whose margin rows stand in for the partitions around it."""
+        is matched within the other catalogue's partition that it lies in, whose margin rows stand in for the partitions around it; ``"local"`` does the same in splits that read
+        the partitions' files themselves, without a shuffle."""
         if not isinstance(other, Catalog):
             raise TypeError("the other catalogue is no Catalog")
         if other.name == self.name:
             raise ValueError("the catalogues need different names")
 
-        by_tree = evaluate_margins == "tree"
-        if by_tree and not (other.meta["margin"] and other.meta["margin"] >= dthresh):
+        by_tree, local = evaluate_margins == "tree", evaluate_margins == "local"
+        if (by_tree or local) and not (other.meta["margin"] and other.meta["margin"] >= dthresh):
             raise ValueError("the other catalogue has no margin as wide as the distance")
 
         def side(cat: Catalog, cols: list[str] | None, k: int, which: str = "catalog") -> tuple[DataFrame, list[str]]:
@@ -153,6 +156,8 @@ class Catalog:
             warnings.warn(f"the result has {len(names1) + len(names2)} columns; name those you need", stacklevel=2)
         inside = F.expr("shiftright(__x1, 2 * greatest(0, __o1 - __o2)) = shiftright(__x2, 2 * greatest(0, __o2 - __o1))")
         coords = (("__ra1", "__dec1"), ("__ra2", "__dec2"))
+        if local:
+            return self._local_match(other, one, two, names1, names2, [self._columns(c1_cols), other._columns(c2_cols)], coords, n_neighbors, dthresh)
         if by_tree:
             parts, orders, deepest = other.partitions(), sorted(other.hips), max(other.hips, default=0)
             placed = pt.in_partitions(one, parts, sum(map(len, other.hips.values())), orders, deepest, "__ra1", "__dec1", keep_all=True)
@@ -166,9 +171,31 @@ class Catalog:
             found = found.select(*[quoted(c) for c in names]).unionByName(rest.select(*[quoted(c) for c in names]))
         else:
             found = xm.cross_match(one, two, n_neighbors, dthresh, "__key1", "__id2", None if evaluate_margins else inside, coords, density=self.rows_per_degree())
+        return self._pairs(found, names1, names2)
+
+    @staticmethod
+    def _pairs(found: DataFrame, names1: list[str], names2: list[str]) -> DataFrame:
         finer = F.col("__o2") > F.col("__o1")
         return found.select(*[quoted(c) for c in [*names1, *names2]], F.when(finer, F.col("__o2")).otherwise(F.col("__o1")).alias("hips_k"), F.when(finer, F.col("__x2")).otherwise(F.col("__x1")).alias("hips_pix"), "_DIST")
 
+    def _local_match(self, other: Catalog, one: DataFrame, two: DataFrame, names1: list[str], names2: list[str], columns: list[list[str]], coords, n: int, distance: float) -> DataFrame:
+        if n < 1:
+            raise ValueError("n_neighbors must be 1 or more")
+        parts = [[(o, p) for o, pix in cat.hips.items() for p in pix] for cat in (self, other)]
+        rows = [{(r.Norder, r.Npix): r.n for r in cat.partitions().collect()} for cat in (self, other)]  # a row a partition
+        pairs, uncovered = lm.pairs_of(*parts)
+        files, theirs, margin = (lm.tree_files(self.spark, f"{cat.base}/{t}") for cat, t in ((self, "catalog"), (other, "catalog"), (other, "neighbor")))
+        splits = [(t, t == a, files[a], theirs[b] + margin.get(b, []), max(a, b)) for a, b in pairs for t in lm.tiles_of((a, b), (rows[0][a], rows[1][b]))]
+        whole = self._pairs(xm.cross_match(one, two, n, distance, "__key1", "__id2", coords=coords), names1, names2)
+        schema = StructType([StructField(f.name, f.dataType) for f in whole.schema])
+        found = lm.local_match(self.spark, splits, columns, ((self.ra, self.dec, self.id), (other.ra, other.dec, other.id)), schema, n, distance)
+        if not uncovered:
+            return found
+        # rows in none of the other's partitions are matched with all of it
+        placed = pt.in_partitions(one.where(cn.partition_filter(uncovered, "__o1", "__x1")), other.partitions(), len(parts[1]), sorted(other.hips), max(other.hips, default=0), "__ra1", "__dec1", keep_all=True)
+        rest = xm.cross_match(placed.where("Norder IS NULL").select(*[quoted(c) for c in one.columns]), two, n, distance, "__key1", "__id2", coords=coords, density=self.rows_per_degree())
+        return found.unionByName(self._pairs(rest, names1, names2))
+
     # tables behind sky maps
 
     def visualize_sources(self) -> DataFrame:

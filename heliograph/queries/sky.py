@@ -483,6 +483,15 @@ def xmatch_margin_tree(spark, sf_dir):
     return rounded(one.cross_match(two, ["id"], ["id"], 2, 0.1, evaluate_margins="tree", delim="_").select("obj_id", "det_id", "_DIST"), "_DIST")
 
 
+@query("xmatch_local", "SELECT m.id1 AS obj_id, a.mag AS obj_mag, m.id2 AS det_id, b.flux AS det_flux, m._DIST FROM ({}) AS m JOIN ({}) AS a ON a.id = m.id1 JOIN ({}) AS b ON b.id = m.id2".format(match_sql(2, 0.05), OBJ, DET))
+def xmatch_local(spark, sf_dir):
+    """Splits that read both catalogues' partitions and the second one's margin, without a shuffle."""
+    where = shared_dir(spark)
+    one = built(spark, table(spark, sf_dir, OBJ), "obj", where, 5, 2000)
+    two = built(spark, table(spark, sf_dir, DET), "det", where, 5, 2000, 0.2)
+    return rounded(one.cross_match(two, ["mag"], ["flux"], 2, 0.05, evaluate_margins="local", delim="_").select("obj_id", "obj_mag", "det_id", "det_flux", "_DIST"), "_DIST")
+
+
 def margin_sql(source: str, order: int, threshold: int, margin: float, edge: int = 256, fine: int = 64) -> str:
     """Rows beside a partition by sampling its whole border, then finely about the nearest point. Places on the border are edges from
     the northern corner, in units of the deepest order."""

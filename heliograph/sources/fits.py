@@ -137,7 +137,7 @@ def opened(uri: str) -> tuple[Fetch, int] | None:
             raise ValueError(f"the server of {uri} gives no ranges")
         return (lambda at, n: read_range(uri, at, min(at + n, length))), length
     try:
-        fs, path = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri).replace("s3a://", "s3://", 1))
+        fs, path = pafs.FileSystem.from_uri(storage.arrow_uri(uri))
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return None
     f = fs.open_input_file(path)

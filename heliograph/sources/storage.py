@@ -86,6 +86,11 @@ def partition_of(path: str) -> tuple[int, int]:
     return int(m[1]), int(m[2])
 
 
+def arrow_uri(uri: str) -> str:
+    """A path as Hadoop writes it, as pyarrow reads it."""
+    return re.sub("^file:/+", "file:///", uri).replace("s3a://", "s3://", 1)
+
+
 def set_storage_options(spark: SparkSession, path: str, options: dict[str, str] | None) -> None:
     """Pass a store's options to its Hadoop connector. For abfs(s) paths account_name, tenant_id, client_id and
     client_secret are needed and set up OAuth; other options are set as they are named."""
