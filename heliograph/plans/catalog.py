@@ -15,6 +15,7 @@ from heliograph.operators import coverage as cv
 from heliograph.operators import crossmatch as xm
 from heliograph.operators import local_match as lm
 from heliograph.operators import partitioning as pt
+from heliograph.operators import raster
 from heliograph.operators import tiles as ti
 from heliograph.operators.columns import quoted, with_mandatory
 from heliograph.sources import fits, storage
@@ -210,6 +211,17 @@ class Catalog:
     def visualize_cross_match(self, other: Catalog) -> DataFrame:
         return pt.partition_pairs(self.partitions(), other.partitions())
 
+    # the same as images of the whole sky
+
+    def map_sources(self, width: int = 800, height: int = 400) -> DataFrame:
+        return raster.density_raster(self.density(), self.meta["order_k"], width, height)
+
+    def map_partitions(self, width: int = 800, height: int = 400) -> DataFrame:
+        return raster.partition_raster(self.partitions(), sum(map(len, self.hips.values())), sorted(self.hips), width, height)
+
+    def map_cone_search(self, ra: float, dec: float, radius: float, width: int = 800, height: int = 400) -> DataFrame:
+        return raster.cone_raster(self.density(), self.meta["order_k"], *cn.checked_cone(ra, dec, radius), width, height)
+
     def sorted_partitions(self) -> DataFrame:
         return self.partitions().orderBy(pt.sort_key())
 

@@ -17,6 +17,7 @@ from heliograph.operators import cone as cn
 from heliograph.operators import coverage as cv
 from heliograph.operators import crossmatch as xm
 from heliograph.operators import partitioning as pt
+from heliograph.operators import raster
 from heliograph.operators import tiles as ti
 from heliograph.plans.builder import CatalogBuilder
 from heliograph.plans.catalog import Catalog
@@ -258,6 +259,21 @@ query("partition_cover", f"SELECT (Npix << CAST(2 * ({COVER_ORDER} - Norder) AS
 query("cone_cover", "SELECT pix, n, {} <= 30e0 AS in_cone FROM ({}) AS c".format(gc_dist_sql("cra", "cdec", 56.0, 20.0), as_sql(f"({DENSITY})", hp.pix2ang_stages(ORDER_K, "pix", "cra", "cdec"))))(lambda s, d: cv.cone_cover(density_of(s, d), ORDER_K, 56.0, 20.0, 30.0))
 
 
+IMAGE = (200, 100)
+#: The image's points by another way: the projected latitude's area, and the parallel's share of its width.
+POINTS = "SELECT i, j, CASE WHEN x <= 0 THEN -180e0 * x / w ELSE 360e0 - 180e0 * x / w END AS ra, degrees(asin((2e0 * atan2(y, w) + 2e0 * y * w) / pi())) AS dec FROM (SELECT *, sqrt((1e0 - y) * (1e0 + y)) AS w FROM (SELECT i, j, (i + 0.5e0) / {0} * 2e0 - 1e0 AS x, 1e0 - (j + 0.5e0) / {1} * 2e0 AS y FROM (SELECT unnest(range(0, {0})) AS i) AS a, (SELECT unnest(range(0, {1})) AS j) AS b) AS c) AS d WHERE abs(x) <= w".format(*IMAGE)
+AT = as_sql(f"({POINTS})", hp.ang2pix_stages(ORDER_K, "ra", "dec", "pix"), ["i", "j", "pix"])
+query("map_sources", f"SELECT i, j, round(log10(coalesce(n, 0) + 1), 6) AS value FROM ({AT}) AS a LEFT JOIN ({DENSITY}) AS d USING (pix)")(lambda s, d: rounded(raster.density_raster(density_of(s, d), ORDER_K, *IMAGE), "value"))
+CENTRES = as_sql(f"({AT})", hp.pix2ang_stages(ORDER_K, "pix", "cra", "cdec"), ["i", "j", "pix", "cra", "cdec"])
+query("map_cone", f"WITH dens AS MATERIALIZED ({DENSITY}) SELECT i, j, in_cone, round(CASE WHEN in_cone THEN log10((SELECT max(n) FROM dens) + 1) + 1 ELSE log10(coalesce(n, 0) + 1) END, 6) AS value FROM (SELECT *, {gc_dist_sql('cra', 'cdec', 56.0, 20.0)} <= 30e0 AS in_cone FROM ({CENTRES}) AS c) AS a LEFT JOIN dens USING (pix)")(lambda s, d: rounded(raster.cone_raster(density_of(s, d), ORDER_K, 56.0, 20.0, 30.0, *IMAGE), "value"))
+
+
+@query("map_partitions", f"SELECT i, j, coalesce(m.Norder, -1) AS value FROM ({AT}) AS a LEFT JOIN ({MAP}) AS m ON a.pix >> CAST(2 * ({ORDER_K} - m.Norder) AS BIGINT) = m.Npix")
+def map_partitions(spark, sf_dir):
+    parts = map_of(spark, sf_dir)
+    return raster.partition_raster(parts, parts.count(), list(range(ORDER_K + 1)), *IMAGE)
+
+
 @query("healpix_sizes", f"SELECT Norder, Npix, CAST(1 AS BIGINT) << CAST(Norder AS BIGINT) AS nside, CAST(12 AS BIGINT) << CAST(2 * Norder AS BIGINT) AS n_pixels, round(sqrt(4e0 * pi() / CAST(12 AS DOUBLE)) * 180e0 / pi() / pow(2e0, Norder), 9) AS resolution, round(n / (4e0 * pi() * pow(180e0 / pi(), 2e0) / 12e0 / pow(4e0, Norder)), 6) AS density FROM ({MAP}) AS m")
 def healpix_sizes(spark, sf_dir):
     """The sizes of the partitions' pixels, and their rows a square degree."""
