@@ -7,6 +7,8 @@ and the generated code stays small.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,22 @@ def as_sql(table: str, stages: list[Stage], keep: list[str] | None = None) -> st
     for k, s in enumerate(stages):
         table = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in s.items())} FROM {table} AS s{k})"
     return f"SELECT {', '.join(keep) if keep else '*'} FROM {table} AS stages"
+
+
+def as_expression(stages: list[Stage], inputs: list[str], out: str) -> str:
+    """One value of the stages as an expression over ``inputs``. Each stage is the body of a lambda over a struct of the values that it
+    and later ones need, so each value is computed once here too. (After the keyword ARRAY the parser takes ``>>`` for the ends of types.)"""
+    needs = {out}
+    wanted = [needs]
+    for s in reversed(stages):
+        words = {w for n, e in s.items() if n in needs for w in re.findall(r"\b[A-Za-z_]\w*", e)}
+        needs = (needs - set(s)) | words
+        wanted.insert(0, needs)
+    known = [n for n in inputs if n in wanted[0]]
+    text = "named_struct({})".format(", ".join(f"'{n}', {n}" for n in known))
+    for k, s in enumerate(stages):
+        bound = re.compile(rf"\b({'|'.join(known)})\b")
+        values = {n: f"v{k}.{n}" for n in known if n in wanted[k + 1]} | {n: bound.sub(rf"v{k}.\1", e) for n, e in s.items() if n in wanted[k + 1]}
+        text = "transform(array_repeat({}, 1), v{} -> named_struct({}))[0]".format(text, k, ", ".join(f"'{n}', {e}" for n, e in values.items()))
+        known = list(values)
+    return f"{text}.{out}"

@@ -104,6 +104,26 @@ def with_spatial_id(df: DataFrame, ra: str, dec: str, tie: str | None = None, ou
     return rows.withColumn(out, F.shiftleft("__p", RANK_BITS).bitwiseOR(F.col("__r"))).drop("__p", "__r")
 
 
+def crowded_ids(rows: DataFrame, n_rows: int, block_rows: int, ra: str, dec: str, stage, tie: str | None = None, out: str = "_ID") -> tuple[DataFrame, int]:
+    """The ids of :func:`with_spatial_id` for rows of which any number may share a pixel, a position or all values: the rows are sorted
+    into ranges of about ``block_rows``, ranked in each, and ranks go on from the ranges before. ``stage`` writes a table and reads it
+    again; a row's place in the first one's files is the last key, so repeated rows part too. Returns the rows, dealt by ranges, and
+    the number of these."""
+    blocks = max(1, -(-n_rows // block_rows))
+    fixed = stage(with_pixel(rows, ID_ORDER, ra, dec, "__p"), "crowded")
+    place = fixed.metadataColumn("_metadata")
+    fixed = fixed.withColumns({"__file": place["file_name"], "__row": place["row_index"]})
+    by = [F.col(c) for c in ("__p", quoted(ra), quoted(dec), *([quoted(tie)] if tie else []), "__file", "__row")]
+    ranges = stage(fixed.repartitionByRange(blocks, *by).withColumn("__block", F.spark_partition_id()), "ranges")
+    # a pixel of several ranges is the first of each but one, so there are no more offsets than ranges
+    earlier = Window.partitionBy("__p").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("__block", "__p").count().withColumn("__offset", F.sum("count").over(earlier)).where("__offset IS NOT NULL").drop("count")
+    rank = F.row_number().over(Window.partitionBy("__block", "__p").orderBy(*by[1:])).cast("bigint") - 1
+    ranked = ranges.repartition(blocks, "__block").withColumn("__r", rank).join(small(offsets, blocks), ["__block", "__p"], "left")
+    ids = F.shiftleft("__p", RANK_BITS).bitwiseOR(F.col("__r") + F.coalesce("__offset", F.lit(0)))
+    return ranked.withColumn(out, ids).drop("__p", "__r", "__offset", "__block", "__file", "__row"), blocks
+
+
 def sort_key(order: str = "Norder", pix: str = "Npix"):
     """Pixels of all orders in NEST order."""
     return F.expr(f"shiftleft(CAST({pix} AS BIGINT), 2 * (20 - {order}))")

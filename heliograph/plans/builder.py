@@ -9,6 +9,7 @@ import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heliograph.functions import healpix as hp
 from heliograph.operators import margin as mg
@@ -109,6 +110,22 @@ class CatalogBuilder:
         write_tree(rows, f"{self.base}/{which}", self.summaries)
         return read_tree(self.spark, f"{self.base}/{which}")
 
+    def _write_catalog(self, rows: DataFrame, parts: DataFrame, listed: list) -> DataFrame:
+        """The tree of all rows. A partition with fewer rows than the threshold is ranked and written as a whole; those of the deepest
+        order that have more go by ranges of about so many rows, each a file."""
+        by = ["Norder", "Npix"]
+        full = (F.col("n") >= self.threshold) | (F.col("Norder") > pt.ID_ORDER)  # pixels of ids hold several partitions of deeper orders
+        crowded = [r for r in listed if r.n >= self.threshold or r.Norder > pt.ID_ORDER]
+        which = pt.small(parts.where(full).select(F.col("Norder").cast("int"), F.col("Npix").cast("int")), len(crowded))
+        rest = rows.join(which, by, "left_anti").select(*rows.columns) if crowded else rows
+        tree = self._written(pt.with_spatial_id(rest, self.ra, self.dec, self.id, within=by), "catalog")
+        if not crowded:
+            return tree
+        own = rows.join(which, by, "left_semi").select(*rows.columns)
+        ranked, _ = pt.crowded_ids(own, sum(r.n for r in crowded), self.threshold, self.ra, self.dec, self._staged, self.id)
+        write_tree(ranked, f"{self.base}/catalog", self.summaries, dealt=True, mode="append" if len(crowded) < len(listed) else "overwrite")
+        return read_tree(self.spark, f"{self.base}/catalog")
+
     def build(self) -> Catalog:
         spark = self.spark
         dens = self.density()
@@ -118,15 +135,14 @@ class CatalogBuilder:
         listed = parts.orderBy(pt.sort_key()).collect()  # a row a partition
         orders = sorted({r.Norder for r in listed})
         rows = pt.in_partitions(self.rows, parts, len(listed), orders, self.order_k, self.ra, self.dec)
-        rows = pt.with_spatial_id(rows, self.ra, self.dec, self.id, within=["Norder", "Npix"] if max(orders, default=0) <= pt.ID_ORDER else [])
-        tree = self._written(rows, "catalog")
+        tree = self._write_catalog(rows, parts, listed)
         n_sources, written = sum(r.n for r in listed), tree.count()
         if written != n_sources:
             raise LostRows(f"{self.base}/catalog has {written} rows, the density map {n_sources}; did the sources change meanwhile?")
         if self.margin:
             near = mg.margin_rows(tree, parts, orders, self.margin, self.ra, self.dec, self._staged) if listed else tree.limit(0)
-            self._written(near.select(*rows.columns), "neighbor")
-            storage.delete(spark, f"{self.base}/borders")
+            self._written(near.select(*rows.columns, "_ID"), "neighbor")
+        storage.delete(spark, f"{self.base}/borders")
         # keys as in the published layout, then our own
         meta = {
             "cat_name": self.name, "ra_kw": self.ra, "dec_kw": self.dec, "id_kw": self.id, "n_sources": n_sources, "pix_threshold": self.threshold, "urls": self.urls,
@@ -166,11 +182,12 @@ class CatalogBuilder:
         return sorted(old)
 
 
-def write_tree(rows: DataFrame, path: str, summaries: bool = False) -> None:
-    """A partition's rows come together, in NEST order. With ``summaries`` the committer also writes the footers' summary files
+def write_tree(rows: DataFrame, path: str, summaries: bool = False, dealt: bool = False, mode: str = "overwrite") -> None:
+    """A partition's rows come together, in NEST order, unless they are ``dealt`` already. With ``summaries`` the committer also writes the footers' summary files
     (_metadata and _common_metadata). A tree without rows is a table, so that it has a schema."""
     spark = rows.sparkSession
-    w = rows.repartition("Norder", "Npix").sortWithinPartitions("Norder", "Npix", "_ID").write.mode("overwrite").partitionBy("Norder", "Dir", "Npix")
+    rows = rows if dealt else rows.repartition("Norder", "Npix")
+    w = rows.sortWithinPartitions("Norder", "Npix", "_ID").write.mode(mode).partitionBy("Norder", "Dir", "Npix")
     (w.option("parquet.summary.metadata.level", "ALL") if summaries else w).parquet(path)
     fs, p = storage.file_system(spark, path)
     if not any(s.isDirectory() for s in fs.listStatus(p)):

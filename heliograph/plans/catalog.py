@@ -90,6 +90,11 @@ class Catalog:
             df = df.where(cn.partition_filter([(int(o), int(p)) for o, p in partitions]))
         return df.select(*[quoted(c) for c in columns]) if isinstance(columns, list) and columns else df
 
+    def view(self, name: str, which: str = "catalog") -> str:
+        """The tree as a view of the session, for SQL. Returns its name."""
+        self.tree(which).createOrReplaceTempView(quoted(name))
+        return name
+
     def rows_per_degree(self) -> float:
         """Rows a square degree, over the partitions' area."""
         return len(self) / max(sum(len(pix) * hp.pixel_area(o) for o, pix in self.hips.items()), 1e-300)

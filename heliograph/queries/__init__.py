@@ -3,7 +3,7 @@
 The tables have no coordinates; a fixed projection puts customers (objects) and orders (detections) on the sky.
 """
 
-from heliograph.queries import sources  # noqa: F401  adds its queries
+from heliograph.queries import sources, text  # noqa: F401  add their queries
 from heliograph.queries.sky import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -246,6 +246,16 @@ def spatial_index_rank(spark, sf_dir):
     return pt.with_spatial_id(table(spark, sf_dir, DET), "ra", "dec", "id").select("id", "_ID")
 
 
+#: Every other object is at one of 64 places of a spot that is smaller than an id's pixel.
+CROWDED = f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN round(200e0 + 1e-5 * (o_orderkey % 64), 9) ELSE {ra_of('o_orderkey')} END AS ra, CASE WHEN o_orderkey % 2 = 0 THEN 30e0 ELSE {dec_of('o_orderkey')} END AS dec FROM orders"
+
+
+@query("spatial_index_crowded", "SELECT id, CAST(Norder AS INTEGER) AS Norder, CAST(Npix AS INTEGER) AS Npix, (p << 31) | (row_number() OVER (PARTITION BY p ORDER BY ra, dec, id) - 1) AS _ID FROM ({}) AS s".format(as_sql(f"({assign_sql(CROWDED, 5, THRESHOLD)})", hp.ang2pix_stages(14, "ra", "dec", "p", "h14"), ["id", "ra", "dec", "Norder", "Npix", "p"])))
+def spatial_index_crowded(spark, sf_dir):
+    """A catalogue with half of its rows in a pixel of the deepest order: that pixel is ranked and written in ranges."""
+    return built(spark, table(spark, sf_dir, CROWDED), "crowd", shared_dir(spark), 5, THRESHOLD).load(["id", "Norder", "Npix", "_ID"])
+
+
 OTHER = map_sql(SKEW, ORDER_K, 3 * THRESHOLD)
 
 
