@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -28,6 +29,9 @@ from heliograph.llm.common import documents, only, strings
 
 #: Fixed value: the published split pattern of byte-level BPE vocabularies.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters among which the pattern's classes are short lists, and the pattern over these.
+EASY = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+EASY_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t-\r A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Distinct words that a Python worker remembers before it starts anew.
 CACHE_WORDS = 300_000
 #: Characters of text that are split into words at once.
@@ -86,6 +90,7 @@ class ByteBPE:
         self.words = regex.compile(WORD_PATTERN)
         self.splitter = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.sizes: dict[str, int] = {}  # of words that were counted
 
     def _own(self, i: int) -> bool:
         """Is token ``i`` what BPE makes of its own bytes? Worked out for all tokens at once."""
@@ -239,13 +244,46 @@ class ByteBPE:
 
     def count_many(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        get = self.cache.__getitem__
-        return [sum(1 if i >= 0 else sum(map(len, map(get, w))) for i, w in own) for own in self.cut(texts)]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+            self.sizes.clear()
+        split, extra = [], []
+        for t in texts:
+            parts = self.splitter.split(t) if self.splitter and any(x in t for x in self.special) else [t]
+            words = [w for s in parts if s not in self.special for w in self.words_of(s)] if len(parts) > 1 else self.words_of(t)
+            split.append(words)
+            extra.append(sum(s in self.special for s in parts) if len(parts) > 1 else 0)
+        return [n + k for n, k in zip(sums_of(split, self.sizes, self._learn_sizes), extra)]
+
+    def words_of(self, text: str) -> list[str]:
+        """:meth:`pieces`, by the shorter pattern where that is the same."""
+        return EASY_WORDS.findall(text) if EASY.fullmatch(text) else self.pieces(text)
+
+    def _learn_sizes(self, words: set[str]) -> None:
+        if new := words.difference(self.cache):
+            self.learn(new)
+        self.sizes.update((w, len(self.cache[w])) for w in words)
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def sums_of(split: list[list[str]], sizes: dict[str, int], learn) -> list[int]:
+    """The sum of the sizes of each text's pieces. The pieces of texts that have unknown ones are learned together."""
+    get, out, late = sizes.__getitem__, [], []
+    for k, pieces in enumerate(split):
+        try:
+            out.append(sum(map(get, pieces)))
+        except KeyError:
+            out.append(0)
+            late.append(k)
+    if late:
+        learn(set().union(*[split[k] for k in late]).difference(sizes))
+        for k in late:
+            out[k] = sum(map(get, split[k]))
+    return out
+
+
 _made: dict[str, ByteBPE] = {}
 
 

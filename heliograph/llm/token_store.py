@@ -108,6 +108,7 @@ class WordIds:
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
+        self.sizes: dict[str, int] = {}  # of pieces that were counted
         self.starts, self.lens, self.pool = (np.zeros(1 << 10, np.int64) for _ in range(3))
         self.n = 0
 
@@ -159,7 +160,16 @@ class WordIds:
 
     def count_many(self, texts: list[str]) -> list[int]:
         """The number of ids of each text, without the end id."""
-        return self.cut([t.encode() for t in texts])[2].tolist()
+        from heliograph.llm.bpe import sums_of
+
+        if len(self.at) > CACHE_WORDS:
+            self.reset()
+        return sums_of([self.pieces(t) for t in texts], self.sizes, self._learn_sizes)
+
+    def _learn_sizes(self, pieces: set[str]) -> None:
+        if new := pieces.difference(self.at):
+            self.learn(list(new))
+        self.sizes.update((p, int(self.lens[self.at[p]])) for p in pieces)
 
 
 _made: dict[str, WordIds] = {}

@@ -162,3 +162,29 @@ def test_one_of_many_gets_a_claim(spark):
     with ThreadPoolExecutor(8) as pool:
         won = list(pool.map(lambda k: claim_text(spark, path, f"writer {k}"), range(40)))
     assert won.count(True) == 1 and claimed_text(spark, path) == f"writer {won.index(True)}"
+
+
+def test_counts_are_the_encodings_lengths():
+    """Counting has patterns and sums of its own: texts of easy and other characters, special tokens, a cleared cache."""
+    import random
+
+    import public_tokenizers
+
+    from heliograph.llm import bpe, token_store
+
+    rng = random.Random(7)
+    easy = "aZ é ÿÀ09 \t\n\r\x0b\x0c '~!.,'s 'll're <|endoftext|>"
+    marks = ["<|endoftext|>", "[CLS]", "[SEP]", "'s", "  ", "\n\n"]
+    texts = ["", " ", "<|endoftext|>", "<|endoftext|><|endoftext|> x"]
+    for other in ("", "ªµß\x85\xa0\x1cŁ中😀½"):
+        texts += ["".join(rng.choice(marks) if rng.random() < 0.1 else rng.choice(easy + other) for _ in range(rng.randrange(60))) for _ in range(600)]
+    one = bpe.ByteBPE(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    two = token_store.WordIds(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert all(one.words_of(t) == one.pieces(t) for t in texts)
+    for some in (texts, texts[::-1]):
+        assert one.count_many(some) == [len(x) for x in one.encode_many(some)]
+        assert two.count_many(some) == [len(e.ids) for e in two.lib.encode_batch(some, add_special_tokens=False)]
+    one.cache.clear()
+    one.sizes.clear()
+    two.reset()
+    assert one.count_many(texts[:9]) == [len(x) for x in one.encode_many(texts[:9])]
