@@ -12,6 +12,8 @@ from heliograph.operators.columns import quoted
 #: Rows of a partition or cell table up to which it is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 ID_ORDER, RANK_BITS = 14, 31
+#: Rows that one task ranks at most, if the threshold is no higher, and about how many ranges there are of fewer rows.
+RANGE_ROWS, RANGES = 1_000_000, 256
 
 
 class BadCoordinates(ValueError):
@@ -68,7 +70,8 @@ def cell_partitions(dens: DataFrame, parts: DataFrame, order: int) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """A table of so many rows for a join: broadcast, or never, as what it is made from may look smaller than it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def assigned(df: DataFrame, cells: DataFrame, n_cells: int, order: int, ra: str, dec: str) -> DataFrame:
@@ -104,6 +107,11 @@ def with_spatial_id(df: DataFrame, ra: str, dec: str, tie: str | None = None, ou
     return rows.withColumn(out, F.shiftleft("__p", RANK_BITS).bitwiseOR(F.col("__r"))).drop("__p", "__r")
 
 
+def range_rows(n_rows: int, threshold: int) -> int:
+    """Rows of a range: the threshold's, more where the ranges of so many rows would be too many, but no more than a task can rank."""
+    return max(threshold, min(RANGE_ROWS, n_rows // RANGES))
+
+
 def crowded_ids(rows: DataFrame, n_rows: int, block_rows: int, ra: str, dec: str, stage, tie: str | None = None, out: str = "_ID") -> tuple[DataFrame, int]:
     """The ids of :func:`with_spatial_id` for rows of which any number may share a pixel, a position or all values: the rows are sorted
     into ranges of about ``block_rows``, ranked in each, and ranks go on from the ranges before. ``stage`` writes a table and reads it

@@ -111,18 +111,18 @@ class CatalogBuilder:
         return read_tree(self.spark, f"{self.base}/{which}")
 
     def _write_catalog(self, rows: DataFrame, parts: DataFrame, listed: list) -> DataFrame:
-        """The tree of all rows. A partition with fewer rows than the threshold is ranked and written as a whole; those of the deepest
-        order that have more go by ranges of about so many rows, each a file."""
-        by = ["Norder", "Npix"]
-        full = (F.col("n") >= self.threshold) | (F.col("Norder") > pt.ID_ORDER)  # pixels of ids hold several partitions of deeper orders
-        crowded = [r for r in listed if r.n >= self.threshold or r.Norder > pt.ID_ORDER]
+        """The tree of all rows. A partition with fewer rows than a range (:func:`pt.range_rows`) is ranked and written as a whole; those of
+        the deepest order that have more go by ranges, each a file."""
+        by, most = ["Norder", "Npix"], pt.range_rows(sum(r.n for r in listed), self.threshold)
+        full = (F.col("n") >= most) | (F.col("Norder") > pt.ID_ORDER)  # pixels of ids hold several partitions of deeper orders
+        crowded = [r for r in listed if r.n >= most or r.Norder > pt.ID_ORDER]
         which = pt.small(parts.where(full).select(F.col("Norder").cast("int"), F.col("Npix").cast("int")), len(crowded))
         rest = rows.join(which, by, "left_anti").select(*rows.columns) if crowded else rows
         tree = self._written(pt.with_spatial_id(rest, self.ra, self.dec, self.id, within=by), "catalog")
         if not crowded:
             return tree
         own = rows.join(which, by, "left_semi").select(*rows.columns)
-        ranked, _ = pt.crowded_ids(own, sum(r.n for r in crowded), self.threshold, self.ra, self.dec, self._staged, self.id)
+        ranked, _ = pt.crowded_ids(own, sum(r.n for r in crowded), most, self.ra, self.dec, self._staged, self.id)
         write_tree(ranked, f"{self.base}/catalog", self.summaries, dealt=True, mode="append" if len(crowded) < len(listed) else "overwrite")
         return read_tree(self.spark, f"{self.base}/catalog")
 
