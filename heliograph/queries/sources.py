@@ -90,9 +90,9 @@ def source_csv_skiprows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_fits", DET)
 def source_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A binary table written from tasks and read again by ranges of rows."""
-    path = f"{shared_dir(spark)}/det.fits"
-    fits.write_fits(table(spark, sf_dir, DET), path)
+    """Binary tables written by tasks, a folder of them, and read again by ranges of rows."""
+    path = f"{shared_dir(spark)}/det"
+    fits.write_fits_files(table(spark, sf_dir, DET), path)
     return fits.read_fits(spark, [path], split_bytes=1 << 20)
 
 

@@ -1,4 +1,4 @@
-"""FITS binary tables: read by ranges of rows, written from tasks; sky maps in such tables.
+"""FITS binary tables: read by ranges of rows, written from tasks, one file or a folder of them; sky maps in such tables.
 
 Reading plans from header blocks alone. A partition is a range of rows of one file, read in chunks, so a file's size does not matter.
 Files are opened where pyarrow has their store (plain files, hdfs, s3, gs) or by ranges over http(s). In other stores Spark's
@@ -271,6 +271,8 @@ def whole_files(spark: SparkSession, uris: list[str]) -> DataFrame:
 #: The format's codes and big-endian numpy types of SQL types.
 WRITTEN = {"boolean": ("L", "S1"), "tinyint": ("I", ">i2"), "smallint": ("I", ">i2"), "int": ("J", ">i4"), "bigint": ("K", ">i8"), "float": ("E", ">f4"), "double": ("D", ">f8"), "string": ("A", "S")}
 WRITE_BYTES = 4 << 20
+#: Bytes of a file in a folder of them; a task holds so much.
+FILE_BYTES = 64 << 20
 
 
 def card(name: str, value) -> bytes:
@@ -299,11 +301,8 @@ def encoded(column: pa.Array, code: str, n: int, null: int | None) -> np.ndarray
     return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(rows, -1)
 
 
-def write_fits(df: DataFrame, path: str, cards: dict[str, object] | None = None) -> int:
-    """One file with the rows in the frame's order, its bytes made in tasks; the driver only hands blocks of a few MB on. Arrays of a
-    column have one length. Null numbers get a number that the column does not have (TNULL), NaN for fractions, no text for
-    strings. Returns the number of rows."""
-    spark = df.sparkSession
+def planned(df: DataFrame) -> tuple[int, list[tuple], list[tuple[str, object]], int]:
+    """Rows, the columns' (code, repeat, null), their cards and bytes a row of a table for a frame."""
     cols, facts = [], []
     for i, (name, kind) in enumerate(df.dtypes):
         inner = kind.removeprefix("array<").removesuffix(">")
@@ -333,22 +332,41 @@ def write_fits(df: DataFrame, path: str, cards: dict[str, object] | None = None)
         plan.append((code, n, null))
         head += [(f"TTYPE{i + 1}", name), (f"TFORM{i + 1}", f"{n}{code}")] + [(f"TNULL{i + 1}", null)] * (null is not None)
     width = sum(n * (1 if code == "A" else np.dtype(next(k for c, k in WRITTEN.values() if c == code)).itemsize) for code, n, _ in plan)
+    return seen["rows"], plan, head, width
+
+
+def headers(n_cols: int, head: list[tuple[str, object]], width: int, rows: int, cards: dict[str, object] | None = None) -> tuple[bytes, bytes]:
+    first = header_bytes([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)])
+    second = header_bytes([("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", rows), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", n_cols), *head, *(cards or {}).items()])
+    return first, second
+
+
+def bodies(batch: pa.RecordBatch, plan: list[tuple], width: int, most: int = WRITE_BYTES) -> Iterator[np.ndarray]:
+    """The rows' bytes, a few MB at a time."""
+    step = max(1, most // max(1, width))
+    for a in range(0, batch.num_rows, step):
+        part = batch.slice(a, step)
+        yield np.concatenate([encoded(part.column(i), *p) for i, p in enumerate(plan)], axis=1)
+
+
+def write_fits(df: DataFrame, path: str, cards: dict[str, object] | None = None) -> int:
+    """One file with the rows in the frame's order, its bytes made in tasks; the driver only hands blocks of a few MB on. Arrays of a
+    column have one length. Null numbers get a number that the column does not have (TNULL), NaN for fractions, no text for
+    strings. Returns the number of rows."""
+    spark = df.sparkSession
+    n_rows, plan, head, width = planned(df)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in it:
-            step = max(1, WRITE_BYTES // max(1, width))
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                body = np.concatenate([encoded(part.column(i), *p) for i, p in enumerate(plan)], axis=1)
+            for body in bodies(batch, plan, width):
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([number], pa.int32()), pa.array([body.tobytes()], pa.binary())], names=["task", "number", "bytes"])
                 number += 1
 
     hidden = f"{path}.{uuid.uuid4().hex}"
     df.mapInArrow(run, "task int, number int, bytes binary").write.parquet(f"{hidden}.blocks")
     blocks = spark.read.parquet(f"{hidden}.blocks").orderBy("task", "number")
-    first = header_bytes([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)])
-    second = header_bytes([("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", seen["rows"]), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(cols)), *head, *(cards or {}).items()])
+    first, second = headers(len(plan), head, width, n_rows, cards)
     fs, target = storage.file_system(spark, path)
     local = Path(target.toUri().getPath()) if fs.getUri().getScheme() == "file" else None
     new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hidden)
@@ -364,15 +382,72 @@ def write_fits(df: DataFrame, path: str, cards: dict[str, object] | None = None)
     finally:
         out.close()
         storage.delete(spark, f"{hidden}.blocks")
-    if written != width * seen["rows"]:
+    if written != width * n_rows:
         storage.delete(spark, hidden)
-        raise OSError(f"{written} bytes were written instead of {width * seen['rows']}; did the rows change meanwhile?")
+        raise OSError(f"{written} bytes were written instead of {width * n_rows}; did the rows change meanwhile?")
     if local:
         local.with_name(hidden.rpartition("/")[2]).replace(local)
     else:
         fs.delete(target, False)
         fs.rename(new, target)
-    return seen["rows"]
+    return n_rows
+
+
+def write_fits_files(df: DataFrame, folder: str, cards: dict[str, object] | None = None, file_bytes: int = FILE_BYTES) -> int:
+    """A new folder of FITS files with the rows, each written whole by a task where pyarrow has the store, as it is read again; only their names
+    reach the driver, which moves them from a hidden folder when all are there, so a task that ran twice or broke off leaves nothing. Elsewhere
+    one file by way of the driver. Returns the number of rows."""
+    spark = df.sparkSession
+    fs, target = storage.file_system(spark, folder)
+    if fs.exists(target):
+        raise FileExistsError(folder)
+    hidden = f"{fs.makeQualified(target)}/_{uuid.uuid4().hex}"
+    try:
+        pafs.FileSystem.from_uri(storage.arrow_uri(hidden))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return write_fits(df, f"{folder}/part-00000-00000.fits", cards)
+    n_rows, plan, head, width = planned(df)
+    most = max(1, file_bytes // max(1, width))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = pafs.FileSystem.from_uri(storage.arrow_uri(hidden))
+        held: list[np.ndarray] = []
+        number = 0
+
+        def written() -> pa.RecordBatch:
+            n = sum(map(len, held))
+            name = f"part-{TaskContext.get().partitionId():05d}-{number:05d}-{uuid.uuid4().hex}.fits"
+            with store.open_output_stream(f"{path}/{name}") as out:
+                for piece in (*headers(len(plan), head, width, n, cards), *(b.tobytes() for b in held), bytes(-n * width % BLOCK)):
+                    out.write(piece)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n"])
+
+        for batch in it:
+            for body in bodies(batch, plan, width, min(WRITE_BYTES, file_bytes)):
+                held.append(body)
+                if sum(map(len, held)) >= most:
+                    yield written()
+                    number += 1
+        if held:
+            yield written()
+
+    Path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(Path_(hidden))
+    try:
+        files = df.mapInArrow(run, "name string, n bigint").collect()  # a row a file
+        if sum(r["n"] for r in files) != n_rows:
+            raise OSError(f"{sum(r['n'] for r in files)} rows were written instead of {n_rows}; did the rows change meanwhile?")
+        if not files:  # one without rows has the columns
+            out = fs.create(Path_(f"{hidden}/part-00000-00000.fits"), False)
+            out.write(bytearray(b"".join(headers(len(plan), head, width, 0, cards))))
+            out.close()
+        for name in [r["name"] for r in files] or ["part-00000-00000.fits"]:
+            if not fs.rename(Path_(f"{hidden}/{name}"), Path_(f"{folder.rstrip('/')}/{name}")):
+                raise OSError(f"{name} could not be moved to {folder}")
+    finally:
+        storage.delete(spark, hidden)
+    return n_rows
 
 
 # ---- maps ----
