@@ -67,3 +67,23 @@ def test_ids_that_are_null_or_shared(spark):
     got = sm.near_duplicates(df)
     assert got.columns == df.columns
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, a, "x"), (None, b, "x"), (30, "two of a kind", "x"), (40, "fifty of a kind", "x"), (2, c, "x"), (5, d, "x"), (7, None, "x")]))
+
+
+def test_any_order_of_shingles_finds_all_pairs(spark):
+    """The sample of common shingles chooses an order and lengths of lists, no result: similar sets share a posting in every order."""
+    import numpy as np
+
+    random.seed(8)
+    texts = []
+    for _ in range(15):
+        words = [f"w{random.randrange(500)}" for _ in range(random.randrange(30, 90))]
+        texts += [" ".join(words), " ".join(words[: len(words) - random.randrange(1, 8)]), " ".join(words + ["more"] * 3)]
+    sets = {sm.set_id(h): set(h.tolist()) for h in (sm.shingles(t.encode()) for t in texts)}
+    near = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    all_ = np.array(sorted(set().union(*sets.values())), np.uint64)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for common in (all_[:0], all_, all_[::2], all_[: len(all_) // 3]):
+        keys = {}
+        for r in sm.postings(docs, common).collect():
+            keys.setdefault(r.u, set()).add(r.key)
+        assert len(near) > 15 and all(keys[a] & keys[b] for a, b in near)
