@@ -35,13 +35,12 @@ Part = tuple[int, int]
 
 def tree_files(spark: SparkSession, path: str) -> dict[Part, list[str]]:
     """The files of each partition of a tree."""
-    fs, p = storage.file_system(spark, path)
     found: dict[Part, list[str]] = {}
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        x = it.next().getPath()
-        if "/Norder=" in str(x) and not x.getName().startswith(("_", ".")):
-            found.setdefault(storage.partition_of(str(x)), []).append(str(x))
+    with storage.few_listings(spark):  # by tasks; the store's own recursive listing asks a process for each file's owner on plain file systems
+        files = spark.read.parquet(path).inputFiles()
+    for x in files:
+        if "/Norder=" in x:
+            found.setdefault(storage.partition_of(x), []).append(x)
     return found
 
 
@@ -147,6 +146,10 @@ class LocalMatchReader(DataSourceReader):
     def __init__(self, plan: dict, schema: StructType):
         self.plan, self.schema = plan, schema
 
+    def __getstate__(self) -> dict:
+        """Tasks get their own split only."""
+        return {"plan": {k: v for k, v in self.plan.items() if k != "splits"}, "schema": self.schema}
+
     def partitions(self) -> list[Split]:
         return [Split(tuple(t), w, a, b, tuple(h)) for t, w, a, b, h in self.plan["splits"]]
 

@@ -24,6 +24,8 @@ OWN = ("Norder", "Dir", "Npix", "_ID")
 TREES = ("catalog", "neighbor")
 #: Columns of a result beyond which there is a warning.
 MANY = 50
+#: Partitions up to which a search opens their folders alone.
+FEW_PARTS = 1000
 
 
 def read_metadata(spark: SparkSession, name: str, location: str) -> dict:
@@ -32,7 +34,8 @@ def read_metadata(spark: SparkSession, name: str, location: str) -> dict:
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """All rows of a tree; one without partitions has their columns too."""
-    df = spark.read.parquet(path)
+    with storage.few_listings(spark):
+        df = spark.read.parquet(path)
     return df.select("*", *[F.lit(None).cast("int").alias(c) for c in OWN[:3] if c not in df.columns])
 
 
@@ -44,7 +47,8 @@ def read_paths(spark: SparkSession, paths: list[str] | str, columns: list[str] |
     base = paths[0].split("/Norder=")[0]
     if any(p.split("/Norder=")[0] != base for p in paths):
         raise ValueError("the paths are of several trees")
-    df = spark.read.option("basePath", base).parquet(*paths)
+    with storage.few_listings(spark):
+        df = spark.read.option("basePath", base).parquet(*paths)
     return df.select(*[quoted(c) for c in columns]) if columns else df
 
 
@@ -124,9 +128,15 @@ class Catalog:
         with spatial ids of the cone's tiles."""
         ra, dec, radius = cn.checked_cone(ra, dec, radius)
         parts = cn.partitions_of_cone([(o, p) for o, pix in self.hips.items() for p in pix], ra, dec, radius)
-        rows = self.tree().where(cn.partition_filter(parts)).where(ti.id_filter(ti.id_ranges(ra, dec, radius))).select(*[quoted(c) for c in self._columns(columns)])
+        rows = self._of_partitions(parts).where(ti.id_filter(ti.id_ranges(ra, dec, radius))).select(*[quoted(c) for c in self._columns(columns)])
         return cn.cone(rows, ra, dec, radius, self.ra, self.dec)
 
+    def _of_partitions(self, parts: list[tuple[int, int]]) -> DataFrame:
+        """The rows of some partitions: while these are few, other folders are not listed."""
+        if not 0 < len(parts) <= FEW_PARTS:
+            return self.tree().where(cn.partition_filter(parts))
+        return read_paths(self.spark, [f"{self.base}/catalog/{storage.directory_of(o, p)}" for o, p in parts]).where(cn.partition_filter(parts))
+
     def coverage(self) -> DataFrame:
         """Where the catalogue has rows, by its density map, as a coverage."""
         return ti.union(ti.tile_ranges(self.density().withColumn("o", F.lit(self.meta["order_k"])), "o", "pix"))
@@ -192,7 +202,7 @@ class Catalog:
         pairs, uncovered = lm.pairs_of(*parts)
         files, theirs, margin = (lm.tree_files(self.spark, f"{cat.base}/{t}") for cat, t in ((self, "catalog"), (other, "catalog"), (other, "neighbor")))
         splits = [(t, t == a, files[a], theirs[b] + margin.get(b, []), max(a, b)) for a, b in pairs for t in lm.tiles_of((a, b), (rows[0][a], rows[1][b]))]
-        whole = self._pairs(xm.cross_match(one, two, n, distance, "__key1", "__id2", coords=coords), names1, names2)
+        whole = self._pairs(xm.pairs_in_reach(one, two, xm.cell_height(distance), distance, coords, ()), names1, names2)  # for its schema
         schema = StructType([StructField(f.name, f.dataType) for f in whole.schema])
         found = lm.local_match(self.spark, splits, columns, ((self.ra, self.dec, self.id), (other.ra, other.dec, other.id)), schema, n, distance)
         if not uncovered:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: Tasks that list a tree's folders, at most.
+LISTINGS = 48
+
 
 def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -73,6 +78,18 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
+@contextmanager
+def few_listings(spark: SparkSession) -> Iterator[None]:
+    """Folders of many partitions are listed by so few tasks; by default each folder is a task, which sends the driver more than the names."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, min(LISTINGS, int(before)) if before else LISTINGS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def directory_of(order: int, pix: int) -> str:
     """Where a partition's files are, below its tree."""
     return f"Norder={order}/Dir={pix // 10000 * 10000}/Npix={pix}"

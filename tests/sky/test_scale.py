@@ -119,3 +119,28 @@ def test_fits_files_from_tasks(spark, tmp_path):
         fits.write_fits_files(df, str(tmp_path / "t"))
     fits.write_fits_files(df.limit(0), str(tmp_path / "none"))
     assert fits.read_fits(spark, [str(tmp_path / "none")]).columns == df.columns and fits.read_fits(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_local_match_is_planned_without_matching(spark, tmp_path, monkeypatch):
+    """The splits' schema costs no job on the rows, files are listed by tasks, and a task's reader holds no other task's split."""
+    import pickle
+
+    from heliograph.operators import crossmatch as xm
+    from heliograph.operators import local_match as lm
+    from heliograph.sources import storage
+
+    rows = spark.range(3000).selectExpr("id AS source_id", "(id * 137.5) % 360 AS ra", "(id * 61.8) % 178 - 89 AS dec")
+    one, two = (CatalogBuilder(spark, n, source=rows, order_k=4, threshold=100, margin=0.5, location=str(tmp_path)).build() for n in ("one", "two"))
+
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(xm, "levels_of", never)
+    monkeypatch.setattr(storage, "file_system", lambda s, p, f=storage.file_system: never() if p.endswith(("/catalog", "/neighbor")) and never_listed else f(s, p))
+    never_listed = True
+    assert len(lm.tree_files(spark, f"{one.base}/catalog")) == sum(map(len, one.hips.values()))
+    never_listed = False
+    found = one.cross_match(two, ["source_id"], ["source_id"], 1, 0.1, evaluate_margins="local", delim="_")
+    assert found.where("one_source_id = two_source_id").count() == 3000
+    reader = lm.LocalMatchReader({"splits": [[[0, 1], True, [], [], [0, 1]]], "n": 1}, found.schema)
+    assert len(reader.partitions()) == 1 and pickle.loads(pickle.dumps(reader)).plan == {"n": 1}
