@@ -144,3 +144,36 @@ def test_local_match_is_planned_without_matching(spark, tmp_path, monkeypatch):
     assert found.where("one_source_id = two_source_id").count() == 3000
     reader = lm.LocalMatchReader({"splits": [[[0, 1], True, [], [], [0, 1]]], "n": 1}, found.schema)
     assert len(reader.partitions()) == 1 and pickle.loads(pickle.dumps(reader)).plan == {"n": 1}
+
+
+def test_coordinates_are_checked_without_a_filter(spark):
+    """A filter was pushed below the projection and made the coordinates anew for each condition, in every pass."""
+    made = spark.range(100).selectExpr("id", "round(id * 3.1, 9) AS ra", "round(id * 0.5e0, 9) AS dec")
+    assert "Filter" not in pt.checked(made, "ra", "dec")._jdf.queryExecution().optimizedPlan().toString()
+    odd = made.selectExpr("id", "ra", "IF(id < 3, element_at(array(NULL, CAST('NaN' AS DOUBLE), 91e0), CAST(id AS INT) + 1), dec) AS dec")
+    with pytest.raises(pt.BadCoordinates, match="^3 rows"):
+        pt.checked(odd, "ra", "dec")
+    assert pt.checked(odd, "ra", "dec", "drop").count() == 97
+
+
+def test_cone_opens_its_partitions_and_trees_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    from heliograph.operators import cone as cn
+    from heliograph.plans.catalog import read_tree
+    from heliograph.sources import storage
+
+    rows = spark.range(2000).selectExpr("id AS source_id", "(id * 137.50776e0) % 360 AS ra", "degrees(asin(2 * ((id * 0.7548776662466927e0) % 1) - 1)) AS dec")
+    cat = CatalogBuilder(spark, "c", source=rows, order_k=4, threshold=100, margin=None, location=str(tmp_path)).build()
+    near = cat.cone_search(56.0, 20.0, 10.0)
+    assert 0 < len(near.inputFiles()) < len(cat.load().inputFiles()) / 2
+    monkeypatch.setattr("heliograph.plans.catalog.FEW_PARTS", 0)
+    want = sorted(r.source_id for r in cn.cone(rows, 56.0, 20.0, 10.0).collect())
+    assert want and sorted(r.source_id for r in near.collect()) == want == sorted(r.source_id for r in cat.cone_search(56.0, 20.0, 10.0).collect())
+    monkeypatch.setattr(storage, "LISTINGS", 3)
+    name, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(name, None)
+    sc.setJobGroup("listing", "")
+    assert read_tree(spark, f"{cat.base}/catalog").count() == 2000
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sorted(sc.statusTracker().getJobIdsForGroup("listing"))
+    tasks = [sc.statusTracker().getStageInfo(s).numTasks for s in sc.statusTracker().getJobInfo(jobs[0]).stageIds]
+    assert len(cat.load().inputFiles()) > 32 and tasks == [3] and spark.conf.get(name, None) == before
