@@ -60,3 +60,28 @@ def test_rows_and_edge_cases(spark):
 def test_query_equals_library(spark, sf):
     got = sorted(map(tuple, ts.op9_token_store(spark, sf).collect()))
     assert got == sorted(oracle([(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]))
+
+
+def test_pieces_and_pauses_of_collection(monkeypatch):
+    """The pattern's order changes no piece, and Python's collector rests while a block is encoded."""
+    import gc
+    import random
+    import re
+
+    import public_tokenizers
+
+    from heliograph.llm.token_store import WordIds
+
+    plain = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+    draw = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(draw.choices("''''strevmld é÷×ß19.,-!\t\nabÿ", k=30))
+        assert WordIds.PIECES.findall(text) == plain.findall(text)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = WordIds(f.read())
+    seen, learn = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda pieces: (seen.append(gc.isenabled()), learn(pieces)))
+    texts = ["It's theirs, they've 19 dogs", "", "naïve «x»"]
+    ids, lens = coder.encode([t.encode() for t in texts], 2)
+    assert ids.tolist() == [x for t in texts for x in [*coder.lib.encode(t, add_special_tokens=False).ids, 2]] and lens.sum() == len(ids)
+    assert seen == [False] and gc.isenabled()
