@@ -250,6 +250,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, forest: bool) -
     spark = docs.sparkSession
     ws = Workspace(spark, "similar")
     pairs = ws.stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    release_shuffles(spark)  # of the lists, which are far more than the pairs
     ids = pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
     rep = ws.stage(set_hashes(docs, sets.join(ids, "set_id", "left_semi").select("text_key")).dropDuplicates(["set_id"]), "sets")
     release_shuffles(spark)
@@ -279,12 +280,15 @@ def kept(docs: DataFrame) -> DataFrame:
     rows = ws.stage(signatures(docs), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     sets = ws.stage(rows.groupBy("set_id").agg(F.min(order).alias("least"), *[F.first(c).alias(c) for c in ("fp", *NAMES[2:])]).select("*", "least.text_key"), "sets")
+    ws.drop("signatures")
     lists = ws.stage(lists_of_several(postings(docs, common_shingles(docs))), "lists")
     release_shuffles(spark)
     entries = ws.stage(with_signature(lists, sets), "entries-of-lists")
+    ws.drop("lists")
     release_shuffles(spark)
     one = verified(first_links(entries).unionByName(fingerprint_pairs(sets, ws)), sets, docs, forest=True)
     two = verified(other_links(entries, components(one, ws)), sets, docs, forest=False)  # few are left
+    ws.drop("entries-of-lists")
     comp = components(one.unionByName(two), ws)
     named = sets.join(comp, sets["set_id"] == comp["node"], "left").select("least", F.coalesce("component", "set_id").alias("component"))
     return named.groupBy("component").agg(F.min("least").alias("least")).select("component", "least.doc_id", "least.text_key")

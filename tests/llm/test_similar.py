@@ -87,3 +87,16 @@ def test_any_order_of_shingles_finds_all_pairs(spark):
         for r in sm.postings(docs, common).collect():
             keys.setdefault(r.u, set()).add(r.key)
         assert len(near) > 15 and all(keys[a] & keys[b] for a, b in near)
+
+
+def test_tables_go_when_no_step_reads_them(spark, monkeypatch):
+    from pathlib import Path
+
+    made = []
+    monkeypatch.setattr(sm, "Workspace", lambda *a, kind=sm.Workspace: made.append(kind(*a)) or made[-1])
+    texts = ["a b c d e f g h i j", "a b c d e f g h i j k", "z y x w v u t s r q", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stays = sm.kept(docs)
+    left = {p.name for p in Path(made[0].path.removeprefix("file://")).iterdir()}
+    assert "sets" in left and not left & {"signatures", "lists", "entries-of-lists"}
+    assert sorted(r.doc_id for r in stays.collect()) == [0, 2, 3]
