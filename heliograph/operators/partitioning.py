@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import healpix as hp
@@ -88,7 +88,11 @@ def in_partitions(df: DataFrame, parts: DataFrame, n_parts: int, orders: list[in
     """Rows with the Norder, Npix and Dir of their partition. Partitions do not overlap, so a row's ancestors are looked up in the
     map, one order after the other; the rows stay where they are while the map can be broadcast. Rows in none are left out, or
     with ``keep_all`` have nulls."""
-    rows = with_pixel(df, order, ra, dec, "__pix")
+    return looked_up(with_pixel(df, order, ra, dec, "__pix"), parts, n_parts, orders, order, keep_all)
+
+
+def looked_up(rows: DataFrame, parts: DataFrame, n_parts: int, orders: list[int], order: int, keep_all: bool = False) -> DataFrame:
+    """:func:`in_partitions` for rows with their pixel of the order, ``__pix``."""
     found = []
     for o in orders:
         own = parts.where(F.col("Norder") == o).select(F.col("Npix").cast("bigint").alias(f"__npix{o}"))
@@ -110,6 +114,11 @@ def with_spatial_id(df: DataFrame, ra: str, dec: str, tie: str | None = None, ou
     return rows.withColumn(out, F.shiftleft("__p", RANK_BITS).bitwiseOR(F.col("__r"))).drop("__p", "__r")
 
 
+def pixel_of_id(key: str, order: int) -> Column:
+    """The pixel in a spatial id, of order 14 or a coarser one."""
+    return F.shiftright(key, RANK_BITS + 2 * (ID_ORDER - order))
+
+
 def range_rows(n_rows: int, threshold: int) -> int:
     """Rows of a range: the threshold's, more where the ranges of so many rows would be too many, but no more than a task can rank."""
     return max(threshold, min(RANGE_ROWS, n_rows // RANGES))

@@ -141,7 +141,7 @@ class CatalogBuilder:
             raise LostRows(f"{self.base}/catalog has {written} rows, the density map {n_sources}; did the sources change meanwhile?")
         if self.margin:
             near = mg.margin_rows(tree, parts, orders, self.margin, self.ra, self.dec, self._staged) if listed else tree.limit(0)
-            self._written(near.select(*rows.columns, "_ID"), "neighbor")
+            write_tree(near.select(*rows.columns, "_ID"), f"{self.base}/neighbor", self.summaries)
         storage.delete(spark, f"{self.base}/borders")
         # keys as in the published layout, then our own
         meta = {

@@ -175,16 +175,13 @@ class Catalog:
         if local:
             return self._local_match(other, one, two, names1, names2, [self._columns(c1_cols), other._columns(c2_cols)], coords, n_neighbors, dthresh)
         if by_tree:
-            parts, orders, deepest = other.partitions(), sorted(other.hips), max(other.hips, default=0)
-            placed = pt.in_partitions(one, parts, sum(map(len, other.hips.values())), orders, deepest, "__ra1", "__dec1", keep_all=True)
-            placed = placed.withColumnsRenamed({"Norder": "__p_order", "Npix": "__p_pix"}).drop("Dir")
             margin, _ = side(other, c2_cols, 2, "neighbor")
-            local = two.unionByName(margin).withColumns({"__q_order": F.col("__o2"), "__q_pix": F.col("__x2").cast("int")})
-            found = xm.cross_match(placed.where("__p_order IS NOT NULL"), local, n_neighbors, dthresh, "__key1", "__id2", coords=coords, same=(("__p_order", "__q_order"), ("__p_pix", "__q_pix")), density=self.rows_per_degree())
-            # rows in none of its partitions are matched with all of it
-            names = [*one.columns, *two.columns, "_DIST"]
-            rest = xm.cross_match(placed.where("__p_order IS NULL"), two, n_neighbors, dthresh, "__key1", "__id2", coords=coords, density=self.rows_per_degree())
-            found = found.select(*[quoted(c) for c in names]).unionByName(rest.select(*[quoted(c) for c in names]))
+            theirs = two.unionByName(margin).withColumns({"__q_order": F.col("__o2"), "__q_pix": F.col("__x2")})
+            names = [quoted(c) for c in (*one.columns, *two.columns, "_DIST")]
+            found = xm.cross_match(self._placed(one, other), theirs, n_neighbors, dthresh, "__key1", "__id2", coords=coords, same=(("__p_order", "__q_order"), ("__p_pix", "__q_pix")), density=self.rows_per_degree()).select(*names)
+            parts = [[(o, p) for o, pix in cat.hips.items() for p in pix] for cat in (self, other)]
+            if uncovered := lm.pairs_of(*parts)[1]:
+                found = found.unionByName(self._match_in_none(other, one, two, uncovered, coords, n_neighbors, dthresh).select(*names))
         else:
             found = xm.cross_match(one, two, n_neighbors, dthresh, "__key1", "__id2", None if evaluate_margins else inside, coords, density=self.rows_per_degree())
         return self._pairs(found, names1, names2)
@@ -207,10 +204,28 @@ class Catalog:
         found = lm.local_match(self.spark, splits, columns, ((self.ra, self.dec, self.id), (other.ra, other.dec, other.id)), schema, n, distance)
         if not uncovered:
             return found
-        # rows in none of the other's partitions are matched with all of it
-        placed = pt.in_partitions(one.where(cn.partition_filter(uncovered, "__o1", "__x1")), other.partitions(), len(parts[1]), sorted(other.hips), max(other.hips, default=0), "__ra1", "__dec1", keep_all=True)
-        rest = xm.cross_match(placed.where("Norder IS NULL").select(*[quoted(c) for c in one.columns]), two, n, distance, "__key1", "__id2", coords=coords, density=self.rows_per_degree())
-        return found.unionByName(self._pairs(rest, names1, names2))
+        return found.unionByName(self._pairs(self._match_in_none(other, one, two, uncovered, coords, n, distance), names1, names2))
+
+    @staticmethod
+    def _placed(one: DataFrame, other: Catalog) -> DataFrame:
+        """The rows with the partition of the other catalogue that they are in (__p_order, __p_pix), by their ids where these tell. Where its partitions are all of
+        one order nothing is looked up: a partition that it lacks has no rows to match."""
+        orders, deepest = sorted(other.hips), max(other.hips, default=0)
+        if deepest > pt.ID_ORDER:
+            found = pt.in_partitions(one, other.partitions(), sum(map(len, other.hips.values())), orders, deepest, "__ra1", "__dec1").drop("Dir")
+        elif len(orders) == 1:
+            found = one.withColumns({"Norder": F.lit(deepest), "Npix": pt.pixel_of_id("__key1", deepest)})
+        else:
+            rows = one.withColumn("__pix", pt.pixel_of_id("__key1", deepest))
+            found = pt.looked_up(rows, other.partitions(), sum(map(len, other.hips.values())), orders, deepest).drop("Dir")
+        return found.withColumn("Npix", F.col("Npix").cast("bigint")).withColumnsRenamed({"Norder": "__p_order", "Npix": "__p_pix"})
+
+    def _match_in_none(self, other: Catalog, one: DataFrame, two: DataFrame, uncovered: list[tuple[int, int]], coords, n: int, distance: float) -> DataFrame:
+        """The rows in none of the other's partitions, matched with all of it. They are in these partitions, which it doesn't cover whole."""
+        rows = one.where(cn.partition_filter(uncovered, "__o1", "__x1")) if len(uncovered) <= FEW_PARTS else one
+        placed = pt.in_partitions(rows, other.partitions(), sum(map(len, other.hips.values())), sorted(other.hips), max(other.hips, default=0), "__ra1", "__dec1", keep_all=True)
+        rest = placed.where("Norder IS NULL").select(*[quoted(c) for c in one.columns])
+        return xm.cross_match(rest, two, n, distance, "__key1", "__id2", coords=coords, density=self.rows_per_degree())
 
     # tables behind sky maps
 

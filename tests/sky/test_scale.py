@@ -177,3 +177,27 @@ def test_cone_opens_its_partitions_and_trees_are_listed_by_few_tasks(spark, tmp_
     jobs = sorted(sc.statusTracker().getJobIdsForGroup("listing"))
     tasks = [sc.statusTracker().getStageInfo(s).numTasks for s in sc.statusTracker().getJobInfo(jobs[0]).stageIds]
     assert len(cat.load().inputFiles()) > 32 and tasks == [3] and spark.conf.get(name, None) == before
+
+
+def test_tree_match_plans_no_second_match_of_what_is_covered(spark, tmp_path, monkeypatch):
+    """No job on the rows, no lookup and one join while the other catalogue covers this one; where it doesn't, its rows are matched too."""
+    from heliograph.operators import crossmatch as xm
+
+    sky = "id AS source_id", "(id * 137.50776e0) % 360 AS ra", "degrees(asin(2 * ((id * 0.7548776662466927e0) % 1) - 1)) AS dec"
+    rows = spark.range(4000).selectExpr(*sky)
+    build = lambda name, df, threshold: CatalogBuilder(spark, name, source=df, order_k=4, threshold=threshold, margin=0.5, location=str(tmp_path)).build()
+    one, two, mixed = build("one", rows, 150), build("two", rows.selectExpr("source_id", "ra + 0.2 AS ra", "dec"), 400), build("mixed", rows.where("dec > 20 OR dec > -20 AND source_id % 5 = 0"), 150)
+    match = lambda other, how: one.cross_match(other, ["source_id"], ["source_id"], 2, 0.4, evaluate_margins=how, delim="_")
+    assert len(two.hips) == 1 and len(mixed.hips) > 1
+    want = {c.name: sorted((r.one_source_id, r[f"{c.name}_source_id"], r._DIST) for r in match(c, True).collect()) for c in (two, mixed)}
+    got = lambda c: sorted((r.one_source_id, r[f"{c.name}_source_id"], r._DIST) for r in match(c, "tree").collect())
+    assert all(len(w) > 1000 for w in want.values())
+    assert got(mixed) == want["mixed"]
+
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(xm, "levels_of", never)
+    plan = match(two, "tree")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert got(two) == want["two"]
