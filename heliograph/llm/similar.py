@@ -6,9 +6,9 @@ cover that similarity (about ten of 64 bits differ at 0.8), so the sets are inde
 pair shares one among the first n - ceil(4 n / 5) + 1 of each set of n, so each set is posted under these only (prefix
 filter); common shingles, found in a sample, come last in the order, which decides lengths of lists but no result. Postings are
 a shingle's hash and the set's; only lists of several sets get the sets' sizes and sketches. Pairs of a list pass by size and by
-a parity sketch (its differing bits never exceed the differing shingles), which lose none, and are verified by a wider
-sketch and then by the sets, whose texts are read again for those in a candidate pair only. Each list first links its members with
-its first; then only pairs of different components are compared.
+a parity sketch (its differing bits never exceed the differing shingles), which lose none, then by a wider sketch, which the table of
+sets holds, and are verified by the sets, whose texts are read again for those in a pair that passed only. Each list first links its
+members with its first; then only pairs of different components are compared.
 
 Cases: words are split and lower-cased as for fingerprints; a text of fewer words is one shingle; wordless and null texts are equal.
 Shingles and sets are 64-bit hashes. Rows with one doc_id and one text are one document, which stays once; rows that share a doc_id are linked
@@ -34,7 +34,7 @@ SAMPLE, COMMON, MOST_COMMON = 16, 20, 50_000
 SKETCH = 4  # words of 64 bits
 WIDE_SKETCH = 4096  # bits
 NAMES = ["key", "u", "size", *[f"s{k}" for k in range(SKETCH)]]
-SIGNATURE = "doc_id bigint, text_key bigint, set_id bigint, fp bigint, size int, " + ", ".join(f"s{k} bigint" for k in range(SKETCH))
+SIGNATURE = "doc_id bigint, text_key bigint, set_id bigint, fp bigint, size int, " + ", ".join(f"s{k} bigint" for k in range(SKETCH)) + ", wide binary"
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -53,6 +53,10 @@ def set_id(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
 
 
+def wide_sketch(h: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((h & np.uint64(WIDE_SKETCH - 1)).astype(np.int64), minlength=WIDE_SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text) and text, each document once a task at least."""
     src = only(docs, "doc_id", "text")
@@ -68,16 +72,16 @@ def each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Each row's set, its fingerprint, size and sketch."""
+    """Each row's set, its fingerprint, size and sketches."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a, b, sets in each_set(batch):
                 odd = [np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1 for h in sets]
                 sketch = np.packbits(np.array(odd, np.uint8), axis=1).view(np.int64)
-                cols = [np.array([set_id(h) for h in sets], np.int64), fingerprint(sets).view(np.int64), np.array(list(map(len, sets)), np.int32), *[np.ascontiguousarray(sketch[:, k]) for k in range(SKETCH)]]
+                cols = [np.array([set_id(h) for h in sets], np.int64), fingerprint(sets).view(np.int64), np.array(list(map(len, sets)), np.int32), *[np.ascontiguousarray(sketch[:, k]) for k in range(SKETCH)], [wide_sketch(h) for h in sets]]
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_key"), *map(pa.array, cols)], names=[c.split()[0] for c in SIGNATURE.split(", ")])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_key"), *map(pa.array, cols[:-1]), pa.array(cols[-1], pa.binary())], names=[c.split()[0] for c in SIGNATURE.split(", ")])
 
     return keyed(docs).mapInArrow(run, SIGNATURE)
 
@@ -231,17 +235,16 @@ def exact(pairs: DataFrame, rep: DataFrame, column: str, check) -> DataFrame:
 
 
 def set_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id, hashes, size and a wide sketch of the sets of some documents (text_key)."""
+    """set_id, hashes and size of the sets of some documents (text_key, one for each set)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for _, _, sets in each_set(batch):
-                odd = [np.bincount((h & np.uint64(WIDE_SKETCH - 1)).astype(np.int64), minlength=WIDE_SKETCH) & 1 for h in sets]
-                cols = [pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array([np.packbits(x.astype(np.uint8)).tobytes() for x in odd], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["set_id", "hashes", "size", "sketch"])
+                cols = [pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["set_id", "hashes", "size"])
 
     found = keyed(docs).join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text")
-    return found.mapInArrow(run, "set_id bigint, hashes binary, size int, sketch binary")
+    return found.mapInArrow(run, "set_id bigint, hashes binary, size int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, forest: bool) -> DataFrame:
@@ -251,10 +254,11 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, forest: bool) -
     ws = Workspace(spark, "similar")
     pairs = ws.stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     release_shuffles(spark)  # of the lists, which are far more than the pairs
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
-    rep = ws.stage(set_hashes(docs, sets.join(ids, "set_id", "left_semi").select("text_key")).dropDuplicates(["set_id"]), "sets")
+    likely = ws.stage(exact(pairs, sets, "wide", can_be_alike), "likely")
+    ws.drop("pairs")
     release_shuffles(spark)
-    likely = ws.stage(exact(pairs, rep, "sketch", can_be_alike), "likely")
+    ids = likely.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()  # far fewer than in the pairs
+    rep = ws.stage(set_hashes(docs, sets.join(ids, "set_id", "left_semi").select("text_key")), "hashes")
     release_shuffles(spark)
     if forest:
         first = ws.stage(exact(likely.groupBy("v").agg(F.min("u").alias("u")), rep, "hashes", alike), "first")
@@ -267,7 +271,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, forest: bool) -
         ws.drop("first")
     else:
         links = ws.stage(exact(likely, rep, "hashes", alike), "links")
-    for name in ("pairs", "sets", "likely"):
+    for name in ("hashes", "likely"):
         ws.drop(name)
     release_shuffles(spark)
     return links
@@ -279,7 +283,7 @@ def kept(docs: DataFrame) -> DataFrame:
     ws = Workspace(spark, "similar")
     rows = ws.stage(signatures(docs), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    sets = ws.stage(rows.groupBy("set_id").agg(F.min(order).alias("least"), *[F.first(c).alias(c) for c in ("fp", *NAMES[2:])]).select("*", "least.text_key"), "sets")
+    sets = ws.stage(rows.groupBy("set_id").agg(F.min(order).alias("least"), *[F.first(c).alias(c) for c in ("fp", *NAMES[2:], "wide")]).select("*", "least.text_key"), "sets")
     ws.drop("signatures")
     lists = ws.stage(lists_of_several(postings(docs, common_shingles(docs))), "lists")
     release_shuffles(spark)

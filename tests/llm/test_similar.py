@@ -100,3 +100,19 @@ def test_tables_go_when_no_step_reads_them(spark, monkeypatch):
     left = {p.name for p in Path(made[0].path.removeprefix("file://")).iterdir()}
     assert "sets" in left and not left & {"signatures", "lists", "entries-of-lists"}
     assert sorted(r.doc_id for r in stays.collect()) == [0, 2, 3]
+
+
+def test_texts_are_read_again_for_likely_pairs_only(spark, monkeypatch):
+    """Long texts that share many words pass the short sketch, which is full; the wide one, of the table of sets, tells them apart."""
+    random.seed(9)
+    word = lambda: f"w{random.randrange(100000)}"
+    shared = [word() for _ in range(300)]
+    texts = [" ".join(shared + [word() for _ in range(1000)]) for _ in range(6)]
+    texts.append(texts[0] + " and a few more words")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    read, compared, hashes, exact = [], [], sm.set_hashes, sm.exact
+    monkeypatch.setattr(sm, "set_hashes", lambda docs, wanted: read.append(wanted.count()) or hashes(docs, wanted))
+    monkeypatch.setattr(sm, "exact", lambda pairs, *a: compared.append(pairs.count()) or exact(pairs, *a))
+    assert found(docs) == [0, 1, 2, 3, 4, 5]
+    assert max(compared) > 4  # candidates
+    assert sum(read) == 2
