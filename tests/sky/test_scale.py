@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import healpix as hp
 from heliograph.operators import margin as mg
 from heliograph.operators import partitioning as pt
+from heliograph.operators import tiles as ti
 from heliograph.plans.builder import CatalogBuilder
 from heliograph.sources import fits
 
@@ -201,3 +202,40 @@ def test_tree_match_plans_no_second_match_of_what_is_covered(spark, tmp_path, mo
     plan = match(two, "tree")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
     assert got(two) == want["two"]
+
+
+def shuffled_rows(df):
+    """Rows written to shuffles by the last run of a table."""
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        own = p.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(p.children().apply(k)) for k in range(p.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def brute_pairs(ra, dec, cones):
+    stars = hp.ang2vec(ra, dec)
+    away = [np.degrees(2 * np.arcsin(np.clip(np.linalg.norm(stars - hp.ang2vec(a, d), axis=-1) / 2, 0, 1))) for _, a, d, _ in cones]
+    return sorted((c[0], int(i)) for c, gap in zip(cones, away) for i in np.flatnonzero(gap < c[3]))
+
+
+@pytest.mark.parametrize("radii, most", [((0.5, 1.0, 1.5, 2.0), 1), ((0.001, 0.3, 4.0, 25.0, 180.0), 7)])
+def test_rows_of_cones_shuffle_a_row_once_and_cones_to_few_cells(spark, radii, most):
+    rng = np.random.default_rng(11)
+    ra, dec = rng.uniform(0, 360, 3000), np.degrees(np.arcsin(rng.uniform(-1, 1, 3000)))
+    ra[:4], dec[:4] = [0, 359.9999, 17, 200], [3, 3, 90, -90]
+    dec[4:300] = rng.uniform(88, 90, 296)  # crowded about a pole
+    cones = [(k, float(ra[9 * k] if k % 2 else rng.uniform(0, 360)), float(dec[9 * k]), radii[k % len(radii)]) for k in range(200)]
+    stars = spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec))], "id int, ra double, dec double")
+    table = spark.createDataFrame(cones, "k int, a double, d double, r double")
+    orders = ti.tile_orders(table, "r")
+    found = ti.rows_of_cones(stars, table, orders, "ra", "dec", "a", "d", "r").select("k", "id")
+    assert sorted(map(tuple, found.collect())) == brute_pairs(ra, dec, cones)
+    assert len(orders) <= most
+    if most == 1:
+        assert 3000 + 200 <= shuffled_rows(found) <= 3000 + 10 * 200
