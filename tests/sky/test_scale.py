@@ -1,5 +1,7 @@
 """What must not grow with the tables faster than they do."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +241,20 @@ def test_rows_of_cones_shuffle_a_row_once_and_cones_to_few_cells(spark, radii, m
     assert len(orders) <= most
     if most == 1:
         assert 3000 + 200 <= shuffled_rows(found) <= 3000 + 10 * 200
+
+
+def test_shuffles_of_a_build_go_after_it(spark, tmp_path):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    rows = spark.range(3000).selectExpr("id AS source_id", "(id * 137.5) % 360 AS ra", "(id * 61.8) % 178 - 89 AS dec")
+    before = shuffles()
+    CatalogBuilder(spark, "c", source=rows, order_k=3, threshold=100, margin=None, location=str(tmp_path)).build()
+    for _ in range(20):  # they are removed in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.5)
+    assert not shuffles() - before
